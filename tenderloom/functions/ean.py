@@ -153,10 +153,8 @@ def gs1_ranges() -> list[tuple[int, int, str]]:
 def gs1_prefixes(spark: SparkSession) -> DataFrame:
     """One row per assigned three-digit prefix: at most 1,000 rows by construction."""
     ranges = spark.createDataFrame(gs1_ranges(), "first INT, last INT, country STRING")
-    return ranges.select(
-        F.lpad(F.explode(F.sequence("first", "last")).cast("string"), 3, "0").alias("prefix"),
-        "country",
-    )
+    numbers = ranges.select(F.explode(F.sequence("first", "last")).alias("number"), "country")
+    return numbers.select(F.lpad(F.col("number").cast("string"), 3, "0").alias("prefix"), "country")
 
 
 def normalize_ean(text: Column) -> Column:

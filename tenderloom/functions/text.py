@@ -24,9 +24,16 @@ EAN_MENTION = r"(?i)(?:EAN|GTIN)[:\s]+(\d{12,14}|\d{8})"
 CODE_CONTEXT_TRIM = " ,-./"
 
 
+# Characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def truncate(text: Column, limit: int) -> Column:

@@ -328,15 +328,52 @@ def price_bands(tiers: DataFrame) -> DataFrame:
     return rows.select("contract_article_id", "band.*").filter("from_qty <= to_qty")
 
 
-def price_schedule(t: ContractTables, as_of: str) -> DataFrame:
+def cheapest_bands(tiers: DataFrame) -> DataFrame:
+    """Disjoint quantity bands of every line with tiers, each with its cheapest tier price.
+
+    Tiers of a line may overlap. Their ends cut the line into segments, and each segment
+    takes the lowest price of the tiers over it (NULL where there is none), so that one
+    quantity meets one band and nothing has to be aggregated after the demand join.
+    """
+    line = "contract_article_id"
+    steps = tiers.select(
+        line,
+        F.col("min_quantity").cast("bigint").alias("_from"),
+        F.coalesce(F.col("max_quantity").cast("bigint"), F.lit(NO_LIMIT)).alias("_to"),
+        F.col("tier_price_cents").alias("_price"),
+    )
+    cuts = F.array(F.lit(1).cast("bigint"), F.col("_from"), F.col("_to") + 1)
+    starts = steps.select(line, F.explode(cuts).alias("from_qty")).distinct()
+    following = F.lead("from_qty").over(Window.partitionBy(line).orderBy("from_qty"))
+    segments = starts.withColumn("to_qty", F.coalesce(following - 1, F.lit(NO_LIMIT))).filter(
+        "from_qty <= to_qty"
+    )
+    tier = steps.withColumnRenamed(line, "_line")
+    covers = (F.col(line) == F.col("_line")) & F.col("from_qty").between(F.col("_from"), F.col("_to"))
+    return (
+        segments.join(tier, covers, "left")
+        .groupBy(line, "from_qty", "to_qty")
+        .agg(F.min("_price").alias("band_price_cents"))
+    )
+
+
+def price_schedule(t: ContractTables, as_of: str, cheapest: bool = False) -> DataFrame:
     """Bands of all lines valid on ``as_of``, with prices and supplier, cut at the minimum order.
 
-    A line without tiers has one band at its base price.
+    A line without tiers has one band at its base price. ``cheapest`` merges overlapping
+    tiers; otherwise each tier is a band of its own.
     """
     lines = _supplied_lines(t, as_of, ["contract_number"])
+    if cheapest:
+        kind = F.when(F.col("band_price_cents").isNotNull(), "tiered").otherwise("contract")
+        bands = cheapest_bands(t.tiers).withColumns(
+            {"price_type": kind, "tier_id": F.lit(None).cast("bigint")}
+        )
+    else:
+        bands = price_bands(t.tiers)
     first = F.coalesce("from_qty", F.lit(1).cast("bigint"))
     return (
-        lines.join(price_bands(t.tiers), "contract_article_id", "left")
+        lines.join(bands, "contract_article_id", "left")
         .select(
             "article_id",
             "contract_id",
@@ -377,7 +414,8 @@ def price_for_demand(
     clusters the ranking keys, so ranking adds a sort but no shuffle.
     """
     options = _at_demand(demand, price_schedule(t, as_of), rows_per_split)
-    rank = Window.partitionBy("article_id", skew.SPLIT, "demand_id").orderBy(
+    # The demand comes first because the sort compares its first column as a prefix.
+    rank = Window.partitionBy("demand_id", "article_id", skew.SPLIT).orderBy(
         "unit_price_cents", "contract_id", "from_qty", "tier_id"
     )
     return options.select(
@@ -411,13 +449,10 @@ def tier_lookup(
     t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int = skew.ROWS_PER_SPLIT
 ) -> DataFrame:
     """Per (demand, line) the cheapest matching tier price, NULL when no tier matches."""
-    options = _at_demand(demand, price_schedule(t, as_of), rows_per_split)
-    return (
-        options.groupBy("article_id", skew.SPLIT, "demand_id", "qty", "contract_id")
-        .agg(F.min(F.when(F.col("price_type") == "tiered", F.col("unit_price_cents"))).alias(
-            "tier_price_cents"
-        ))
-        .drop(skew.SPLIT)
+    bands = price_schedule(t, as_of, cheapest=True)
+    tier_price = F.when(F.col("price_type") == "tiered", F.col("unit_price_cents"))
+    return _at_demand(demand, bands, rows_per_split).select(
+        "article_id", "demand_id", "qty", "contract_id", tier_price.alias("tier_price_cents")
     )
 
 
@@ -434,56 +469,39 @@ def recommend_order(
     which is a band as well; both options come from one join. As in the original,
     the suggestion ignores the line's minimum order and need not be cheaper.
     """
-    exact = price_schedule(t, as_of).select(
-        "*",
+    exact = price_schedule(t, as_of, cheapest=True).select(
+        "article_id",
+        "supplier_name",
+        "contract_number",
+        "from_qty",
+        "to_qty",
+        "unit_price_cents",
+        "list_price_cents",
+        "delivery_days",
         F.lit(None).cast("bigint").alias("_order_qty"),
-        F.lit(None).cast("bigint").alias("_step_id"),
         F.lit(EXACT_QUANTITY).alias("recommendation"),
     )
     start = F.col("min_quantity").cast("bigint")
     more = (
         _supplied_lines(t, as_of, ["contract_number"])
-        .join(
-            t.tiers.select("contract_article_id", "tier_id", "min_quantity", "tier_price_cents"),
-            "contract_article_id",
-        )
+        .join(t.tiers.select("contract_article_id", "min_quantity", "tier_price_cents"), "contract_article_id")
         .select(
             "article_id",
-            "contract_id",
             "supplier_name",
             "contract_number",
-            F.lit("tiered").alias("price_type"),
             F.shiftright(start + 1, 1).alias("from_qty"),
             (start - 1).alias("to_qty"),
             F.col("tier_price_cents").alias("unit_price_cents"),
             "list_price_cents",
             "delivery_days",
-            "tier_id",
             start.alias("_order_qty"),
-            F.col("tier_id").alias("_step_id"),
             F.lit(ORDER_MORE).alias("recommendation"),
         )
     )
     options = _at_demand(demand, exact.unionByName(more), rows_per_split)
-    line = [
-        "article_id",
-        skew.SPLIT,
-        "demand_id",
-        "qty",
-        "contract_id",
-        "supplier_name",
-        "contract_number",
-        "list_price_cents",
-        "delivery_days",
-        "_order_qty",
-        "_step_id",
-        "recommendation",
-    ]
-    # Overlapping tiers may both hold the quantity: the exact option takes the cheapest.
-    cheapest = options.groupBy(*line).agg(F.min("unit_price_cents").alias("unit_price_cents"))
     order_qty = F.coalesce("_order_qty", "qty")
     saving = F.col("list_price_cents") - F.col("unit_price_cents")
-    return cheapest.select(
+    return options.select(
         "demand_id",
         "article_id",
         "qty",

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows of one key that one join task should meet at most.
 ROWS_PER_SPLIT = 2_000_000
@@ -30,6 +31,30 @@ def first_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], n
     )
 
 
+def _solid_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], list[Column]]:
+    """Stand-ins without NULLs for the key columns: ``(df, stand-ins, original keys)``.
+
+    Grouping, windows and joins on the stand-ins treat NULL as one more key value and,
+    unlike ``<=>``, all share one hash partitioning.
+    """
+    added, stand_ins, originals = {}, [], []
+    for key in keys:
+        field = df.schema[key]
+        if not field.nullable:
+            stand_ins.append(key)
+            originals.append(F.col(key))
+            continue
+        blank = "" if isinstance(field.dataType, T.StringType) else "1970-01-01"
+        if isinstance(field.dataType, (T.NumericType, T.BooleanType)):
+            blank = 0
+        value, missing = f"_v_{key}", f"_m_{key}"
+        added[value] = F.coalesce(F.col(key), F.lit(blank).cast(field.dataType))
+        added[missing] = F.col(key).isNull()
+        stand_ins += [value, missing]
+        originals.append(F.when(~F.col(missing), F.col(value)).alias(key))
+    return df.withColumns(added), stand_ins, originals
+
+
 def numbered_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,32 +64,29 @@ def numbered_rows(
 ) -> DataFrame:
     """Exact ``row_number`` per key, computed in pieces of each key.
 
-    ``split_by`` must be monotone in the wanted order: ordering by ``split_by``
-    and then ``order_by`` has to equal ordering by ``order_by`` alone. A piece is
-    one (key, split) group; it is numbered on its own and shifted by the row
-    count of the pieces before it, which comes from a pre-aggregated table.
+    ``split_by`` are integers and must be monotone in the wanted order: ordering by
+    ``split_by`` and then ``order_by`` has to equal ordering by ``order_by`` alone. A piece
+    is one (key, split) group; it is numbered on its own and shifted by the row count of
+    the pieces before it, which comes from a pre-aggregated table. The rows are shuffled
+    once, for numbering and shifting alike.
     """
-    pieces = [f"_piece{i}" for i in range(len(split_by))]
-    cut = df.withColumns(dict(zip(pieces, split_by)))
-    counts = cut.groupBy(*keys, *pieces).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
+    solid, group, _ = _solid_keys(df, keys)
+    # NULL sorts first.
+    lowest = F.lit(-(2**63))
+    pieces = {
+        f"_piece{i}": F.coalesce(split.cast("bigint"), lowest) for i, split in enumerate(split_by)
+    }
+    solid = solid.withColumns(pieces)
+    counts = solid.groupBy(*group, *pieces).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*group).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, *pieces, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+        *group, *pieces, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(*keys, *pieces).orderBy(*order_by)
-    joined = _null_safe_join(cut, offsets, [*keys, *pieces])
-    return joined.withColumn(
+    inside = Window.partitionBy(*group, *pieces).orderBy(*order_by)
+    numbered = solid.join(offsets, [*group, *pieces]).withColumn(
         name, F.row_number().over(inside).cast("bigint") + F.col("_offset")
-    ).drop("_offset", *pieces)
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
-    condition = None
-    for key in keys:
-        test = F.col(key).eqNullSafe(F.col(f"_r_{key}"))
-        condition = test if condition is None else condition & test
-    return left.join(renamed, condition).drop(*[f"_r_{key}" for key in keys])
+    )
+    return numbered.select(*df.columns, name)
 
 
 def value_bucket(value: Column, per_octave: int = 128) -> Column:
@@ -82,12 +104,11 @@ def exact_percentiles(
     map-side combine, row counts per value bucket, and a running count inside only
     those buckets that hold a wanted rank. No task sees a whole hot key.
     """
-    keys = list(keys)
-    frequencies = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value_bucket(F.col(value)).alias("_bucket"), F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
+    names = list(keys)
+    solid, keys, originals = _solid_keys(df.filter(F.col(value).isNotNull()), names)
+    frequencies = solid.groupBy(
+        *keys, value_bucket(F.col(value)).alias("_bucket"), F.col(value).alias("_value")
+    ).agg(F.count(F.lit(1)).alias("_rows"))
     by_key = Window.partitionBy(*keys)
     earlier = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
@@ -116,7 +137,7 @@ def exact_percentiles(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     located = (
-        _null_safe_join(frequencies, hits, [*keys, "_bucket"])
+        frequencies.join(hits, [*keys, "_bucket"])
         .withColumn("_end", F.col("_before") + F.sum("_rows").over(running))
         .withColumn("_start", F.col("_end") - F.col("_rows"))
     )
@@ -134,7 +155,7 @@ def exact_percentiles(
         low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
         fraction = position(p) - F.floor(position(p))
         results.append((low + (high - low) * fraction).alias(name))
-    return found.select(*keys, *results)
+    return found.select(*originals, *results)
 
 
 def spread_hot_keys(
