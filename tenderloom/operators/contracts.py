@@ -72,6 +72,7 @@ def best_contract_price(t: ContractTables) -> DataFrame:
         split_by=[F.col("contract_price_cents"), F.shiftright(F.col("contract_id"), 16)],
         order_by=[F.col("contract_price_cents"), F.col("contract_id")],
         name="price_rank",
+        sized_by=t.lines,
     )
     return ranked.join(_described_articles(t), "article_id").select(
         "article_id",

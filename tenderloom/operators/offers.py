@@ -46,16 +46,23 @@ def top_per_source(offers: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return skew.first_rows(offers, [*keys, "source"], [F.col("position")], n)
 
 
-def _cents_statistics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(
+def _price_statistics(priced: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Statistics of groups with at least two prices.
+
+    The median is a branch of its own: mixed into one aggregation with the distinct count,
+    its value maps would be built per merchant.
+    """
+    stats = priced.groupBy(*by).agg(
         F.min("total_cents").alias("min_price_cents"),
         F.max("total_cents").alias("max_price_cents"),
         F.sum("total_cents").alias("_sum"),
-        F.count("total_cents").alias("num_offers"),
+        F.count("total_cents").alias("_prices"),
         F.countDistinct(F.lower("merchant_name")).alias("num_merchants"),
         # Bounded by the domain of sources.
         F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources_with_results"),
     )
+    medians = skew.percentiles(priced, by, "total_cents", {"_median": 0.5})
+    return stats.filter(F.col("_prices") >= 2).join(medians, list(by))
 
 
 def _insight_columns() -> list[Column]:
@@ -79,11 +86,9 @@ def _insight_columns() -> list[Column]:
 def price_insights(offers: DataFrame, by: Sequence[str]) -> DataFrame:
     """Price statistics over offer totals per group; groups with fewer than two offers drop out."""
     priced = offers.filter(F.col("total_cents").isNotNull())
-    stats = _cents_statistics(priced, by).filter(F.col("num_offers") >= 2)
-    medians = skew.exact_percentiles(priced, by, "total_cents", {"_median": 0.5})
     return (
-        stats.join(medians, list(by))
-        .withColumn("_prices", F.col("num_offers"))
+        _price_statistics(priced, by)
+        .withColumn("num_offers", F.col("_prices"))
         .select(*by, *_insight_columns())
     )
 
@@ -151,6 +156,7 @@ def rank_suppliers(offers: DataFrame, by: Sequence[str]) -> DataFrame:
         split_by=[F.col("total_cents"), F.col("_spread")],
         order_by=[F.col("total_cents"), F.col("_spread"), F.col("merchant_key")],
         name="supplier_rank",
+        sized_by=offers,
     ).select(
         *by,
         "supplier_rank",
@@ -166,11 +172,8 @@ def rank_suppliers(offers: DataFrame, by: Sequence[str]) -> DataFrame:
 def supplier_insights(offers: DataFrame, by: Sequence[str]) -> DataFrame:
     """Statistics over the best offer per merchant; ``num_offers`` counts all offers."""
     best = best_offer_per_merchant(offers, by)
-    stats = _cents_statistics(best, by).filter(F.col("num_offers") >= 2)
-    stats = stats.withColumnRenamed("num_offers", "_prices")
-    medians = skew.exact_percentiles(best, by, "total_cents", {"_median": 0.5})
     totals = offers.groupBy(*by).agg(F.count("total_cents").alias("num_offers"))
-    return stats.join(medians, list(by)).join(totals, list(by)).select(*by, *_insight_columns())
+    return _price_statistics(best, by).join(totals, list(by)).select(*by, *_insight_columns())
 
 
 def cheaper_alternatives(references: DataFrame, offers: DataFrame, k: int = 5) -> DataFrame:

@@ -1,8 +1,10 @@
 """Building blocks that keep a hot key from landing in one task.
 
-A key may hold a large share of all rows. Plain ``row_number`` or ``percentile``
-over such a key sorts or collects the whole group in one task; the helpers here
-cut the group by value first, aggregate the pieces, and put exact results together.
+A key may hold a large share of all rows. Plain ``row_number`` or ``percentile`` sorts or
+collects the whole group in one task. The helpers here count rows per key first (one
+partially aggregated pass over the key columns); ordinary keys take the plain Spark
+operator, and only keys beyond the limit are cut by value, aggregated in pieces and put
+together exactly. Without such keys AQE drops the second branch before it reads anything.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import types as T
 # Rows of one key that one join task should meet at most.
 ROWS_PER_SPLIT = 2_000_000
 
+# Rows of one key that one task may sort or collect.
+ROWS_IN_TASK = 1_000_000
+
 SPLIT = "_split"
 
 
@@ -55,38 +60,60 @@ def _solid_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str
     return df.withColumns(added), stand_ins, originals
 
 
+def _parted_by_heat(
+    df: DataFrame, keys: Sequence[str], limit: int, sized_by: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, and rows of keys with more than ``limit`` rows.
+
+    The list of hot keys has at most ``rows / limit`` entries, so broadcasting it is safe.
+    ``sized_by`` may name a table that is cheaper to count and has at least as many rows
+    per key.
+    """
+    sizes = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = F.broadcast(sizes.filter(F.col("_rows") > limit).select(*keys))
+    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+
+
 def numbered_rows(
     df: DataFrame,
     keys: Sequence[str],
     split_by: Sequence[Column],
     order_by: Sequence[Column],
     name: str,
+    sized_by: DataFrame | None = None,
+    limit: int = ROWS_IN_TASK,
 ) -> DataFrame:
-    """Exact ``row_number`` per key, computed in pieces of each key.
+    """Exact ``row_number`` per key; hot keys are numbered in pieces.
 
     ``split_by`` are integers and must be monotone in the wanted order: ordering by
     ``split_by`` and then ``order_by`` has to equal ordering by ``order_by`` alone. A piece
     is one (key, split) group; it is numbered on its own and shifted by the row count of
-    the pieces before it, which comes from a pre-aggregated table. The rows are shuffled
-    once, for numbering and shifting alike.
+    the pieces before it, which comes from a pre-aggregated table.
     """
+    columns = df.columns
     solid, group, _ = _solid_keys(df, keys)
+    if sized_by is not None:
+        sized_by = _solid_keys(sized_by, keys)[0]
+    ordinary, hot = _parted_by_heat(solid, group, limit, sized_by)
+    whole = Window.partitionBy(*group).orderBy(*order_by)
+    plain = ordinary.withColumn(name, F.row_number().over(whole).cast("bigint"))
+
     # NULL sorts first.
     lowest = F.lit(-(2**63))
     pieces = {
         f"_piece{i}": F.coalesce(split.cast("bigint"), lowest) for i, split in enumerate(split_by)
     }
-    solid = solid.withColumns(pieces)
-    counts = solid.groupBy(*group, *pieces).agg(F.count(F.lit(1)).alias("_rows"))
+    cut = hot.withColumns(pieces)
+    counts = cut.groupBy(*group, *pieces).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*group).orderBy(*pieces).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *group, *pieces, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
     inside = Window.partitionBy(*group, *pieces).orderBy(*order_by)
-    numbered = solid.join(offsets, [*group, *pieces]).withColumn(
+    pieced = cut.join(offsets, [*group, *pieces]).withColumn(
         name, F.row_number().over(inside).cast("bigint") + F.col("_offset")
     )
-    return numbered.select(*df.columns, name)
+    return plain.select(*columns, name).unionByName(pieced.select(*columns, name))
 
 
 def value_bucket(value: Column, per_octave: int = 128) -> Column:
@@ -95,20 +122,56 @@ def value_bucket(value: Column, per_octave: int = 128) -> Column:
     return F.when(value < 0, -size).otherwise(size).cast("int")
 
 
-def exact_percentiles(
+def percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: Mapping[str, float],
+    aggregates: Sequence[Column] = (),
+    limit: int = ROWS_IN_TASK,
+) -> DataFrame:
+    """Exact interpolated percentiles per key as DOUBLE columns, NULL values left out.
+
+    ``aggregates`` are further aggregates of the same groups (they must combine map-side).
+    Ordinary keys use Spark's ``percentile``; hot keys ``split_percentiles``.
+    """
+    names = list(keys)
+    solid, group, originals = _solid_keys(df, names)
+    ordinary, hot = _parted_by_heat(solid, group, limit)
+    points = list(probabilities.values())
+    columns = [*names, *_names_of(df, names, aggregates), *probabilities]
+    listed = ordinary.groupBy(*group).agg(
+        *aggregates, F.percentile(value, F.array(*map(F.lit, points))).alias("_points")
+    )
+    plain = listed.select(
+        "*",
+        *originals,
+        *[F.get("_points", F.lit(i)).alias(name) for i, name in enumerate(probabilities)],
+    ).select(*columns)
+    split = split_percentiles(hot, group, value, probabilities)
+    if aggregates:
+        split = hot.groupBy(*group).agg(*aggregates).join(split, group, "left")
+    return plain.unionByName(split.select("*", *originals).select(*columns))
+
+
+def _names_of(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> list[str]:
+    return df.groupBy(*keys).agg(*aggregates).columns[len(keys) :] if aggregates else []
+
+
+def split_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
 ) -> DataFrame:
-    """Exact interpolated percentiles per key as DOUBLE columns.
+    """Exact interpolated percentiles of hot keys (non-NULL key columns).
 
     Three aggregations replace one in-memory group: (key, value) frequencies with
     map-side combine, row counts per value bucket, and a running count inside only
     those buckets that hold a wanted rank. No task sees a whole hot key.
     """
-    names = list(keys)
-    solid, keys, originals = _solid_keys(df.filter(F.col(value).isNotNull()), names)
-    frequencies = solid.groupBy(
-        *keys, value_bucket(F.col(value)).alias("_bucket"), F.col(value).alias("_value")
-    ).agg(F.count(F.lit(1)).alias("_rows"))
+    frequencies = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, value_bucket(F.col(value)).alias("_bucket"), F.col(value).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
     by_key = Window.partitionBy(*keys)
     earlier = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
@@ -151,11 +214,12 @@ def exact_percentiles(
         aggregates += [at(low).alias(f"_low_{name}"), at(high).alias(f"_high_{name}")]
     found = located.groupBy(*keys).agg(*aggregates)
     results = []
-    for name, p in probabilities.items():
+    for name, (low_rank, high_rank) in ranks.items():
         low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
-        fraction = position(p) - F.floor(position(p))
-        results.append((low + (high - low) * fraction).alias(name))
-    return found.select(*originals, *results)
+        place = position(probabilities[name])
+        between = (high_rank - place) * low + (place - low_rank) * high
+        results.append(F.when(low_rank == high_rank, low).otherwise(between).alias(name))
+    return found.select(*keys, *results)
 
 
 def spread_hot_keys(

@@ -118,7 +118,7 @@ def _facet_values(
     rows: DataFrame, keys: list[str], metric: str | None, fn: str
 ) -> DataFrame:
     if fn in PERCENTILES:
-        return skew.exact_percentiles(rows, keys, metric, {"value": PERCENTILES[fn]})
+        return skew.percentiles(rows, keys, metric, {"value": PERCENTILES[fn]})
     counted = F.lit(1) if metric is None else F.col(metric)
     functions = {
         "total": F.count(counted) if metric is None else F.sum(counted),
@@ -282,15 +282,15 @@ def service_health(
     """
     recent = spans if as_of is None else time_window(spans, ts, window_seconds, "now", as_of)
     keys = ["service", "env"]
-    totals = recent.groupBy(*keys).agg(
+    counts = [
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if("is_error").alias("total_errors"),
-    )
-    latency = skew.exact_percentiles(
-        recent, keys, "duration_ns", {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+    ]
+    signals = skew.percentiles(
+        recent, keys, "duration_ns", {"p50": 0.50, "p95": 0.95, "p99": 0.99}, counts
     )
     requests, errors = F.col("total_requests"), F.col("total_errors")
-    return totals.join(latency, keys, "left").select(
+    return signals.select(
         *keys,
         *[F.round(F.col(p) / F.lit(1e6), 2).alias(f"{p}_ms") for p in ("p50", "p95", "p99")],
         (div_half_up(requests * 100, F.lit(window_seconds)) / F.lit(100.0)).alias(

@@ -15,6 +15,7 @@ from tenderloom.functions.ean import expected_check_digit
 from tenderloom.functions.money import int_div
 from tenderloom.operators.contracts import ContractTables
 from tenderloom.operators.offers import source_rank
+from tenderloom.sources.readers import spread_rows
 
 AS_OF = "1998-06-30"
 LINE_ID_STEP = 10_000_000
@@ -48,15 +49,9 @@ class Inputs:
     @cached_property
     def articles(self) -> DataFrame:
         key = F.col("p_partkey")
-        body = F.concat(F.lit("40"), F.lpad(key.cast("string"), 10, "0"))
-        digit = F.pmod(
-            expected_check_digit(F.concat(body, F.lit("0")))
-            + F.when(key % 25 == 0, 1).otherwise(0),
-            F.lit(10),
-        )
         return self.table("part").select(
             key.alias("article_id"),
-            F.concat(body, digit.cast("string")).alias("ean"),
+            _article_ean(key).alias("ean"),
             F.concat_ws(" ", "p_name", key.cast("string")).alias("article_name"),
             F.col("p_brand").alias("brand"),
             F.concat(F.lit("Maker of "), "p_brand").alias("manufacturer"),
@@ -192,8 +187,9 @@ class Inputs:
             F.when(number % 3 == 0, "idealo").when(number % 3 == 1, "geizhals").otherwise("google_shopping")
         )
         shipping = F.when(number == 1, 0).otherwise(number * 99).cast("bigint")
-        parts = self.table("part").select("p_partkey", "p_name", "p_type", "p_brand")
-        eans = self.articles.select(F.col("article_id").alias("p_partkey"), "ean")
+        parts = self.table("part").select(
+            "p_partkey", "p_name", "p_type", "p_brand", _article_ean(F.col("p_partkey")).alias("ean")
+        )
         merchants = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
         items = self.table("lineitem").select(
             "l_orderkey",
@@ -203,7 +199,7 @@ class Inputs:
             self._unit_cents().alias("price_cents"),
         )
         rows = (
-            items.join(parts.join(eans, "p_partkey"), "p_partkey")
+            items.join(parts, "p_partkey")
             .join(merchants, "l_suppkey")
             .withColumns({"source": source, "shipping_cents": shipping})
         )
@@ -319,7 +315,7 @@ class Inputs:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.table("pages")
+        return spread_rows(self.table("pages"))
 
     @cached_property
     def event_number(self) -> Column:
@@ -545,6 +541,14 @@ class Inputs:
         return self.events.select(F.to_json(bodies[kind]).alias("json"))
 
 
+def _article_ean(key: Column) -> Column:
+    """Barcode of an article number; every 25th has a wrong check digit."""
+    body = F.concat(F.lit("40"), F.lpad(key.cast("string"), 10, "0"))
+    right = expected_check_digit(F.concat(body, F.lit("0")))
+    digit = F.pmod(right + F.when(key % 25 == 0, 1).otherwise(0), F.lit(10))
+    return F.concat(body, digit.cast("string"))
+
+
 def _category_id(name: Column) -> Column:
     """Stable category number from the name."""
     return F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("bigint")

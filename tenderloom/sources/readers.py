@@ -124,3 +124,13 @@ def read_pages(spark: SparkSession, path: str, cut: bool = True) -> DataFrame:
     """Rendered pages ``(page_id, url, html)``; ``cut=False`` keeps whole texts."""
     pages = spark.read.parquet(path).select("page_id", "url", "html")
     return limit_html(pages) if cut else pages
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores when there are fewer input files than cores.
+
+    For work that is heavy per row, such as page mining. Tables of many files keep
+    their own partitioning.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
