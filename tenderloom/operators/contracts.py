@@ -470,36 +470,37 @@ def recommend_order(
     which is a band as well; both options come from one join. As in the original,
     the suggestion ignores the line's minimum order and need not be cheaper.
     """
-    exact = price_schedule(t, as_of, cheapest=True).select(
-        "article_id",
-        "supplier_name",
-        "contract_number",
-        "from_qty",
-        "to_qty",
-        "unit_price_cents",
-        "list_price_cents",
-        "delivery_days",
-        F.lit(None).cast("bigint").alias("_order_qty"),
-        F.lit(EXACT_QUANTITY).alias("recommendation"),
-    )
     start = F.col("min_quantity").cast("bigint")
-    more = (
+    exact = cheapest_bands(t.tiers).withColumn("_order_qty", F.lit(None).cast("bigint"))
+    more = t.tiers.select(
+        "contract_article_id",
+        F.shiftright(start + 1, 1).alias("from_qty"),
+        (start - 1).alias("to_qty"),
+        F.col("tier_price_cents").alias("band_price_cents"),
+        start.alias("_order_qty"),
+    )
+    is_exact = F.col("_order_qty").isNull()
+    first = F.coalesce("from_qty", F.lit(1).cast("bigint"))
+    bands = (
         _supplied_lines(t, as_of, ["contract_number"])
-        .join(t.tiers.select("contract_article_id", "min_quantity", "tier_price_cents"), "contract_article_id")
+        .join(exact.unionByName(more), "contract_article_id", "left")
         .select(
             "article_id",
             "supplier_name",
             "contract_number",
-            F.shiftright(start + 1, 1).alias("from_qty"),
-            (start - 1).alias("to_qty"),
-            F.col("tier_price_cents").alias("unit_price_cents"),
+            F.when(is_exact, F.greatest(first, F.col("min_order_qty").cast("bigint")))
+            .otherwise(first)
+            .alias("from_qty"),
+            F.coalesce("to_qty", F.lit(NO_LIMIT)).alias("to_qty"),
+            F.coalesce("band_price_cents", "contract_price_cents").alias("unit_price_cents"),
             "list_price_cents",
             "delivery_days",
-            start.alias("_order_qty"),
-            F.lit(ORDER_MORE).alias("recommendation"),
+            "_order_qty",
+            F.when(is_exact, EXACT_QUANTITY).otherwise(ORDER_MORE).alias("recommendation"),
         )
+        .filter("from_qty <= to_qty")
     )
-    options = _at_demand(demand, exact.unionByName(more), rows_per_split)
+    options = _at_demand(demand, bands, rows_per_split)
     order_qty = F.coalesce("_order_qty", "qty")
     saving = F.col("list_price_cents") - F.col("unit_price_cents")
     return options.select(
@@ -521,32 +522,55 @@ def recommend_order(
 # -- integrity ----------------------------------------------------------------
 
 
-def _check(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("check_name"), "value")
+def _checks(df: DataFrame, **conditions: Column) -> DataFrame:
+    """``(check_name, value)`` rows: rows of ``df`` meeting each condition, in one pass."""
+    counted = df.agg(*[F.count_if(test).alias(name) for name, test in conditions.items()])
+    pairs = F.array(
+        *[
+            F.struct(F.lit(name).alias("check_name"), F.col(f"`{name}`").alias("value"))
+            for name in conditions
+        ]
+    )
+    return counted.select(F.explode(pairs).alias("c")).select("c.*")
 
 
 def _repeated(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return _check(groups, name)
+    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return _checks(groups, **{name: F.col("n") > 1})
 
 
 def _orphans(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFrame:
-    used = child.select(key).filter(F.col(key).isNotNull())
-    return _check(used.join(parent.select(key).distinct(), key, "left_anti"), name)
+    # One row per used key: a key used by very many rows is shuffled once per task.
+    used = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    lost = used.join(parent.select(key).distinct(), key, "left_anti")
+    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("value")).select(
+        F.lit(name).alias("check_name"), "value"
+    )
 
 
 def integrity_report(t: ContractTables) -> DataFrame:
     """Row counts of the six tables and the number of violations of each declared constraint."""
-    tables = {
-        "categories": t.categories,
-        "suppliers": t.suppliers,
-        "articles": t.articles,
-        "contracts": t.contracts,
-        "contract_articles": t.lines,
-        "tiered_pricing": t.tiers,
-    }
-    checks = [_check(df, f"rows:{name}") for name, df in tables.items()]
-    checks += [
+    every = F.lit(True)
+    checks = [
+        _checks(t.categories, **{"rows:categories": every}),
+        _checks(t.suppliers, **{"rows:suppliers": every}),
+        _checks(t.articles, **{"rows:articles": every}),
+        _checks(
+            t.contracts,
+            **{
+                "rows:contracts": every,
+                "range:contracts.dates": F.col("valid_until") <= F.col("valid_from"),
+                "domain:contracts.status": ~F.col("status").isin(*CONTRACT_STATUSES),
+            },
+        ),
+        _checks(t.lines, **{"rows:contract_articles": every}),
+        _checks(
+            t.tiers,
+            **{
+                "rows:tiered_pricing": every,
+                "range:tiered_pricing.quantity": F.col("max_quantity") < F.col("min_quantity"),
+            },
+        ),
         _repeated(t.categories, ["category_name"], "unique:categories.category_name"),
         _repeated(t.articles, ["ean"], "unique:articles.ean"),
         _repeated(t.contracts, ["contract_number"], "unique:contracts.contract_number"),
@@ -558,12 +582,6 @@ def integrity_report(t: ContractTables) -> DataFrame:
         _orphans(
             t.tiers, t.lines, "contract_article_id", "orphan:tiered_pricing.contract_article_id"
         ),
-        _check(t.contracts.filter("valid_until <= valid_from"), "range:contracts.dates"),
-        _check(t.tiers.filter("max_quantity < min_quantity"), "range:tiered_pricing.quantity"),
-        _check(
-            t.contracts.filter(~F.col("status").isin(*CONTRACT_STATUSES)),
-            "domain:contracts.status",
-        ),
     ]
     report = checks[0]
     for check in checks[1:]:

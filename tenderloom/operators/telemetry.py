@@ -143,44 +143,29 @@ def facet_aggregate(
 
     The first facet keeps its ``values_per_facet`` largest values, each of these the
     largest values of the second facet, and so on; then the largest ``max_buckets``
-    buckets are returned. All facet levels are aggregated in one pass over the rows.
+    buckets are returned. The values kept at one level (at most ``values_per_facet`` to
+    the power of the level) filter the rows of the next one before they are aggregated.
     """
     facets = list(group_by)
     if not 1 <= len(facets) <= MAX_FACETS:
         raise ValueError(f"between 1 and {MAX_FACETS} facets")
-    named = df.withColumns(
+    rows = df.withColumns(
         {
             facet: F.coalesce(F.nullif(F.col(facet).cast("string"), F.lit("")), F.lit("unknown"))
             for facet in facets
         }
     ).select(*facets, *([metric] if metric else []))
-    levels = F.array(
-        *[
-            F.struct(
-                F.lit(depth).alias("_level"),
-                *[
-                    (F.col(facet) if i < depth else F.lit(None).cast("string")).alias(facet)
-                    for i, facet in enumerate(facets)
-                ],
-            )
-            for depth in range(1, len(facets) + 1)
-        ]
-    )
-    rest = [metric] if metric else []
-    rows = named.select(F.explode(levels).alias("_at"), *rest).select("_at.*", *rest)
-    valued = _facet_values(rows, ["_level", *facets], metric, fn)
-
-    def level(depth: int) -> DataFrame:
-        return valued.filter(F.col("_level") == depth).select(*facets[:depth], "value")
-
     kept = None
     for depth in range(1, len(facets) + 1):
-        candidates = level(depth)
+        keys = facets[:depth]
         if kept is not None:
-            candidates = candidates.join(kept, facets[: depth - 1], "left_semi")
-        order = [F.desc_nulls_last("value"), F.col(facets[depth - 1])]
-        kept = skew.first_rows(candidates, facets[: depth - 1], order, values_per_facet)
-        kept = kept.drop("row_no")
+            rows = rows.join(F.broadcast(kept.select(*keys[:-1])), keys[:-1], "left_semi")
+        order = [F.desc_nulls_last("value"), F.col(keys[-1])]
+        valued = _facet_values(rows, keys, metric, fn)
+        if depth == 1:
+            kept = valued.orderBy(*order).limit(values_per_facet)
+        else:
+            kept = skew.first_rows(valued, keys[:-1], order, values_per_facet).drop("row_no")
     return kept.orderBy(F.desc_nulls_last("value"), *facets).limit(max_buckets)
 
 
@@ -231,10 +216,14 @@ def first_points(points: DataFrame, series: Sequence[str], order_by: Sequence[Co
 
 
 def summarize_series(points: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Per series: number of points (NULL values included) and mean of the given values, else 0."""
+    """Per series: number of points (NULL values included) and mean of the given values, else 0.
+
+    Decimal values are summed exactly and divided once.
+    """
+    mean = F.try_divide(F.sum("value").cast("double"), F.count("value"))
     return points.groupBy(*series).agg(
         F.count(F.lit(1)).alias("point_count"),
-        F.coalesce(F.avg("value").cast("double"), F.lit(0.0)).alias("avg_value"),
+        F.coalesce(mean, F.lit(0.0)).alias("avg_value"),
     )
 
 
