@@ -392,11 +392,20 @@ def price_schedule(t: ContractTables, as_of: str, cheapest: bool = False) -> Dat
     )
 
 
-def _at_demand(demand: DataFrame, bands: DataFrame, rows_per_split: int) -> DataFrame:
-    """Demand rows with every band that holds their quantity (equi join + range residual)."""
+def _at_demand(
+    demand: DataFrame, bands: DataFrame, rows_per_split: int, by_article: bool = False
+) -> DataFrame:
+    """Demand rows with every band that holds their quantity (equi join + range residual).
+
+    ``by_article`` keeps the result partitioned by article even where one side could be
+    broadcast, for callers that go on to rank: shuffling the inputs once is cheaper than
+    shuffling the many matches.
+    """
     cut, repeated = skew.spread_hot_keys(
         demand, bands, ["article_id"], ["demand_id"], rows_per_split
     )
+    if by_article:
+        repeated = repeated.hint("merge")
     return cut.join(repeated, ["article_id", skew.SPLIT]).filter(
         F.col("qty").between(F.col("from_qty"), F.col("to_qty"))
     )
@@ -414,7 +423,7 @@ def price_for_demand(
     options of one demand row. The join partitions by article, which already
     clusters the ranking keys, so ranking adds a sort but no shuffle.
     """
-    options = _at_demand(demand, price_schedule(t, as_of), rows_per_split)
+    options = _at_demand(demand, price_schedule(t, as_of), rows_per_split, by_article=True)
     # The demand comes first because the sort compares its first column as a prefix.
     rank = Window.partitionBy("demand_id", "article_id", skew.SPLIT).orderBy(
         "unit_price_cents", "contract_id", "from_qty", "tier_id"
