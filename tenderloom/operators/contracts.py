@@ -470,27 +470,25 @@ EXACT_QUANTITY = "exact quantity"
 ORDER_MORE = "volume tier - order more to save"
 
 
-def recommend_order(
-    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int = skew.ROWS_PER_SPLIT
-) -> DataFrame:
-    """Exact-quantity price per line, and every tier reached by at most doubling the order.
+def order_bands(t: ContractTables, as_of: str) -> DataFrame:
+    """Bands of what an order may become: its exact quantity, or the start of a later tier.
 
-    A tier starting at ``m`` is suggested for quantities in ``[ceil(m / 2), m - 1]``,
-    which is a band as well; both options come from one join. As in the original,
-    the suggestion ignores the line's minimum order and need not be cheaper.
+    A tier starting at ``m`` is suggested for quantities in ``[ceil(m / 2), m - 1]``, that is
+    when at most twice the order reaches it. ``order_qty`` is NULL for the exact quantity.
+    As in the original, a suggestion ignores the line's minimum order and need not be cheaper.
     """
     start = F.col("min_quantity").cast("bigint")
-    exact = cheapest_bands(t.tiers).withColumn("_order_qty", F.lit(None).cast("bigint"))
+    exact = cheapest_bands(t.tiers).withColumn("order_qty", F.lit(None).cast("bigint"))
     more = t.tiers.select(
         "contract_article_id",
         F.shiftright(start + 1, 1).alias("from_qty"),
         (start - 1).alias("to_qty"),
         F.col("tier_price_cents").alias("band_price_cents"),
-        start.alias("_order_qty"),
+        start.alias("order_qty"),
     )
-    is_exact = F.col("_order_qty").isNull()
+    is_exact = F.col("order_qty").isNull()
     first = F.coalesce("from_qty", F.lit(1).cast("bigint"))
-    bands = (
+    return (
         _supplied_lines(t, as_of, ["contract_number"])
         .join(exact.unionByName(more), "contract_article_id", "left")
         .select(
@@ -504,13 +502,22 @@ def recommend_order(
             F.coalesce("band_price_cents", "contract_price_cents").alias("unit_price_cents"),
             "list_price_cents",
             "delivery_days",
-            "_order_qty",
+            "order_qty",
             F.when(is_exact, EXACT_QUANTITY).otherwise(ORDER_MORE).alias("recommendation"),
         )
         .filter("from_qty <= to_qty")
     )
-    options = _at_demand(demand, bands, rows_per_split)
-    order_qty = F.coalesce("_order_qty", "qty")
+
+
+def recommend_order(
+    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int = skew.ROWS_PER_SPLIT
+) -> DataFrame:
+    """Exact-quantity price per line, and every tier reached by at most doubling the order.
+
+    Both options are bands of the same table, so one join answers them.
+    """
+    options = _at_demand(demand, order_bands(t, as_of), rows_per_split)
+    order_qty = F.coalesce("order_qty", "qty")
     saving = F.col("list_price_cents") - F.col("unit_price_cents")
     return options.select(
         "demand_id",
