@@ -393,7 +393,7 @@ def price_schedule(t: ContractTables, as_of: str, cheapest: bool = False) -> Dat
 
 
 def _at_demand(
-    demand: DataFrame, bands: DataFrame, rows_per_split: int, by_article: bool = False
+    demand: DataFrame, bands: DataFrame, rows_per_split: int | None, by_article: bool = False
 ) -> DataFrame:
     """Demand rows with every band that holds their quantity (equi join + range residual).
 
@@ -415,7 +415,7 @@ def price_for_demand(
     t: ContractTables,
     demand: DataFrame,
     as_of: str,
-    rows_per_split: int = skew.ROWS_PER_SPLIT,
+    rows_per_split: int | None = None,
 ) -> DataFrame:
     """All contract prices for each row of ``demand(demand_id, article_id, qty)``.
 
@@ -446,7 +446,7 @@ def price_for_demand(
 
 
 def lines_without_tier(
-    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int = skew.ROWS_PER_SPLIT
+    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int | None = None
 ) -> DataFrame:
     """(demand, line) pairs for which no tier holds the quantity: the base-price bands."""
     base = price_schedule(t, as_of).filter(F.col("price_type") == "contract")
@@ -456,7 +456,7 @@ def lines_without_tier(
 
 
 def tier_lookup(
-    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int = skew.ROWS_PER_SPLIT
+    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int | None = None
 ) -> DataFrame:
     """Per (demand, line) the cheapest matching tier price, NULL when no tier matches."""
     bands = price_schedule(t, as_of, cheapest=True)
@@ -510,7 +510,7 @@ def order_bands(t: ContractTables, as_of: str) -> DataFrame:
 
 
 def recommend_order(
-    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int = skew.ROWS_PER_SPLIT
+    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int | None = None
 ) -> DataFrame:
     """Exact-quantity price per line, and every tier reached by at most doubling the order.
 

@@ -15,15 +15,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Rows of one key that one join task should meet at most.
-ROWS_PER_SPLIT = 2_000_000
+# Rows of one key that one join task should meet at most (session setting, default).
+ROWS_PER_SPLIT = ("spark.tenderloom.rowsPerSplit", 2_000_000)
 
-# Rows of one key that one task may sort or collect.
-ROWS_IN_TASK = 1_000_000
+# Rows of one key that one task may sort or collect (session setting, default).
+ROWS_IN_TASK = ("spark.tenderloom.rowsInTask", 1_000_000)
 
 SPLIT = "_split"
 
 
+def _limit(df: DataFrame, given: int | None, setting: tuple[str, int]) -> int:
+    key, default = setting
+    return given or int(df.sparkSession.conf.get(key, str(default)))
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows per key, with their ``row_no``.
 
@@ -61,7 +66,7 @@ def _solid_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str
 
 
 def _parted_by_heat(
-    df: DataFrame, keys: Sequence[str], limit: int, sized_by: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], limit: int | None, sized_by: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary keys, and rows of keys with more than ``limit`` rows.
 
@@ -69,6 +74,7 @@ def _parted_by_heat(
     ``sized_by`` may name a table that is cheaper to count and has at least as many rows
     per key.
     """
+    limit = _limit(df, limit, ROWS_IN_TASK)
     sizes = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = F.broadcast(sizes.filter(F.col("_rows") > limit).select(*keys))
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
@@ -81,7 +87,7 @@ def numbered_rows(
     order_by: Sequence[Column],
     name: str,
     sized_by: DataFrame | None = None,
-    limit: int = ROWS_IN_TASK,
+    limit: int | None = None,
 ) -> DataFrame:
     """Exact ``row_number`` per key; hot keys are numbered in pieces.
 
@@ -128,7 +134,7 @@ def percentiles(
     value: str,
     probabilities: Mapping[str, float],
     aggregates: Sequence[Column] = (),
-    limit: int = ROWS_IN_TASK,
+    limit: int | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per key as DOUBLE columns, NULL values left out.
 
@@ -227,7 +233,7 @@ def spread_hot_keys(
     few: DataFrame,
     keys: Sequence[str],
     spread_by: Sequence[str],
-    rows_per_split: int = ROWS_PER_SPLIT,
+    rows_per_split: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Add a ``_split`` join column that cuts hot keys of ``many`` into pieces.
 
@@ -236,6 +242,7 @@ def spread_hot_keys(
     ``rows(many) / rows_per_split`` rows, which is what makes broadcasting it safe.
     Join the two results on ``[*keys, "_split"]``.
     """
+    rows_per_split = _limit(many, rows_per_split, ROWS_PER_SPLIT)
     hot = (
         many.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))

@@ -118,7 +118,9 @@ def _facet_values(
     rows: DataFrame, keys: list[str], metric: str | None, fn: str
 ) -> DataFrame:
     if fn in PERCENTILES:
-        return skew.percentiles(rows, keys, metric, {"value": PERCENTILES[fn]})
+        found = skew.percentiles(rows, keys, metric, {"value": PERCENTILES[fn]})
+        # Without the noise of interpolation equal values tie and fall back to facet order.
+        return found.withColumn("value", F.round("value", 6))
     counted = F.lit(1) if metric is None else F.col(metric)
     functions = {
         "total": F.count(counted) if metric is None else F.sum(counted),
@@ -281,7 +283,12 @@ def service_health(
     requests, errors = F.col("total_requests"), F.col("total_errors")
     return signals.select(
         *keys,
-        *[F.round(F.col(p) / F.lit(1e6), 2).alias(f"{p}_ms") for p in ("p50", "p95", "p99")],
+        *[
+            (div_half_up(F.round(F.col(p)).cast("bigint"), F.lit(10_000)) / F.lit(100.0)).alias(
+                f"{p}_ms"
+            )
+            for p in ("p50", "p95", "p99")
+        ],
         (div_half_up(requests * 100, F.lit(window_seconds)) / F.lit(100.0)).alias(
             "requests_per_second"
         ),

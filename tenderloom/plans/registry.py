@@ -340,6 +340,11 @@ def search_records(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def time_window(i: Inputs) -> DataFrame:
+    return telemetry.time_window(i.events, "ts", "now-12d", "2024-01-25T06:00:00", EVENTS_AS_OF)
+
+
 @query
 def title_contains(i: Inputs) -> DataFrame:
     return telemetry.title_contains(i.titled_events, "OF USER 1")
@@ -384,9 +389,7 @@ def top_facets(i: Inputs) -> DataFrame:
 
 @query
 def summarize_series(i: Inputs) -> DataFrame:
-    return telemetry.summarize_series(i.points, ["series"]).withColumn(
-        "avg_value", F.round("avg_value", 4)
-    )
+    return telemetry.summarize_series(i.points, ["series"])
 
 
 @query
@@ -414,13 +417,7 @@ def service_health(i: Inputs) -> DataFrame:
 def slo_report(i: Inputs) -> DataFrame:
     good = F.when(F.col("is_error"), 0).otherwise(1)
     events = i.spans.select("service", "ts", good.alias("good"), F.lit(1).alias("total"))
-    report = telemetry.slo_report(events, ["service"], 95.0, EVENTS_AS_OF, 7)
-    return report.withColumns(
-        {
-            c: F.round(c, 4)
-            for c in ("sli_percent", "error_budget_remaining_percent")
-        }
-    )
+    return telemetry.slo_report(events, ["service"], 95.0, EVENTS_AS_OF, 7)
 
 
 @query

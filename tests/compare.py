@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -24,7 +25,7 @@ def connect(path: str):
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 9)
+        return None if math.isnan(value) else value
     return value
 
 
@@ -63,7 +64,16 @@ def main(path: str, chosen: list[str]) -> None:
     import __spark_entry__ as entry
     from tenderloom.session import build_session
 
-    spark = build_session(master="local[8]", shuffle_partitions=8, spark__ui__enabled="false", spark__driver__memory="8g")
+    spark = build_session(
+        master="local[8]",
+        shuffle_partitions=8,
+        spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
+        spark__driver__memory="8g",
+    )
+    if "HOT_ROWS" in os.environ:  # make ordinary keys count as hot
+        spark.conf.set("spark.tenderloom.rowsInTask", os.environ["HOT_ROWS"])
+        spark.conf.set("spark.tenderloom.rowsPerSplit", os.environ["HOT_ROWS"])
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(path)
     oracle = entry.oracle_sql()

@@ -5,7 +5,6 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tenderloom.operators import contracts as C
-from tenderloom.operators import skew
 
 DAY = "2025-06-30"
 
@@ -227,7 +226,3 @@ def test_integrity(tables):
     assert report["unique:contract_articles.line"] == 1
     assert report["orphan:contracts.supplier_id"] == 1
     assert report["range:tiered_pricing.quantity"] == 4
-
-
-def test_hot_key_threshold_is_a_parameter():
-    assert skew.ROWS_PER_SPLIT > 1
