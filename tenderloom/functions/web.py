@@ -112,8 +112,7 @@ def url_authority(url: Column) -> Column:
     return F.regexp_replace(netloc, r"^.*@", "")
 
 
-def url_host(url: Column) -> Column:
-    authority = url_authority(url)
+def authority_host(authority: Column) -> Column:
     bracketed = F.regexp_extract(authority, r"^\[([^\]]*)\]", 1)
     return F.lower(
         F.when(F.startswith(authority, F.lit("[")), bracketed).otherwise(
@@ -122,21 +121,49 @@ def url_host(url: Column) -> Column:
     )
 
 
-def url_port(url: Column) -> Column:
+def authority_port(authority: Column) -> Column:
     """Explicit port as text, '' when there is none."""
-    return F.regexp_extract(url_authority(url), r":([^:\]]*)$", 1)
+    return F.regexp_extract(authority, r":([^:\]]*)$", 1)
+
+
+def url_host(url: Column) -> Column:
+    return authority_host(url_authority(url))
+
+
+IPV4 = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
+MAPPED_HEX = r"^(?:0*:)*:?ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
+
+
+def ipv4_octets(host: Column) -> Column:
+    """Octets of a dotted IPv4 literal, also behind an IPv6 ``::ffff:`` prefix; else NULL."""
+    dotted = F.regexp_extract(host, rf"^(?:(?:0*:)*:?ffff:)?{IPV4}$", 1)
+    return F.when(dotted != "", F.split(dotted, r"\.").cast("array<bigint>"))
 
 
-def _ipv4_number(host: Column) -> Column:
-    """Dotted IPv4 literal -> BIGINT; NULL for anything else."""
-    shape = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
-    parts = [F.regexp_extract(host, shape, i).try_cast("bigint") for i in range(1, 5)]
-    in_range = reduce(lambda a, b: a & b, [part <= 255 for part in parts])
-    number = reduce(lambda acc, part: acc * 256 + part, parts)
-    return F.when(in_range, number)
+def ipv6_groups(host: Column) -> Column:
+    """Groups of an IPv6 literal as numbers (0 where the text is elided); else NULL."""
+    groups = F.transform(
+        F.split(host, ":"),
+        lambda text: F.coalesce(
+            F.conv(F.when(text.rlike("^[0-9a-f]{1,4}$"), text), 16, 10).cast("bigint"),
+            F.lit(0).cast("bigint"),
+        ),
+    )
+    return F.when(F.contains(host, F.lit(":")), groups)
+
+
+def ipv4_number(host: Column, octets: Column, groups: Column) -> Column:
+    """The IPv4 address a host literal stands for as BIGINT, NULL for names and other IPv6."""
+    number = F.lit(0).cast("bigint")
+    for position in range(4):
+        number = number * 256 + F.get(octets, F.lit(position))
+    high, low = F.try_element_at(groups, F.lit(-2)), F.try_element_at(groups, F.lit(-1))
+    return F.when(F.array_max(octets) <= 255, number).when(
+        host.rlike(MAPPED_HEX), high * 65536 + low
+    )
 
 
-def _ipv4_blocked(number: Column) -> Column:
+def ipv4_blocked(number: Column) -> Column:
     tests = []
     for block in BLOCKED_IPV4_BLOCKS:
         address, bits = block.split("/")
@@ -148,43 +175,32 @@ def _ipv4_blocked(number: Column) -> Column:
     return F.coalesce(any_of(tests), F.lit(False))
 
 
-def _ipv6_blocked(host: Column) -> Column:
-    """IPv6 literal outside the public unicast range, or wrapping a blocked IPv4 address."""
-    is_ipv6 = F.contains(host, F.lit(":"))
-    mapped_dotted = _ipv4_number(F.regexp_extract(host, r"^(?:0*:)*:?ffff:(\d+\.\d+\.\d+\.\d+)$", 1))
-    hex_shape = r"^(?:0*:)*:?ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
-    mapped_hex = F.when(
-        host.rlike(hex_shape),
-        F.conv(F.regexp_extract(host, hex_shape, 1), 16, 10).cast("bigint") * 65536
-        + F.conv(F.regexp_extract(host, hex_shape, 2), 16, 10).cast("bigint"),
-    )
-    mapped = F.coalesce(mapped_dotted, mapped_hex)
-
-    def group(position: int) -> Column:
-        text = F.get(F.split(host, ":"), F.lit(position))
-        usable = F.when(text.rlike(r"^[0-9a-f]{1,4}$"), text).otherwise(F.lit("0"))
-        return F.conv(usable, 16, 10).cast("int")
-
-    first, second = group(0), group(1)
+def ipv6_blocked(groups: Column) -> Column:
+    """IPv6 literal outside the public unicast range, or in a reserved part of it."""
+    first, second = F.get(groups, F.lit(0)), F.get(groups, F.lit(1))
     public = (
-        (first.between(0x2000, 0x3FFF))
+        first.between(0x2000, 0x3FFF)
         & ~((first == 0x2001) & ((second < 0x0200) | (second == 0x0DB8)))
         & (first != 0x2002)
         & ~((first == 0x3FFF) & (second < 0x1000))
     ) | (first >= 0xFEC0)
-    nat64_local = (first == 0x64) & (second == 0xFF9B)
-    return is_ipv6 & F.when(mapped.isNotNull(), _ipv4_blocked(mapped)).otherwise(
-        ~public | nat64_local
-    )
+    return F.coalesce(~public, F.lit(False))
 
 
 def url_reject_reason(
-    url: Column, scheme: Column, authority: Column, host: Column, port: Column
+    url: Column,
+    scheme: Column,
+    authority: Column,
+    host: Column,
+    port: Column,
+    ipv4: Column,
+    groups: Column,
 ) -> Column:
     """Why a URL must not be fetched, NULL when it may be; the first failing test wins.
 
-    The parts are passed in as columns so that a plan can extract each only once.
+    The parts are passed in as columns so that a plan extracts each only once.
     """
+    private = F.when(ipv4.isNotNull(), ipv4_blocked(ipv4)).otherwise(ipv6_blocked(groups))
     return (
         F.when(F.coalesce(url, F.lit("")) == "", F.lit("empty"))
         .when(F.length(url) > MAX_URL_LENGTH, F.lit("too_long"))
@@ -192,7 +208,7 @@ def url_reject_reason(
         .when((authority == "") | (host == ""), F.lit("missing_host"))
         .when((port != "") & ~port.isin(*[str(p) for p in ALLOWED_PORTS]), F.lit("port"))
         .when(host.isin(*BLOCKED_HOSTS), F.lit("blocked_host"))
-        .when(_ipv4_blocked(_ipv4_number(host)) | _ipv6_blocked(host), F.lit("private_ip"))
+        .when(private, F.lit("private_ip"))
     )
 
 

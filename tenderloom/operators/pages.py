@@ -13,19 +13,21 @@ from tenderloom.functions.text import ean_mentions, strip_tags
 
 def screen_urls(pages: DataFrame, url: str = "url") -> DataFrame:
     """Add ``host`` and ``reject_reason`` (NULL when the URL may be fetched)."""
-    source = F.col(url)
-    parts = pages.withColumns(
-        {
-            "_scheme": web.url_scheme(source),
-            "_authority": web.url_authority(source),
-            "host": web.url_host(source),
-            "_port": web.url_port(source),
-        }
-    )
-    reason = web.url_reject_reason(
-        source, F.col("_scheme"), F.col("_authority"), F.col("host"), F.col("_port")
-    )
-    return parts.withColumn("reject_reason", reason).drop("_scheme", "_authority", "_port")
+    # Step by step, so that no extraction is repeated inside the tests that use it.
+    source, host = F.col(url), F.col("host")
+    steps = [
+        {"_scheme": web.url_scheme(source), "_authority": web.url_authority(source)},
+        {"host": web.authority_host(F.col("_authority")), "_port": web.authority_port(F.col("_authority"))},
+        {"_octets": web.ipv4_octets(host), "_groups": web.ipv6_groups(host)},
+        {"_ipv4": web.ipv4_number(host, F.col("_octets"), F.col("_groups"))},
+    ]
+    parts = pages
+    for step in steps:
+        parts = parts.withColumns(step)
+    names = ("_scheme", "_authority", "host", "_port", "_ipv4", "_groups")
+    reason = web.url_reject_reason(source, *map(F.col, names))
+    helpers = [c for step in steps for c in step if c != "host"]
+    return parts.withColumn("reject_reason", reason).drop(*helpers)
 
 
 def url_screen_report(pages: DataFrame, url: str = "url") -> DataFrame:
