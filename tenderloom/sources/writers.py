@@ -78,7 +78,11 @@ METRIC_BATCH_SCHEMA = (
 
 
 def metric_points(batch: DataFrame) -> DataFrame:
-    """Metric series with nested points -> one row per point, with its calendar date."""
+    """Metric series with nested points -> one row per point, with its UTC calendar date.
+
+    The date does not follow the session's time zone, so that all writers fill the same
+    partitions.
+    """
     rows = batch.select("metric", "type", "tags", "resources", F.explode("points").alias("p"))
     return rows.select(
         "metric",
@@ -87,7 +91,8 @@ def metric_points(batch: DataFrame) -> DataFrame:
         "resources",
         F.timestamp_seconds("p.timestamp").alias("ts"),
         F.col("p.value").alias("value"),
-    ).withColumn("date", F.to_date("ts"))
+        F.date_from_unix_date(F.floor(F.col("p.timestamp") / 86400).cast("int")).alias("date"),
+    )
 
 
 def append_metric_points(batch: DataFrame, path: str) -> None:
