@@ -38,7 +38,11 @@ class Workspace:
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         self.root = scratch_dir(spark, purpose)
-        # Workers on this machine find the package wherever the driver was started.
+        self.ship(spark)
+
+    @staticmethod
+    def ship(spark: SparkSession) -> None:
+        """Let workers on this machine find the package wherever the driver was started."""
         spark.sparkContext.environment.setdefault("PYTHONPATH", PACKAGE_ROOT)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
