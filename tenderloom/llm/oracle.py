@@ -79,4 +79,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": OP3, "op6_quality_rules": OP6}
+OP8 = rf"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), grams AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+    FROM texts
+), sets AS MATERIALIZED (
+    SELECT *, list_sort(g) AS key FROM grams
+), classes AS MATERIALIZED (
+    SELECT key, min(doc_id) AS c, any_value(len(g)) AS n FROM sets WHERE len(g) > 0 GROUP BY key
+), one AS MATERIALIZED (
+    SELECT c, n, unnest(key) AS x FROM classes
+), pairs AS (
+    SELECT a.c AS a, b.c AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+    FROM one a JOIN one b ON a.x = b.x AND a.c < b.c GROUP BY 1, 2
+), links AS MATERIALIZED (
+    SELECT a, b FROM pairs WHERE 100 * common >= 85 * (na + nb - common)
+), sides AS MATERIALIZED (
+    SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+    SELECT c AS node, c AS root FROM classes
+    UNION SELECT s.b, r.root FROM reach r JOIN sides s ON s.a = r.node
+), roots AS (
+    SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(r.root, s.doc_id) AS component_id
+FROM sets s LEFT JOIN classes k ON k.key = s.key LEFT JOIN roots r ON r.node = k.c
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": OP3, "op6_quality_rules": OP6, "op8_ngram_jaccard": OP8}

@@ -10,6 +10,7 @@ from tenderloom.llm import bpe
 from tenderloom.llm.common import read_table
 from tenderloom.llm.langid import identify
 from tenderloom.llm.mixing import mix_plan
+from tenderloom.llm.ngram_join import near_duplicates
 from tenderloom.llm.quality import judge_quality
 
 
@@ -33,6 +34,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -41,5 +46,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_bpe": op10_bpe,
 }
