@@ -12,6 +12,7 @@ from tenderloom.llm.langid import identify
 from tenderloom.llm.mixing import mix_plan
 from tenderloom.llm.ngram_join import near_duplicates
 from tenderloom.llm.quality import judge_quality
+from tenderloom.llm.toxicity import score_documents
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +22,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -43,6 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op6_quality_rules": op6_quality_rules,
