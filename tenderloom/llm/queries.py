@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderloom.llm import bpe
-from tenderloom.llm.common import read_table
+from tenderloom.llm.common import Workspace, read_table
 from tenderloom.llm.langid import identify
 from tenderloom.llm.mixing import mix_plan
 from tenderloom.llm.ngram_join import near_duplicates
 from tenderloom.llm.quality import judge_quality
+from tenderloom.llm.token_files import read_token_files, write_token_files
 from tenderloom.llm.toxicity import score_documents
 
 
@@ -35,6 +36,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Workspace(spark, 'token-files').root}/blocks"
+    write_token_files(read_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return read_token_files(spark, path, digest=True)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_bpe": op10_bpe,
