@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderloom.llm import bpe
+from tenderloom.llm.ann import nearest_vectors
 from tenderloom.llm.common import Workspace, read_table
 from tenderloom.llm.langid import identify
 from tenderloom.llm.mixing import mix_plan
@@ -46,6 +47,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
+    "op7_nearest_vectors": op7_nearest_vectors,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_bpe": op10_bpe,
 }
