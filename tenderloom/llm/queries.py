@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tenderloom.llm import bpe
 from tenderloom.llm.ann import nearest_vectors
 from tenderloom.llm.common import Workspace, read_table
+from tenderloom.llm.language_model import score_held_out
 from tenderloom.llm.langid import identify
 from tenderloom.llm.mixing import mix_plan
 from tenderloom.llm.ngram_join import near_duplicates
@@ -55,6 +56,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -67,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_nearest_vectors": op7_nearest_vectors,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_language_model": op9_language_model,
     "op10_bpe": op10_bpe,
 }
