@@ -16,6 +16,7 @@ from tenderloom.llm.ngram_join import near_duplicates
 from tenderloom.llm.quality import judge_quality
 from tenderloom.llm.token_files import read_token_files, write_token_files
 from tenderloom.llm.toxicity import score_documents
+from tenderloom.llm.wrappers import extract_pages
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +30,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -66,6 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_main_text": op2_main_text,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_token_files": op5_token_files,
