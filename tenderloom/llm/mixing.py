@@ -28,7 +28,7 @@ from tenderloom.llm.common import SPACE, Workspace
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MAX_EPOCHS = 2
-PIECE_ROWS = 20_000
+PIECE_ROWS = 4_000
 #: Quality weights; sampling prefers higher ones.
 LEVELS = (0.5, 1.0)
 
@@ -55,7 +55,8 @@ def source_targets(sources: DataFrame, budget: float = BUDGET, max_epochs: int =
     sources, never documents.
 
     Resharing until no target exceeds its cap is water filling: in order of cap / weight, the
-    capped sources are those whose ratio is below the level that the rest would get.
+    capped sources are those whose ratio is below the level that the rest would get. Levels fall
+    from the first source that is not capped on, so that level is the largest of the others.
     """
     names = Window.orderBy(F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
@@ -72,7 +73,7 @@ def source_targets(sources: DataFrame, budget: float = BUDGET, max_epochs: int =
     after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_weight").over(after)
     filled = ranked.withColumn("_level", level)
-    first = F.min(F.when(F.col("_cap") >= F.col("_level") * F.col("_weight"), F.col("_level"))).over(everything)
+    first = F.max(F.when(F.col("_cap") >= F.col("_level") * F.col("_weight"), F.col("_level"))).over(everything)
     target = F.least(F.col("_cap"), F.coalesce(first, F.lit(0.0)) * F.col("_weight"))
     return filled.select("source", "source_size", target.alias("target"))
 

@@ -23,7 +23,7 @@ WITH sized AS (
             / sum(b.weight) FILTER (b.cap / b.weight >= a.cap / a.weight) AS lift
     FROM weighted a CROSS JOIN weighted b GROUP BY ALL
 ), targets AS (
-    SELECT source, total, least(cap, weight * (SELECT min(lift) FROM levels WHERE cap >= lift * weight)) AS target
+    SELECT source, total, least(cap, weight * (SELECT max(lift) FROM levels WHERE cap >= lift * weight)) AS target
     FROM levels
 ), placed AS (
     SELECT l.doc_id, l.size, t.total, t.target,
