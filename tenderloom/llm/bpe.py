@@ -10,8 +10,8 @@ Texts are cut at ASCII white space, which no token, normalisation or pattern cro
 distinct word of a slice is encoded once and looked up in a bounded two-generation cache.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are
-encoded one by one; all columns of ``docs`` but the text are ignored by ``digests`` (doc_id is
-passed on) and kept by ``encode``; an empty table gives an empty result.
+encoded one by one; columns of ``docs`` other than the text and those to keep are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -358,24 +358,35 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_digests(path), schema)
 
 
-def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encode(path: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
         for part in slices(batches, "text"):
             found = EncodedSlice(part.column("text"), model)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("row"), found.ids(), found.decoded(), _sha256(found.id_texts())],
-                ["row", "ids", "decoded", "ids_sha256"],
-            )
+            columns = {"kept": part.column("kept"), "n_tokens": pa.array(found.counts()), "ids": found.ids()}
+            if digest:
+                columns |= {"ids_sha256": _sha256(found.id_texts()), "decoded_sha256": _sha256(found.decoded())}
+            else:
+                columns["decoded"] = found.decoded()
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (all but the text by default), then ids, decoded and ids_sha256."""
+def _encoded(docs: DataFrame, path: str, kept: list[str], digest: bool) -> DataFrame:
     Workspace.ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "text"] if keep is None else keep
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), "text")
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(_encode(path), f"row {kind}, ids ARRAY<INT>, decoded STRING, ids_sha256 STRING")
-    return out.select("row.*", "ids", "decoded", "ids_sha256")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("kept"), "text")
+    last = "ids_sha256 STRING, decoded_sha256 STRING" if digest else "decoded STRING"
+    kind = f"kept {rows.schema['kept'].dataType.simpleString()}, n_tokens BIGINT, ids ARRAY<INT>, {last}"
+    out = rows.mapInArrow(_encode(path, digest), kind)
+    return out.select("kept.*", *[c for c in out.columns if c != "kept"])
+
+
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` of every row with n_tokens, ids and the decoded text."""
+    return _encoded(docs, path, list(keep), digest=False)
+
+
+def encode_with_digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """As ``encode``, with SHA-256 of the joined ids and of the decoded text instead of the text."""
+    return _encoded(docs, path, list(keep), digest=True)
