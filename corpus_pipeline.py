@@ -1,4 +1,4 @@
-"""A corpus from raw documents: filters, near duplicates, mixing, token ids."""
+"""A training corpus from raw documents: filters, near duplicates, a mix of sources, token ids."""
 
 from __future__ import annotations
 
@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tenderloom.llm import bpe
 from tenderloom.llm.common import Workspace, read_table
 from tenderloom.llm.mixing import mix_documents
+from tenderloom.llm.ngram_join import keep_one_of_each
 from tenderloom.llm.quality import filter_quality
+from tenderloom.llm.queries import vocabulary
+from tenderloom.llm.toxicity import keep_clean
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose nearest labelled examples do not call them toxic."""
+    return keep_clean(docs, read_table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,17 +25,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return filter_quality(docs)
 
 
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return keep_one_of_each(docs, n=5, percent=80)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mix_documents(docs)
 
 
+def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digests of ids and decoded text."""
+    return bpe.encode_with_digests(docs, vocabulary("word_bpe_49k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
     ("quality_rules", quality_rules),
+    ("ngram_jaccard", ngram_jaccard),
     ("mixing", mixing),
+    ("bpe", bpe_ids),
 ]
 
-#: Learned scores and approximate steps have no SQL form; tests use a brute-force version.
+#: Learned scores have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
