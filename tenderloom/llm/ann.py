@@ -6,6 +6,9 @@ sixteenth of the one below. At every level a node's candidates are its exact nea
 (a shard is bounded, so this is a few matrix products); links go to candidates that are nearer to
 the node than to any link chosen before, and back. Graphs are stored as flat neighbour arrays.
 
+Where lengths differ, a node also points to those of largest inner product with it, since answers
+are often long vectors that are not near by angle.
+
 Search descends by beams, a block of queries at once. Every query meets every shard, in blocks;
 answers of all shards are merged by exact double-precision scores.
 
@@ -86,9 +89,13 @@ def _diverse(vectors: np.ndarray, ids: np.ndarray, near: np.ndarray, limit: int)
 
 
 def _level(vectors: np.ndarray, nodes: np.ndarray, links: int) -> Level:
+    """``vectors`` end with the component that makes their lengths equal."""
     if len(nodes) < 2:
         return Level(nodes, np.full((len(nodes), 1), -1, np.int32))
     own = vectors[nodes]
+    far = np.zeros((len(nodes), 0), np.int32)
+    if own[:, -1].max() > 1e-2:
+        far = _nearest(np.ascontiguousarray(own[:, :-1]), links)[0]
     ids, near = _nearest(own, CANDIDATES)
     chosen = _diverse(own, ids, near, links)
     source, rank = np.nonzero(chosen)
@@ -106,7 +113,7 @@ def _level(vectors: np.ndarray, nodes: np.ndarray, links: int) -> Level:
     keep = place < 2 * links
     out = np.full((len(nodes), 2 * links), -1, np.int32)
     out[a[keep], place[keep]] = b[keep]
-    return Level(nodes, out)
+    return Level(nodes, np.concatenate([out, far], 1))
 
 
 class Graph:
