@@ -5,8 +5,7 @@ on the label (chi-square over all labelled texts, equal texts once) carry a text
 its length counts all its terms, the others at the least weight a term can have.
 Examples are a bounded sample of labelled texts. A text's nearest examples by exact cosine come
 from an inverted index in blocks: the largest weight of each term in each block bounds the score
-of its examples, blocks are taken by falling bound, and search ends when no bound can reach the
-nearest found. Votes weighted by similarity, toxic and clean, are turned into a probability by logistic
+of its examples, those of largest bound are scored, then all whose bound can reach the k-th found. Votes weighted by similarity, toxic and clean, are turned into a probability by logistic
 calibration on the examples themselves, each left out of its own search.
 
 Bounds of the model, none of which limits the texts that are scored: ``MAX_TERMS`` terms and
@@ -37,7 +36,8 @@ MIN_TEXTS = 5
 MIN_CHI2 = 30.0
 NEIGHBOURS = 16
 EXAMPLES_PER_BLOCK = 64
-BLOCKS_AT_ONCE = 8
+#: Blocks scored first, by falling bound; their scores decide which others are needed.
+FIRST_BLOCKS = 16
 #: Ids of labelled texts sent to every task; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Fixed value: characters trimmed from the ends of a word.
@@ -115,6 +115,7 @@ class BlockMaxIndex:
         owner = np.repeat(np.arange(len(vectors)), sizes)
         term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int64)
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        self.count = len(vectors)
         self.blocks = -(-max(len(vectors), 1) // EXAMPLES_PER_BLOCK)
         block = owner // EXAMPLES_PER_BLOCK
         self.most = np.zeros((n_terms, self.blocks))
@@ -127,24 +128,27 @@ class BlockMaxIndex:
         """The k examples of largest positive cosine, nearest first, ties to the earlier one."""
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        found, score = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), BLOCKS_AT_ONCE):
-            blocks = order[at : at + BLOCKS_AT_ONCE]
-            top = bound[blocks[0]]
-            # Sums may differ in their last digits, hence the margin.
-            if top <= 0 or (len(score) == k and top < score[-1] - 1e-9):
-                break
-            cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
-            size = self.start[cell + 1] - self.start[cell]
-            posting = ranges(self.start[cell], size)
-            owner = self.owner[posting]
-            value = self.weight[posting] * np.repeat(np.repeat(weights, len(blocks)), size)
-            hits, place = np.unique(owner, return_inverse=True)
-            found = np.concatenate([found, hits])
-            score = np.concatenate([score, np.bincount(place, value, len(hits))])
-            best = np.lexsort((found, -score))[:k]
-            found, score = found[best], score[best]
-        return found, score
+        score = self._scores(terms, weights, order[:FIRST_BLOCKS])
+        found = np.flatnonzero(score)
+        least = np.partition(score[found], -k)[-k] if len(found) >= k else 0.0
+        # Of the other blocks only those that can still reach the k-th; sums may differ in their last digits.
+        rest = order[FIRST_BLOCKS:]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= least - 1e-9)]
+        if len(rest):
+            score += self._scores(terms, weights, rest)
+            found = np.flatnonzero(score)
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k]]
+        best = found[np.lexsort((found, -score[found]))[:k]]
+        return best, score[best]
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Exact scores of the examples of some blocks, 0 for all others."""
+        cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
+        size = self.start[cell + 1] - self.start[cell]
+        posting = ranges(self.start[cell], size)
+        value = self.weight[posting] * np.repeat(np.repeat(weights, len(blocks)), size)
+        return np.bincount(self.owner[posting], value, self.count)
 
 
 @dataclass
