@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 # Shipping texts that mean "free".
 FREE_SHIPPING_WORDS = ("gratis", "kostenlos", "frei")
 
-# Price text shapes.
-GERMAN_PRICE = r"(\d{1,3}(?:\.\d{3})+|\d+),(\d{2})"
-PLAIN_PRICE = r"(\d+)[.,](\d{2})\b"
-WHOLE_PRICE = r"(\d+)"
-US_GROUPED_PRICE = r"\d,\d{3}(?:,\d{3})*\.\d"
+# The first number of a text with everything that belongs to it, and the shapes it may have.
+NUMBER = r"(-?\d[\d.,]*)"
+EUROS_AND_CENTS = r"^(\d+|\d{1,3}(?:\.\d{3})+)[.,](\d{2})$"
+WHOLE_EUROS = r"^(\d+|\d{1,3}(?:\.\d{3})+|\d{1,3}(?:,\d{3})+)$"
 
 
 def to_cents(amount: Column) -> Column:
@@ -64,32 +63,34 @@ def offer_total(price: Column, shipping: Column) -> Column:
     return price + shipping
 
 
-def _digits_to_cents(euros: Column, cents: Column | None = None) -> Column:
-    whole = F.nullif(F.regexp_replace(euros, r"\.", ""), F.lit(""))
-    digits = F.concat(whole, cents if cents is not None else F.lit("00"))
-    return digits.try_cast("bigint")
-
-
-def price_is_ambiguous(text: Column) -> Column:
-    """True for US grouping such as ``1,234.56``, which cannot be read as a German price."""
-    return F.coalesce(text.rlike(US_GROUPED_PRICE), F.lit(False))
+def _number(text: Column) -> Column:
+    found = F.rtrim(F.regexp_extract(text, NUMBER, 1), F.lit(".,"))
+    return F.nullif(found, F.lit(""))
 
 
 def parse_price(text: Column) -> Column:
     """Price text -> BIGINT cents; NULL when there is no number or it is ambiguous.
 
-    Tried in order: German ``1.234,56`` (grouped or not), ``n.dd`` / ``n,dd``,
-    then the first whole number.
+    The first number is read as a whole: ``1.234,56`` and ``1234.56`` have cents, ``1.234``,
+    ``1,234`` and ``150`` are whole euros. Anything else, such as ``1,234.56``, ``1.234,5`` or a
+    negative number, has no agreed reading; ``price_parse`` says so.
     """
-    body = F.trim(F.replace(text, F.lit("EUR"), F.lit("")))
-    german = _digits_to_cents(
-        F.regexp_extract(body, GERMAN_PRICE, 1), F.regexp_extract(body, GERMAN_PRICE, 2)
+    number = _number(text)
+    digits = F.concat(
+        F.regexp_replace(F.regexp_extract(number, EUROS_AND_CENTS, 1), r"\.", ""),
+        F.regexp_extract(number, EUROS_AND_CENTS, 2),
+    )
+    whole = F.concat(F.regexp_replace(number, "[.,]", ""), F.lit("00"))
+    return (
+        F.when(number.rlike(WHOLE_EUROS), whole).when(number.rlike(EUROS_AND_CENTS), digits).try_cast("bigint")
     )
-    plain = _digits_to_cents(
-        F.regexp_extract(body, PLAIN_PRICE, 1), F.regexp_extract(body, PLAIN_PRICE, 2)
+
+
+def price_parse(text: Column) -> Column:
+    """``ok``, ``missing`` or ``ambiguous``: how ``parse_price`` fared."""
+    return (
+        F.when(parse_price(text).isNotNull(), "ok").when(_number(text).isNull() | text.isNull(), "missing").otherwise("ambiguous")
     )
-    whole = _digits_to_cents(F.regexp_extract(body, WHOLE_PRICE, 1))
-    return F.when(~price_is_ambiguous(body), F.coalesce(german, plain, whole))
 
 
 def parse_shipping(text: Column) -> Column:

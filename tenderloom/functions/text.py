@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Article code shapes, tried in this order.
 ARTICLE_CODE_PATTERNS = (
@@ -47,19 +43,9 @@ def dedup_key(name: Column) -> Column:
     return F.lower(strip(name))
 
 
-@F.pandas_udf(T.StringType())
-def _to_nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda value: value and unicodedata.normalize("NFC", value))
-
-
-def clean_name(name: Column, compose: bool = False) -> Column:
-    """Collapse white space; ``compose=True`` also applies Unicode NFC.
-
-    Spark has no normalisation function, so NFC is the library's only Python
-    step, batched through Arrow and off by default.
-    """
-    source = _to_nfc(name) if compose else name
-    return strip(F.regexp_replace(source, r"(?U)\s+", " "))
+def clean_name(name: Column) -> Column:
+    """Collapse white space of any kind. Composed and decomposed letters stay as they are."""
+    return strip(F.regexp_replace(name, r"(?U)\s+", " "))
 
 
 def article_code(text: Column) -> Column:
@@ -105,19 +91,27 @@ def rfq_fields(line: Column) -> tuple[Column, Column, Column]:
     return query, quantity, label
 
 
+#: Score of a search hit by how its fields meet the term, and of any other hit.
+HIT_SCORES = (
+    (1.0, "equals", "ean"),
+    (0.95, "equals", "name"),
+    (0.85, "starts", "name"),
+    (0.7, "holds", "name"),
+    (0.6, "equals", "brand"),
+    (0.5, "holds", "description"),
+)
+LEAST_SCORE = 0.3
+
+
 def relevance(term: Column, ean: Column, name: Column, brand: Column, description: Column) -> Column:
-    """Match quality of a search term, 1.0 for the barcode down to 0.3."""
-    t, n, b, d = F.lower(term), F.lower(name), F.lower(brand), F.lower(description)
-    score = (
-        F.when(ean == term, 1.0)
-        .when(n == t, 0.95)
-        .when(F.startswith(n, t), 0.85)
-        .when(F.contains(n, t), 0.7)
-        .when(b == t, 0.6)
-        .when(F.contains(d, t), 0.5)
-        .otherwise(0.3)
-    )
-    return score.cast("decimal(3,2)")
+    """Match quality of a search term: the best score among the tests that hold."""
+    fields = {"ean": ean, "name": F.lower(name), "brand": F.lower(brand), "description": F.lower(description)}
+    tests = {"equals": lambda x, t: x == t, "starts": F.startswith, "holds": F.contains}
+    scores = [
+        F.when(tests[test](fields[field], term if field == "ean" else F.lower(term)), score).otherwise(0.0)
+        for score, test, field in HIT_SCORES
+    ]
+    return F.greatest(F.lit(LEAST_SCORE), *scores).cast("decimal(3,2)")
 
 
 def strip_tags(html: Column) -> Column:

@@ -206,7 +206,7 @@ def url_reject_reason(
         .when(F.length(url) > MAX_URL_LENGTH, F.lit("too_long"))
         .when(~scheme.isin(*ALLOWED_SCHEMES), F.lit("scheme"))
         .when((authority == "") | (host == ""), F.lit("missing_host"))
-        .when((port != "") & ~port.isin(*[str(p) for p in ALLOWED_PORTS]), F.lit("port"))
+        .when((port != "") & ~F.coalesce(port.try_cast("int").isin(*ALLOWED_PORTS), F.lit(False)), F.lit("port"))
         .when(host.isin(*BLOCKED_HOSTS), F.lit("blocked_host"))
         .when(private, F.lit("private_ip"))
     )
@@ -260,17 +260,26 @@ def page_heading(html: Column) -> Column:
 def jsonld_offers(html: Column) -> Column:
     """JSON-LD product offers as ``array<struct>``; prices that are not positive are dropped.
 
-    A block may hold one object or a list (then its first element counts), and
-    ``offers`` may be one object or a list; ``from_json`` with an array schema
-    reads both forms.
+    A block may hold one object, a list of them, or a ``@graph`` of them; ``@type`` may be one
+    name or several and ``offers`` one object or a list. ``from_json`` with an array schema reads
+    single objects and lists alike.
     """
     blocks = F.regexp_extract_all(html, F.lit(JSONLD_BLOCK), F.lit(1))
     offer_type = "array<struct<price:string,url:string,seller:struct<name:string>>>"
 
-    def block_offers(block: Column) -> Column:
-        head = F.get(
-            F.from_json(block, "array<struct<`@type`:string,name:string,offers:string>>"), F.lit(0)
-        )
+    item_type = "array<struct<`@type`:string,name:string,offers:string,`@graph`:string>>"
+
+    def items_of(block: Column) -> Column:
+        items = F.coalesce(F.from_json(block, item_type), F.array().cast(item_type))
+        graphs = F.transform(items, lambda x: F.coalesce(F.from_json(x["@graph"], item_type), F.array().cast(item_type)))
+        return F.concat(items, F.flatten(graphs))
+
+    def is_product(kind: Column) -> Column:
+        names = F.from_json(kind, "array<string>")
+        listed = F.exists(names, lambda name: name.isin(*PRODUCT_TYPES))
+        return F.coalesce(kind.isin(*PRODUCT_TYPES) | F.coalesce(listed, F.lit(False)), F.lit(False))
+
+    def item_offers(head: Column) -> Column:
         parsed = F.from_json(head["offers"], offer_type)
         rows = F.transform(
             parsed,
@@ -282,9 +291,10 @@ def jsonld_offers(html: Column) -> Column:
             ),
         )
         priced = F.filter(rows, lambda row: row["price_cents"] > 0)
-        return F.when(head["@type"].isin(*PRODUCT_TYPES), priced)
+        return F.when(is_product(head["@type"]), priced)
 
-    found = F.filter(F.transform(blocks, block_offers), lambda rows: rows.isNotNull())
+    items = F.flatten(F.transform(blocks, items_of))
+    found = F.filter(F.transform(items, item_offers), lambda rows: rows.isNotNull())
     return F.flatten(found)
 
 

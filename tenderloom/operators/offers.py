@@ -9,9 +9,11 @@ gathers the offers of a product, which may hold a large share of the table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderloom.functions.ean import normalize_ean, search_type
 from tenderloom.functions.money import div_half_up, percent, savings_cents, savings_percent
@@ -41,8 +43,9 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def top_per_source(offers: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """At most ``n`` (1 to 20) offers per key and source, in arrival order."""
-    n = max(1, min(int(n), 20))
+    """The first ``n`` offers per key and source, in arrival order."""
+    if n < 1:
+        raise ValueError(f"{n} offers per source")
     return skew.first_rows(offers, [*keys, "source"], [F.col("position")], n)
 
 
@@ -144,17 +147,27 @@ def best_offer_per_merchant(offers: DataFrame, by: Sequence[str]) -> DataFrame:
     return skew.first_rows(keyed, [*by, "merchant_key"], order, 1).drop("row_no")
 
 
+def leading_integers(kind: T.DataType, name: str) -> list[Column]:
+    """The integer fields that a position starts with: ordering by them agrees with its own order."""
+    if isinstance(kind, T.IntegralType):
+        return [F.col(name)]
+    fields = kind.fields if isinstance(kind, T.StructType) else []
+    return [F.col(name)[f.name] for f in takewhile(lambda f: isinstance(f.dataType, T.IntegralType), fields)]
+
+
 def rank_suppliers(offers: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Cheapest offer of each merchant (first wins ties), ranked by total price."""
-    best = best_offer_per_merchant(offers, by)
-    # Ties on a price are split further by the merchant's hash, so equal prices of
-    # very many merchants do not meet in one task either.
-    spread = F.pmod(F.xxhash64("merchant_key"), F.lit(1024)).cast("int")
+    """Cheapest offer of each merchant (first wins ties), ranked by total price.
+
+    Merchants of equal price are ranked by their first offer's arrival.
+    """
+    arrival = offers.filter(F.col("total_cents").isNotNull()).withColumn("merchant_key", F.lower("merchant_name"))
+    arrival = arrival.groupBy(*by, "merchant_key").agg(F.min("position").alias("first_position"))
+    best = best_offer_per_merchant(offers, by).join(arrival, [*by, "merchant_key"])
     return skew.numbered_rows(
-        best.withColumn("_spread", spread),
+        best,
         keys=by,
-        split_by=[F.col("total_cents"), F.col("_spread")],
-        order_by=[F.col("total_cents"), F.col("_spread"), F.col("merchant_key")],
+        split_by=[F.col("total_cents"), *leading_integers(best.schema["first_position"].dataType, "first_position")],
+        order_by=[F.col("total_cents"), F.col("first_position"), F.col("merchant_key")],
         name="supplier_rank",
         sized_by=offers,
     ).select(
@@ -177,14 +190,15 @@ def supplier_insights(offers: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def cheaper_alternatives(references: DataFrame, offers: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` (1 to 20) cheapest products of the category below 95 % of each reference price.
+    """The ``k`` cheapest products of the category below 95 % of each reference price.
 
     ``references(ref_id, category, reference_cents)``. "Below the limit, cheapest first"
     selects a prefix of the category's price list, so the first ``k`` products of each
     category answer every reference in it: at most ``k`` rows per category meet the
     references instead of all pairs.
     """
-    k = max(1, min(int(k), 20))
+    if k < 1:
+        raise ValueError(f"{k} alternatives")
     keyed = offers.filter(F.col("total_cents").isNotNull()).withColumn(
         "product_key", dedup_key(F.col("product_name"))
     )

@@ -288,7 +288,7 @@ def _path(path: str) -> Column:
     return column
 
 
-def _field(spec: str, schema: T.StructType) -> Column:
+def _field(spec: str, cut: bool) -> Column:
     name, _, source = spec.partition("=")
     paths, _, rule = (source or name).partition(":")
     options = [_path(path) for path in paths.split("|")]
@@ -297,7 +297,7 @@ def _field(spec: str, schema: T.StructType) -> Column:
     for option in reversed(options[:-1]):
         value = F.when(F.length(option) > 0, option).otherwise(value)
     if rule.startswith("cut"):
-        value = truncate(value, int(rule[3:]))
+        value = truncate(value, int(rule[3:])) if cut else F.coalesce(value, F.lit(""))
     elif rule == "list":
         value = F.coalesce(value, F.array())
     elif rule == "size":
@@ -307,9 +307,12 @@ def _field(spec: str, schema: T.StructType) -> Column:
     return value.alias(name)
 
 
-def flatten_records(df: DataFrame, kind: str) -> DataFrame:
-    """Nested records of a kind -> one flat row each; missing fields are NULL."""
-    return df.select(*[_field(spec, df.schema) for spec in RECORD_FIELDS[kind].split()])
+def flatten_records(df: DataFrame, kind: str, cut: bool = False) -> DataFrame:
+    """Nested records of a kind -> one flat row each; missing fields are NULL.
+
+    Texts stay whole; ``cut`` shortens the long ones for display.
+    """
+    return df.select(*[_field(spec, cut) for spec in RECORD_FIELDS[kind].split()])
 
 
 def parse_records(df: DataFrame, json: str, kind: str) -> DataFrame:

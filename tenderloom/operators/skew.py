@@ -1,10 +1,10 @@
 """Building blocks that keep a hot key from landing in one task.
 
 A key may hold a large share of all rows. Plain ``row_number`` or ``percentile`` sorts or
-collects the whole group in one task. The helpers here count rows per key first (one
-partially aggregated pass over the key columns); ordinary keys take the plain Spark
-operator, and only keys beyond the limit are cut by value, aggregated in pieces and put
-together exactly. Without such keys AQE drops the second branch before it reads anything.
+collects the whole group in one task. ``percentiles`` always works on value frequencies.
+The other helpers count rows per key first (one partially aggregated pass over the key
+columns); ordinary keys take the plain Spark operator, keys beyond the limit are cut by value
+and put together exactly, with equal results.
 """
 
 from __future__ import annotations
@@ -133,58 +133,37 @@ def percentiles(
     keys: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
-    aggregates: Sequence[Column] = (),
-    limit: int | None = None,
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per key as DOUBLE columns, NULL values left out.
 
-    ``aggregates`` are further aggregates of the same groups (they must combine map-side).
-    Ordinary keys use Spark's ``percentile``; hot keys ``split_percentiles``.
+    A key without values keeps its row, with NULL percentiles. ``sums`` names further columns
+    that are summed per key. The same plan serves every size: (key, value) frequencies combine
+    map-side, rows are counted per value bucket, and a running count looks only inside buckets
+    that hold a wanted rank, so no task sees a whole key.
     """
-    names = list(keys)
-    solid, group, originals = _solid_keys(df, names)
-    ordinary, hot = _parted_by_heat(solid, group, limit)
-    points = list(probabilities.values())
-    columns = [*names, *_names_of(df, names, aggregates), *probabilities]
-    listed = ordinary.groupBy(*group).agg(
-        *aggregates, F.percentile(value, F.array(*map(F.lit, points))).alias("_points")
+    sums = dict(sums or {})
+    solid, group, originals = _solid_keys(df, list(keys))
+    # NULL values have a bucket of their own, before all others, with no rows to rank.
+    number = F.coalesce(value_bucket(F.col(value)), F.lit(-(2**31)).cast("int"))
+    frequencies = solid.groupBy(*group, number.alias("_bucket"), F.col(value).alias("_value")).agg(
+        F.count(value).alias("_rows"), *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()]
     )
-    plain = listed.select(
-        "*",
-        *originals,
-        *[F.get("_points", F.lit(i)).alias(name) for i, name in enumerate(probabilities)],
-    ).select(*columns)
-    split = split_percentiles(hot, group, value, probabilities)
-    if aggregates:
-        split = hot.groupBy(*group).agg(*aggregates).join(split, group, "left")
-    return plain.unionByName(split.select("*", *originals).select(*columns))
-
-
-def _names_of(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> list[str]:
-    return df.groupBy(*keys).agg(*aggregates).columns[len(keys) :] if aggregates else []
-
-
-def split_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]
-) -> DataFrame:
-    """Exact interpolated percentiles of hot keys (non-NULL key columns).
-
-    Three aggregations replace one in-memory group: (key, value) frequencies with
-    map-side combine, row counts per value bucket, and a running count inside only
-    those buckets that hold a wanted rank. No task sees a whole hot key.
-    """
-    frequencies = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value_bucket(F.col(value)).alias("_bucket"), F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    by_key = Window.partitionBy(*keys)
+    by_key = Window.partitionBy(*group)
     earlier = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = [F.sum("_rows").alias("_bucket_rows")]
+    totals += [F.sum(f"_sum_{name}").alias(f"_sum_{name}") for name in sums]
     buckets = (
-        frequencies.groupBy(*keys, "_bucket")
-        .agg(F.sum("_rows").alias("_bucket_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_bucket_rows").over(earlier), F.lit(0)))
-        .withColumn("_total", F.sum("_bucket_rows").over(by_key))
+        frequencies.groupBy(*group, "_bucket")
+        .agg(*totals)
+        .withColumns(
+            {
+                "_before": F.coalesce(F.sum("_bucket_rows").over(earlier), F.lit(0)),
+                "_total": F.sum("_bucket_rows").over(by_key),
+                "_nr": F.row_number().over(by_key.orderBy("_bucket")),
+                **{f"_all_{name}": F.sum(f"_sum_{name}").over(by_key) for name in sums},
+            }
+        )
     )
 
     def position(p: float) -> Column:
@@ -194,19 +173,19 @@ def split_percentiles(
         name: (F.floor(position(p)), F.ceil(position(p))) for name, p in probabilities.items()
     }
     last = F.col("_before") + F.col("_bucket_rows")
-    wanted = F.lit(False)
-    for low, high in ranks.values():
-        wanted = wanted | ((low >= F.col("_before")) & (low < last))
-        wanted = wanted | ((high >= F.col("_before")) & (high < last))
-    hits = buckets.filter(wanted).drop("_bucket_rows")
-
+    # The first bucket carries the key and its sums even if no rank lies in it.
+    wanted = F.col("_nr") == 1
+    for rank in (r for pair in ranks.values() for r in pair):
+        wanted = wanted | ((rank >= F.col("_before")) & (rank < last))
+    hits = buckets.filter(wanted).select(*group, "_bucket", "_before", "_total", *[f"_all_{n}" for n in sums])
     running = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy(*group, "_bucket")
         .orderBy("_value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     located = (
-        frequencies.join(hits, [*keys, "_bucket"])
+        frequencies.select(*group, "_bucket", "_value", "_rows")
+        .join(hits, [*group, "_bucket"])
         .withColumn("_end", F.col("_before") + F.sum("_rows").over(running))
         .withColumn("_start", F.col("_end") - F.col("_rows"))
     )
@@ -215,17 +194,17 @@ def split_percentiles(
         inside = (rank >= F.col("_start")) & (rank < F.col("_end"))
         return F.max(F.when(inside, F.col("_value").cast("double")))
 
-    aggregates = [F.max("_total").alias("_total")]
+    aggregates = [F.max("_total").alias("_total"), *[F.max(f"_all_{n}").alias(n) for n in sums]]
     for name, (low, high) in ranks.items():
         aggregates += [at(low).alias(f"_low_{name}"), at(high).alias(f"_high_{name}")]
-    found = located.groupBy(*keys).agg(*aggregates)
+    found = located.groupBy(*group).agg(*aggregates)
     results = []
     for name, (low_rank, high_rank) in ranks.items():
         low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
         place = position(probabilities[name])
         between = (high_rank - place) * low + (place - low_rank) * high
         results.append(F.when(low_rank == high_rank, low).otherwise(between).alias(name))
-    return found.select(*keys, *results)
+    return found.select("*", *originals, *results).select(*keys, *sums, *probabilities)
 
 
 def spread_hot_keys(

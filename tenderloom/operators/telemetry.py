@@ -8,18 +8,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenderloom.functions.money import div_half_up
 from tenderloom.operators import skew
 
-# Search limits, facet limits, list lengths.
-DEFAULT_LIMIT = 25
-MAX_LIMIT = 1000
+# Most facets of one aggregation, length of the lists whose feature is a top-n.
 MAX_FACETS = 4
-FACET_VALUES = 25
-MAX_BUCKETS = 50
+TOP_VALUES = 25
 SAMPLE_POINTS = 20
-METRIC_NAMES = 100
 
 PERCENTILES = {"pc75": 0.75, "pc90": 0.90, "pc95": 0.95, "pc99": 0.99}
 
@@ -62,10 +59,9 @@ def search_records(
     sort: str | None = None,
     descending: bool = True,
     tie_break: Sequence[str] = (),
-    limit: int = DEFAULT_LIMIT,
-    max_limit: int = MAX_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Predicate and time range, sorted, cut at ``limit`` (never above ``max_limit``).
+    """Predicate and time range, sorted; exactly the first ``limit`` rows if one is given.
 
     Filters reach the scan; sort and limit run as a distributed top-k.
     """
@@ -74,7 +70,14 @@ def search_records(
         found = found.filter(where)
     key = F.col(sort or ts)
     order = key.desc_nulls_last() if descending else key.asc_nulls_last()
-    return found.orderBy(order, *tie_break).limit(min(int(limit), max_limit))
+    return at_most(found.orderBy(order, *tie_break), limit)
+
+
+def at_most(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows; all without a limit."""
+    if limit is not None and limit < 0:
+        raise ValueError(f"a limit of {limit} rows")
+    return df if limit is None else df.limit(limit)
 
 
 def title_contains(df: DataFrame, text: str, column: str = "title") -> DataFrame:
@@ -102,8 +105,12 @@ def page_of(
 
 
 def count_by(df: DataFrame, key: str) -> DataFrame:
-    """Rows per key value; missing and empty keys count as ``unknown``."""
-    value = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit("unknown"))
+    """Rows per key value; missing keys, empty texts, 0 and false count as ``unknown``."""
+    field = df.schema[key].dataType
+    value = F.nullif(F.col(key).cast("string"), F.lit(""))
+    if isinstance(field, (T.NumericType, T.BooleanType)):
+        value = F.when(F.col(key).cast("double") != 0, value)
+    value = F.coalesce(value, F.lit("unknown"))
     return df.groupBy(value.alias(key)).agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -138,15 +145,14 @@ def facet_aggregate(
     group_by: Sequence[str],
     metric: str | None = None,
     fn: str = "count",
-    values_per_facet: int = FACET_VALUES,
-    max_buckets: int = MAX_BUCKETS,
+    values_per_facet: int | None = None,
+    max_buckets: int | None = None,
 ) -> DataFrame:
-    """Aggregate by up to four facets, keeping the top values of each facet.
+    """Aggregate by up to four facets; all buckets unless limits are given.
 
-    The first facet keeps its ``values_per_facet`` largest values, each of these the
-    largest values of the second facet, and so on; then the largest ``max_buckets``
-    buckets are returned. The values kept at one level (at most ``values_per_facet`` to
-    the power of the level) filter the rows of the next one before they are aggregated.
+    With ``values_per_facet`` the first facet keeps its largest values, each of these the
+    largest values of the second facet, and so on, and the values kept at one level filter the
+    rows of the next one before they are aggregated. ``max_buckets`` keeps the largest buckets.
     """
     facets = list(group_by)
     if not 1 <= len(facets) <= MAX_FACETS:
@@ -158,21 +164,24 @@ def facet_aggregate(
         }
     ).select(*facets, *([metric] if metric else []))
     kept = None
-    for depth in range(1, len(facets) + 1):
+    for depth in range(len(facets) if values_per_facet is None else 1, len(facets) + 1):
         keys = facets[:depth]
+        if values_per_facet is None:
+            kept = _facet_values(rows, keys, metric, fn)
+            break
         if kept is not None:
-            rows = rows.join(F.broadcast(kept.select(*keys[:-1])), keys[:-1], "left_semi")
+            rows = rows.join(kept.select(*keys[:-1]), keys[:-1], "left_semi")
         order = [F.desc_nulls_last("value"), F.col(keys[-1])]
         valued = _facet_values(rows, keys, metric, fn)
         if depth == 1:
             kept = valued.orderBy(*order).limit(values_per_facet)
         else:
             kept = skew.first_rows(valued, keys[:-1], order, values_per_facet).drop("row_no")
-    return kept.orderBy(F.desc_nulls_last("value"), *facets).limit(max_buckets)
+    return at_most(kept.orderBy(F.desc_nulls_last("value"), *facets), max_buckets)
 
 
 def top_facets(
-    counts: DataFrame, facet: Sequence[str], value: str, tie_break: str, n: int = FACET_VALUES
+    counts: DataFrame, facet: Sequence[str], value: str, tie_break: str, n: int = TOP_VALUES
 ) -> DataFrame:
     """The ``n`` largest rows of each facet."""
     order = [F.desc_nulls_last(value), F.col(tie_break)]
@@ -229,15 +238,10 @@ def summarize_series(points: DataFrame, series: Sequence[str]) -> DataFrame:
     )
 
 
-def list_metrics(series: DataFrame, prefix: str, limit: int = METRIC_NAMES) -> DataFrame:
-    """The first metric names with a prefix, in name order."""
-    return (
-        series.filter(F.startswith("metric", F.lit(prefix)))
-        .select("metric")
-        .distinct()
-        .orderBy("metric")
-        .limit(limit)
-    )
+def list_metrics(series: DataFrame, prefix: str, limit: int | None = None) -> DataFrame:
+    """The metric names with a prefix, in name order; exactly the first ``limit`` if one is given."""
+    names = series.filter(F.startswith("metric", F.lit(prefix))).select("metric").distinct()
+    return at_most(names.orderBy("metric"), limit)
 
 
 def tag_keys(df: DataFrame, by: Sequence[str], tags: str = "tags") -> DataFrame:
@@ -273,10 +277,7 @@ def service_health(
     """
     recent = spans if as_of is None else time_window(spans, ts, window_seconds, "now", as_of)
     keys = ["service", "env"]
-    counts = [
-        F.count(F.lit(1)).alias("total_requests"),
-        F.count_if("is_error").alias("total_errors"),
-    ]
+    counts = {"total_requests": F.lit(1), "total_errors": F.coalesce(F.col("is_error").cast("int"), F.lit(0))}
     signals = skew.percentiles(
         recent, keys, "duration_ns", {"p50": 0.50, "p95": 0.95, "p99": 0.99}, counts
     )
@@ -412,39 +413,105 @@ def anomalies(resources: DataFrame, spool_percent: float, depth: int) -> DataFra
 
 
 # Columns kept per record category.
-KEPT_FIELDS: Mapping[str, str] = {
+KEPT_FIELDS: Mapping[str, tuple[str, ...]] = {
     "queue": (
-        "queueName msgVpnName accessType durable ingressEnabled egressEnabled spooledMsgCount "
-        "msgSpoolUsage msgSpoolPeakUsage maxMsgSpoolUsage maxMsgSize maxBindCount bindCount "
-        "consumerCount averageRxMsgRate averageTxMsgRate lowPriorityMsgCongestionState "
-        "deadMsgQueue deletedMsgCount"
+        "queueName",
+        "msgVpnName",
+        "accessType",
+        "durable",
+        "ingressEnabled",
+        "egressEnabled",
+        "spooledMsgCount",
+        "msgSpoolUsage",
+        "msgSpoolPeakUsage",
+        "maxMsgSpoolUsage",
+        "maxMsgSize",
+        "maxBindCount",
+        "bindCount",
+        "consumerCount",
+        "averageRxMsgRate",
+        "averageTxMsgRate",
+        "lowPriorityMsgCongestionState",
+        "deadMsgQueue",
+        "deletedMsgCount",
     ),
     "client": (
-        "clientName msgVpnName clientAddress clientUsername clientProfileName aclProfileName "
-        "platform uptime slowSubscriber averageRxMsgRate averageTxMsgRate dataRxMsgCount "
-        "dataTxMsgCount"
+        "clientName",
+        "msgVpnName",
+        "clientAddress",
+        "clientUsername",
+        "clientProfileName",
+        "aclProfileName",
+        "platform",
+        "uptime",
+        "slowSubscriber",
+        "averageRxMsgRate",
+        "averageTxMsgRate",
+        "dataRxMsgCount",
+        "dataTxMsgCount",
     ),
     "vpn": (
-        "msgVpnName enabled state failureReason maxConnectionCount maxMsgSpoolUsage "
-        "msgSpoolUsage msgSpoolMsgCount connectionCount subscriptionCount averageRxMsgRate "
-        "averageTxMsgRate rxMsgRate txMsgRate maxEndpointCount maxSubscriptionCount "
-        "dmrEnabled replicationEnabled replicationRole"
+        "msgVpnName",
+        "enabled",
+        "state",
+        "failureReason",
+        "maxConnectionCount",
+        "maxMsgSpoolUsage",
+        "msgSpoolUsage",
+        "msgSpoolMsgCount",
+        "connectionCount",
+        "subscriptionCount",
+        "averageRxMsgRate",
+        "averageTxMsgRate",
+        "rxMsgRate",
+        "txMsgRate",
+        "maxEndpointCount",
+        "maxSubscriptionCount",
+        "dmrEnabled",
+        "replicationEnabled",
+        "replicationRole",
     ),
     "flow": (
-        "flowId queueName clientName msgVpnName activityState ackedMsgCount unackedMsgCount "
-        "bindTime windowSize"
+        "flowId",
+        "queueName",
+        "clientName",
+        "msgVpnName",
+        "activityState",
+        "ackedMsgCount",
+        "unackedMsgCount",
+        "bindTime",
+        "windowSize",
+    ),
+    "conn": (
+        "clientName",
+        "clientAddress",
+        "msgVpnName",
+        "uptime",
+        "state",
+        "ssl",
     ),
-    "conn": "clientName clientAddress msgVpnName uptime state ssl",
     "product": (
-        "ean title brand category description model color size weight lowest_recorded_price "
-        "highest_recorded_price upc asin elid"
+        "ean",
+        "title",
+        "brand",
+        "category",
+        "description",
+        "model",
+        "color",
+        "size",
+        "weight",
+        "lowest_recorded_price",
+        "highest_recorded_price",
+        "upc",
+        "asin",
+        "elid",
     ),
 }
 
 
 def keep_fields(df: DataFrame, category: str) -> DataFrame:
     """Only the known columns of a category; product texts that are empty become NULL."""
-    kept = [c for c in df.columns if c in KEPT_FIELDS[category].split()]
+    kept = [c for c in df.columns if c in KEPT_FIELDS[category]]
     if category != "product":
         return df.select(*kept)
     texts = {name for name, kind in df.dtypes if kind == "string"}

@@ -15,7 +15,6 @@ from tenderloom.functions.ean import expected_check_digit
 from tenderloom.functions.money import int_div
 from tenderloom.operators.contracts import ContractTables
 from tenderloom.operators.offers import source_rank
-from tenderloom.sources.readers import spread_rows
 
 AS_OF = "1998-06-30"
 LINE_ID_STEP = 10_000_000
@@ -296,12 +295,12 @@ class Inputs:
     @cached_property
     def fetch_log(self) -> DataFrame:
         messages = (
-            "Timeout 30000ms exceeded",
-            "net::ERR_CONNECTION_RESET",
-            "net::ERR_NAME_NOT_RESOLVED",
-            "CAPTCHA detected on page",
-            "browser has been closed",
-            "some unknown error xyz",
+            "goto: Timeout after 12 s",
+            "socket: net::ERR_CONNECTION_RESET by peer",
+            "lookup failed (net::ERR_NAME_NOT_RESOLVED)",
+            "a captcha blocks the way",
+            "the Browser has been closed early",
+            "disk quota reached",
         )
         message = F.get(F.array(*[F.lit(m) for m in messages]), (F.col("event_id") % 6).cast("int"))
         header = (
@@ -315,7 +314,7 @@ class Inputs:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return spread_rows(self.table("pages"))
+        return self.table("pages")
 
     @cached_property
     def event_number(self) -> Column:

@@ -162,8 +162,8 @@ def top_per_source(i: Inputs) -> DataFrame:
 
 @query
 def union_sources(i: Inputs) -> DataFrame:
-    by_source = [i.offers.filter(F.col("source") == name) for name in ("idealo", "geizhals")]
-    shopping = readers.shopping_offers(i.shopping_responses).drop("position")
+    by_source = [i.offers.filter(F.col("source") == name) for name in ("idealo", "geizhals", "google_shopping")]
+    shopping = readers.readable_offers(readers.shopping_offers(i.shopping_responses)).drop("position")
     merged = offers.union_sources(*[df.drop("position") for df in by_source], shopping)
     return merged.groupBy("source").agg(
         F.count(F.lit(1)).alias("offers"),
@@ -211,7 +211,7 @@ def rfq_totals(i: Inputs) -> DataFrame:
 
 @query
 def shopping_offers(i: Inputs) -> DataFrame:
-    found = readers.shopping_offers(i.shopping_responses)
+    found = readers.readable_offers(readers.shopping_offers(i.shopping_responses))
     return found.select(
         "query",
         "product_name",
@@ -375,6 +375,53 @@ def facet_percentile(i: Inputs) -> DataFrame:
     return telemetry.facet_aggregate(rows, ["event_type", "user_id"], "cents", "pc95")
 
 
+@query
+def facet_percentile_null(i: Inputs) -> DataFrame:
+    """Users whose values are all missing keep their bucket."""
+    cents = F.when(F.col("user_id") % 3 != 0, F.round(F.col("value") * 100).cast("bigint"))
+    return telemetry.facet_aggregate(i.events.select("user_id", cents.alias("cents")), ["user_id"], "cents", "pc90")
+
+
+@query
+def facet_totals(i: Inputs) -> DataFrame:
+    """The additive facet functions side by side."""
+    cents = F.round(F.col("value") * 100).cast("bigint").alias("cents")
+    rows = i.events.select("event_type", "user_id", cents)
+    found = None
+    for fn in ("total", "min", "max"):
+        part = telemetry.facet_aggregate(rows, ["event_type", "user_id"], "cents", fn)
+        part = part.select("event_type", "user_id", F.lit(fn).alias("fn"), F.col("value").cast("bigint").alias("value"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query
+def count_by_number(i: Inputs) -> DataFrame:
+    """0 counts as unknown."""
+    return telemetry.count_by(i.events.select((F.col("user_id") % 4).alias("part")), "part")
+
+
+@query
+def price_texts(i: Inputs) -> DataFrame:
+    """Price texts of all shapes made from prices."""
+    key, cents = F.col("p_partkey"), F.round(F.col("p_retailprice") * 100).cast("bigint")
+    whole, rest = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
+    grouped = F.translate(F.format_number(whole, 0), ",", ".")
+    shapes = [
+        F.concat(grouped, F.lit(","), rest, F.lit(" EUR")),
+        F.concat(F.lit("ab "), whole.cast("string"), F.lit("."), rest),
+        grouped,
+        F.concat(F.lit("-"), whole.cast("string"), F.lit(",00")),
+        F.concat(F.format_number(whole, 0), F.lit(",5")),
+        F.lit("auf Anfrage"),
+    ]
+    text = F.get(F.array(*shapes), (key % len(shapes)).cast("int"))
+    rows = i.table("part").select(key.alias("article_id"), text.alias("text"))
+    return rows.select(
+        "article_id", money.parse_price(F.col("text")).alias("price_cents"), money.price_parse(F.col("text")).alias("price_parse")
+    )
+
+
 @query
 def facet_cardinality(i: Inputs) -> DataFrame:
     rows = i.events.select("event_type", F.to_date("ts").alias("day"), "user_id")
@@ -603,9 +650,7 @@ def stream_latest_offers(i: Inputs) -> DataFrame:
         F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("query"),
         F.lit(5).alias("max_results"),
     )
-    return streams.drain(streams.stream_latest_offers(requests), "latest-offers").select(
-        "source", "method", "query", "max_results"
-    )
+    return streams.drain(streams.stream_latest_offers(requests), "latest-offers")
 
 
 @query

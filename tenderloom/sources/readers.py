@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderloom.functions.money import parse_price, to_cents
+from tenderloom.functions.money import parse_price, price_parse, to_cents
 from tenderloom.operators.contracts import ContractTables
 from tenderloom.operators.records import record_schema
 from tenderloom.schemas import CONTRACT_SCHEMAS, MONEY_COLUMNS
@@ -81,12 +81,15 @@ DEFAULT_TITLE = "Unbekannt"
 
 
 def shopping_offers(responses: DataFrame) -> DataFrame:
-    """Shopping responses -> one offer per result; results without a readable price drop out."""
+    """Shopping responses -> one offer per result.
+
+    ``price_parse`` says whether the price was read; a missing or ambiguous one gives no offer
+    price, so such rows never win a comparison. ``readable_offers`` keeps the others.
+    """
     items = responses.select(
         "query", F.posexplode("shopping_results").alias("position", "item")
     ).select("query", "position", "item.*")
-    price = parse_price(F.coalesce("price", F.lit("0")))
-    offers = items.withColumn("price_cents", price).filter(F.col("price_cents").isNotNull())
+    offers = items.withColumns({"price_cents": parse_price(F.col("price")), "price_parse": price_parse(F.col("price"))})
     return offers.select(
         "query",
         F.col("position").cast("bigint").alias("position"),
@@ -103,9 +106,14 @@ def shopping_offers(responses: DataFrame) -> DataFrame:
         F.lit("google_shopping").alias("source"),
         "rating",
         F.col("reviews").alias("rating_count"),
+        "price_parse",
     )
 
 
+def readable_offers(offers: DataFrame) -> DataFrame:
+    return offers.filter(F.col("price_parse") == "ok").drop("price_parse")
+
+
 def read_shopping_results(spark: SparkSession, path: str, **options) -> DataFrame:
     return shopping_offers(spark.read.schema(SHOPPING_SCHEMA).options(**options).json(path))
 
@@ -120,17 +128,7 @@ def limit_html(pages: DataFrame, limit: int = MAX_HTML_LENGTH) -> DataFrame:
     )
 
 
-def read_pages(spark: SparkSession, path: str, cut: bool = True) -> DataFrame:
-    """Rendered pages ``(page_id, url, html)``; ``cut=False`` keeps whole texts."""
+def read_pages(spark: SparkSession, path: str, cut: int | None = None) -> DataFrame:
+    """Rendered pages ``(page_id, url, html)``, whole; ``cut`` limits their characters."""
     pages = spark.read.parquet(path).select("page_id", "url", "html")
-    return limit_html(pages) if cut else pages
-
-
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Rows dealt out over all cores when there are fewer input files than cores.
-
-    For work that is heavy per row, such as page mining. Tables of many files keep
-    their own partitioning.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return pages if cut is None else limit_html(pages, cut)

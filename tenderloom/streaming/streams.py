@@ -20,7 +20,7 @@ __all__ = [
 def stream_service_health(
     spans: DataFrame, window: str = "15 minutes", late: str = "10 minutes", ts: str = "ts"
 ) -> DataFrame:
-    """Requests, errors and mean latency per service, environment and tumbling window.
+    """Requests, errors, summed and largest latency per service, environment and tumbling window.
 
     Aggregates are mergeable sums, so state is one small row per group and window.
     Works on a stream (rows later than ``late`` are dropped) and on a batch table.
@@ -47,20 +47,19 @@ def stream_service_health(
 
 
 def stream_latest_offers(
-    requests: DataFrame, ttl: str = "300 seconds", ts: str = "ts"
+    requests: DataFrame, ts: str = "ts", ttl: str = "300 seconds", delay: str = "10 minutes"
 ) -> DataFrame:
-    """First request per ``(source, method, query, max_results)`` within the time to live.
+    """The first request of each key in every window of length ``ttl``.
 
-    Repeats inside the watermark are dropped with state that expires by event time. A
-    repeat may also be dropped somewhat later than the limit when it shares a
-    micro-batch with the first request.
+    Windows are fixed by the clock, so the result does not depend on how the input is cut into
+    batches. A window is given out once the watermark, ``delay`` behind the newest request, has
+    passed it; windows that are open when the input ends follow with the next run.
     """
-    keyed = requests.withColumn("query", F.lower(F.trim("query"))).withColumn(
-        ts, F.col(ts).cast("timestamp")
-    )
-    return keyed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(
-        ["source", "method", "query", "max_results"]
-    )
+    keys = ["source", "method", "query", "max_results"]
+    keyed = requests.withColumns({"query": F.lower(F.trim("query")), ts: F.col(ts).cast("timestamp")})
+    keyed = keyed.withWatermark(ts, delay)
+    first = keyed.groupBy(F.window(ts, ttl).alias("_window"), *keys).agg(F.min(ts).alias(ts))
+    return first.select(F.col("_window")["start"].alias("window_start"), *keys, ts)
 
 
 def stream_contract_check(offers: DataFrame, contracts: DataFrame, key: str = "ean") -> DataFrame:
@@ -72,14 +71,15 @@ def stream_contract_check(offers: DataFrame, contracts: DataFrame, key: str = "e
     )
 
 
-def drain(stream: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Run a stream over the input available now and return what it wrote.
+def drain(stream: DataFrame, name: str, partition_by: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
+    """Run a stream over the input available now and return all that it has written.
 
-    Output and progress go to the shared scratch folder, so a lost executor or a
-    restarted query resumes from the last committed batch.
+    Output and progress go to ``folder``, which must be shared by all executors: a later call with
+    the same folder resumes from the last committed batch, with its state and open windows.
+    Without one, a fresh folder below ``spark.checkpoint.dir`` serves this call alone.
     """
     spark: SparkSession = stream.sparkSession
-    base = scratch_dir(spark, name)
+    base = folder or scratch_dir(spark, name)
     writer = stream.writeStream.outputMode("append").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

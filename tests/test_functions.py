@@ -10,16 +10,20 @@ STABILO = "4006381333931"
 @pytest.mark.parametrize(
     "price, cents",
     [
-        ("1.234,56", 123456),
-        ("29,99", 2999),
-        ("29.99", 2999),
-        ("EUR 49,99", 4999),
-        ("12.345,67 EUR", 1234567),
-        ("1234,56", 123456),
-        ("ab 99,00 EUR", 9900),
-        ("150", 15000),
-        ("1,234.56", None),
-        ("kein Preis", None),
+        ("7.018,40", 701840),
+        ("3,05 je Stück", 305),
+        ("etwa 81.25", 8125),
+        ("Preis: 640123,09", 64012309),
+        ("2.500.000,00 EUR", 250000000),
+        ("17 EUR", 1700),
+        ("9.800", 980000),
+        ("9,800", 980000),
+        ("6,40.", 640),
+        ("4,321.98", None),
+        ("8.765,4", None),
+        ("-2,00", None),
+        ("12.34.56", None),
+        ("nach Absprache", None),
         ("", None),
         (None, None),
     ],
@@ -98,7 +102,6 @@ def test_truncate(spark):
 def test_names_are_cleaned(spark):
     decomposed = "Müller    Co\n"
     assert values(spark, [decomposed], text.clean_name) == ["Müller Co"]
-    assert values(spark, [decomposed], lambda c: text.clean_name(c, compose=True)) == ["Müller Co"]
     assert values(spark, ["  Bosch GSR "], text.dedup_key) == ["bosch gsr"]
 
 
@@ -139,16 +142,11 @@ def test_redirects_are_unwrapped(spark):
 @pytest.mark.parametrize(
     "message, code",
     [
-        ("Timeout 30000ms exceeded", "NETWORK_TIMEOUT"),
-        ("net::ERR_CONNECTION_RESET", "CONNECTION_RESET"),
-        ("net::ERR_CONNECTION_REFUSED at https://x.com", "CONNECTION_REFUSED"),
-        ("net::ERR_NAME_NOT_RESOLVED", "DNS_RESOLUTION_FAILED"),
-        ("net::ERR_ABORTED", "CONNECTION_RESET"),
-        ("CAPTCHA detected on page", "CAPTCHA_REQUIRED"),
-        ("Login required to access this page", "LOGIN_REQUIRED"),
-        ("Navigation failed because page crashed", "BROWSER_CRASHED"),
-        ("browser has been closed", "BROWSER_CRASHED"),
-        ("some unknown error xyz", "INTERNAL_ERROR"),
+        ("no disk left", "INTERNAL_ERROR"),
+        ("goto gave up: timeout of 9 s", "NETWORK_TIMEOUT"),
+        ("peer said NET::ERR_CONNECTION_REFUSED", "CONNECTION_REFUSED"),
+        ("please solve the captcha first", "CAPTCHA_REQUIRED"),
+        ("(net::err_name_not_resolved) shop.invalid", "DNS_RESOLUTION_FAILED"),
         (None, "INTERNAL_ERROR"),
     ],
 )

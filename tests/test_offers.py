@@ -192,7 +192,20 @@ def test_contract_verdicts(spark, make):
     ]
 
 
-def test_top_per_source_is_limited_to_twenty(make):
+def test_top_per_source_takes_what_is_asked(make):
     df = make(*[{"total": i, "source": ("idealo", "geizhals")[i % 2]} for i in range(100)])
-    assert O.top_per_source(df, ["category"], 50).count() == 40
-    assert O.top_per_source(df, ["category"], 0).count() == 2
+    assert O.top_per_source(df, ["category"], 45).count() == 90
+    with pytest.raises(ValueError):
+        O.top_per_source(df, ["category"], 0)
+
+
+@pytest.mark.parametrize("limit", ["1", "1000000"])
+def test_merchants_of_equal_price_rank_by_arrival(spark, make, limit):
+    prices = [("Zeta", 700), ("alpha", 500), ("Mid", 500), ("ALPHA", 500), ("beta", 900), ("Zeta", 500)]
+    df = make(*[{"total": t, "merchant": m} for m, t in prices])
+    spark.conf.set("spark.tenderloom.rowsInTask", limit)
+    try:
+        got = O.rank_suppliers(df, ["category"]).orderBy("supplier_rank").collect()
+    finally:
+        spark.conf.unset("spark.tenderloom.rowsInTask")
+    assert [r.merchant_name for r in got] == ["Zeta", "alpha", "Mid", "beta"]

@@ -82,8 +82,11 @@ CASES = [
 @pytest.mark.parametrize("kind, record, expected", CASES)
 def test_flattening(spark, kind, record, expected):
     df = spark.createDataFrame([(json.dumps(record),)], "json STRING")
-    row = flatten_records(parse_records(df, "json", kind), kind).first().asDict()
+    records = parse_records(df, "json", kind)
+    row = flatten_records(records, kind, cut=True).first().asDict()
     assert {k: row[k] for k in expected} == expected
+    whole = flatten_records(records, kind).first().asDict()
+    assert all(len(whole[k]) >= len(v) for k, v in row.items() if isinstance(v, str))
 
 
 def test_every_kind_is_covered():

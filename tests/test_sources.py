@@ -44,18 +44,20 @@ def test_shopping_results(spark, tmp_path):
     ]
     (tmp_path / "r.json").write_text(json.dumps({"query": "q", "shopping_results": items}))
     got = readers.read_shopping_results(spark, str(tmp_path))
-    assert rows(got.select("product_name", "merchant_name", "total_cents", "rating_count")) == [
-        ("Drill", "Shop", 129900, 3),
-        ("Unbekannt", "Google Shopping", 500, None),
+    assert rows(got.select("product_name", "merchant_name", "total_cents", "rating_count", "price_parse")) == [
+        ("Drill", "Shop", 129900, 3, "ok"),
+        ("No price", "Google Shopping", None, None, "missing"),
+        ("Unbekannt", "Google Shopping", 500, None, "ok"),
     ]
+    assert readers.readable_offers(got).count() == 2
 
 
 def test_pages_are_cut_only_on_request(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "x" * 200_001), (2, "u", "y"), (3, "u", None)], "page_id INT, url STRING, html STRING")
     df.write.parquet(f"{tmp_path}/p")
-    cut = readers.read_pages(spark, f"{tmp_path}/p")
+    cut = readers.read_pages(spark, f"{tmp_path}/p", cut=200_000)
     assert rows(cut.select("page_id", "is_truncated", F.length("html"))) == [(1, True, 200_000), (2, False, 1), (3, False, None)]
-    assert readers.read_pages(spark, f"{tmp_path}/p", cut=False).agg(F.max(F.length("html"))).first()[0] == 200_001
+    assert readers.read_pages(spark, f"{tmp_path}/p").agg(F.max(F.length("html"))).first()[0] == 200_001
 
 
 def test_offer_report(spark, tmp_path):

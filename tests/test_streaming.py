@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tenderloom.streaming import streams
 
 START = dt.datetime(2024, 1, 1)
+START_SECONDS = 1_704_067_200
 
 
 def stream_of(spark, df, path, files=1):
@@ -34,16 +35,30 @@ def test_repeated_requests_are_dropped(spark, tmp_path):
         (START + dt.timedelta(seconds=100), "idealo", "name", "drill", 5),
         (START + dt.timedelta(seconds=120), "idealo", "name", "drill", 3),
         (START + dt.timedelta(seconds=130), "geizhals", "name", "drill", 5),
+        (START + dt.timedelta(seconds=301), "idealo", "name", "drill", 5),
+        (START + dt.timedelta(seconds=5000), "idealo", "name", "saw", 5),
     ]
     df = spark.createDataFrame(data, "ts TIMESTAMP_NTZ, source STRING, method STRING, query STRING, max_results INT")
     got = streams.drain(streams.stream_latest_offers(stream_of(spark, df, f"{tmp_path}/in")), "offers")
-    assert rows(got.select("source", "query", "max_results")) == [
-        ("geizhals", "drill", 5),
-        ("idealo", "drill", 3),
-        ("idealo", "drill", 5),
+    assert rows(got.select("source", "query", "max_results", F.unix_timestamp("ts") - START_SECONDS)) == [
+        ("geizhals", "drill", 5, 130),
+        ("idealo", "drill", 3, 120),
+        ("idealo", "drill", 5, 0),
+        ("idealo", "drill", 5, 301),
     ]
 
 
+def test_two_runs_over_parts_equal_one_run(spark, tmp_path):
+    whole = spans(spark, range(0, 120))
+    once = streams.drain(streams.stream_service_health(stream_of(spark, whole, f"{tmp_path}/all")), "once")
+    folder = f"{tmp_path}/kept"
+    for part in (range(0, 50), range(50, 120)):
+        spans(spark, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/parts")
+        stream = spark.readStream.schema(whole.schema).parquet(f"{tmp_path}/parts")
+        twice = streams.drain(streams.stream_service_health(stream), "twice", folder=folder)
+    assert rows(twice) == rows(once)
+
+
 def test_arriving_offers_meet_contracts(spark, tmp_path):
     offers = spark.createDataFrame([("a", 800), ("b", 5), ("a", 1200)], "ean STRING, total_cents BIGINT")
     contracts = spark.createDataFrame([("a", 1, 1000)], "ean STRING, contract_id INT, contract_price_cents BIGINT")

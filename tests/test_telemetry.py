@@ -33,13 +33,15 @@ def test_time_windows(events, start, end, ids):
 def test_search_sorts_and_limits(events):
     got = T.search_records(events, where="value >= 3", as_of="2024-01-10 12:00:00", limit=2)
     assert [r.id for r in got.collect()] == [3, 4]
-    got = T.search_records(events, sort="value", descending=False, limit=5000, max_limit=3)
+    got = T.search_records(events, sort="value", descending=False, limit=3)
     assert [r.id for r in got.collect()] == [0, 1, 2]
-    assert T.search_records(events).count() == 25
+    assert T.search_records(events).count() == 40
+    with pytest.raises(ValueError):
+        T.search_records(events, limit=-1)
 
 
 def test_search_filters_reach_the_scan(inputs):
-    df = T.search_records(inputs.events, where=F.col("value") > 20, as_of="2024-01-31 00:00:00")
+    df = T.search_records(inputs.events, where=F.col("value") > 20, as_of="2024-01-31 00:00:00", limit=25)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(value), GreaterThanOrEqual(ts,2024-01-30T23:00)" in plan
     assert "TakeOrderedAndProject" in plan
@@ -66,6 +68,9 @@ def test_counts(spark):
     assert T.counts_text(counts, "status").first().counts == "error: 3, ok: 2"
     blanks = spark.createDataFrame([(None,), ("",)], "status STRING")
     assert rows(T.count_by(blanks, "status")) == [("unknown", 2)]
+    numbers = spark.createDataFrame([(0, False), (7, True), (None, None)], "n INT, b BOOLEAN")
+    assert rows(T.count_by(numbers, "n")) == [("7", 1), ("unknown", 2)]
+    assert rows(T.count_by(numbers, "b")) == [("true", 1), ("unknown", 2)]
 
 
 def test_facets_keep_the_largest_values(spark):
@@ -73,8 +78,8 @@ def test_facets_keep_the_largest_values(spark):
     df = spark.createDataFrame(data, "a STRING, b STRING, v INT")
     top = T.facet_aggregate(df, ["a", "b"], "v", "total", values_per_facet=2, max_buckets=3)
     assert [tuple(r) for r in top.collect()] == [("a29", "b29", 841), ("a29", "b28", 812), ("a28", "b28", 784)]
-    assert T.facet_aggregate(df, ["a"]).count() == 25
-    assert T.facet_aggregate(df, ["a", "b"]).count() == 50
+    assert T.facet_aggregate(df, ["a"]).count() == 30
+    assert T.facet_aggregate(df, ["a", "b"]).count() == 465
     with pytest.raises(ValueError):
         T.facet_aggregate(df, ["a"] * 5)
 
@@ -104,7 +109,8 @@ def test_metric_names_and_tags(spark):
         "metric STRING, tags ARRAY<STRING>",
     )
     names = [r.metric for r in T.list_metrics(df, "system.").collect()]
-    assert names == [f"system.m{i:03d}" for i in range(100)]
+    assert names == [f"system.m{i:03d}" for i in range(150)]
+    assert T.list_metrics(df, "system.", limit=3).count() == 3
     tags = T.tag_keys(df.withColumn("all", F.lit(1)), ["all"])
     assert rows(tags.select("tag_key", "tag_values")) == [("env", 1), ("host", 150), ("plain", 1)]
     hosts = spark.createDataFrame([("h", {"agent": ["a:1", "b"], "user": ["c"]})], "name STRING, tags_by_source MAP<STRING, ARRAY<STRING>>")
