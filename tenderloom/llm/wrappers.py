@@ -48,7 +48,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)[^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -82,6 +82,8 @@ DROPPED_WORDS = frozenset(
     "overlay copyright legal disclaimer form contentinfo complementary hidden".split()
 )
 CONTENT_WORDS = frozenset("article content post entry story main".split())
+#: Elements whose fixed text can be a notice; words inside a paragraph and headings cannot.
+NOTICE_TAGS = frozenset("div p section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -316,7 +318,7 @@ def _mark(root: Part, pages: int) -> Part:
 
     def notices(part: Part) -> None:
         for below in part.parts:
-            fixed = below.name != TEXT and not below.repeated and below.parts
+            fixed = _words(below.name)[0] in NOTICE_TAGS and not below.repeated and below.parts
             if fixed and pages >= NOTICE_PAGES and below.pages >= pages:
                 texts = [p for p in below.parts if p.name == TEXT]
                 if len(texts) == len(below.parts) and all(t.text is not None and t.pages >= pages for t in texts):
