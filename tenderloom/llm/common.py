@@ -121,6 +121,8 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
         counts = np.concatenate([[0], np.cumsum(keep)])
         offsets = counts[offsets]
         codes = codes[keep]
+        codes = codes - (codes > empty)
+        words = pa.concat_arrays([words.slice(0, empty), words.slice(empty + 1)])
     return words, codes, offsets
 
 
