@@ -53,6 +53,10 @@ class Generations:
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
 
+    def peek(self, key: str) -> list[int] | None:
+        found = self.young.get(key)
+        return self.old.get(key) if found is None else found
+
     def get(self, key: str, compute: Callable[[str], list[int]]) -> list[int]:
         found = self.young.get(key)
         if found is None:

@@ -13,7 +13,7 @@ about ``BLOCK_IDS`` ids (a longer document has a block of its own) and its own g
 * ``part``, ``before``: the range of ids that the block lies in and the ids before it there.
 
 Re-Pair replaces the most frequent pairs by new symbols until none is frequent. One round takes
-all pairs of at least half the highest count that cannot overlap one another, so a block needs a
+all pairs of at least an eighth of the highest count that cannot overlap one another, so a block needs a
 few dozen rounds; ranges of documents are independent tasks, and nothing passes the driver.
 
 Defined results: null and empty texts are the end id alone; a null id sorts first; rows that share
@@ -29,21 +29,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tenderloom.llm.bpe import CACHED_WORDS, Generations
-from tenderloom.llm.common import Workspace, ranges, slices, split_words
+from tenderloom.llm.common import SLICE_BYTES, Workspace, ranges, slices, split_words
 
 END_ID = 1
 BLOCK_IDS = 1 << 20
 #: A pair must occur so often in its block to become a rule.
-MIN_PAIRS = 8
+MIN_PAIRS = 16
+#: Bits of the hash that bounds counts.
+HASH_BITS = 18
 #: Symbols are 16-bit, terminals included.
 SYMBOLS = 1 << 16
 WORDS_AT_ONCE = 2000
+#: Fixed value: closing punctuation that the pattern splits from letters.
+PUNCTUATION = ".,;:!?"
 
 BLOCKS = (
     "part INT, number INT, before BIGINT, size BIGINT, doc_ids ARRAY<BIGINT>, ends ARRAY<BIGINT>, "
@@ -52,33 +57,70 @@ BLOCKS = (
 
 
 class WordEncoder:
-    """Ids of words through the library, many in one call, remembered."""
+    """Ids of words through the library, many in one call, remembered as 16-bit values.
+
+    A word of plain letters and closing punctuation is two pieces for any vocabulary file whose
+    pattern splits letters from punctuation and whose normaliser lower-cases; its letters, in
+    lower case, and its punctuation are then encoded once for all words that share them.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        if self.size > SYMBOLS:
+            raise ValueError(f"a vocabulary of {self.size} ids does not fit 16-bit symbols")
         special = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not t.normalized]
         self.mark = special[0].content if special else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else -1
         self.known = Generations(CACHED_WORDS)
+        self.splits = all(self._ids(w) == self._ids(w[:-2].lower()) + self._ids(w[-2:]) for w in ("Ab.,", "Éa;!", "Zß:?"))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _call(self, words: list[str]) -> list[np.ndarray]:
+    def _call(self, words: list[str]) -> list[bytes]:
         """A special token between words keeps them apart; words that contain it go alone."""
         if self.mark is None or any(self.mark in w for w in words):
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode(self.mark.join(words), add_special_tokens=False).ids, np.uint32)
-        return np.split(ids[ids != self.mark_id], np.flatnonzero(ids == self.mark_id) - np.arange(len(words) - 1))
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        young, old = self.known.young, self.known.old
-        missing = [w for w in words if w not in young and w not in old]
-        fresh: dict[str, np.ndarray] = {}
+            return [np.array(self._ids(w), "<u2").tobytes() for w in words]
+        ids = np.array(self._ids(self.mark.join(words)), np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        ends = [*((marks - np.arange(len(marks))) * 2).tolist(), 2 * (len(ids) - len(marks))]
+        raw = ids[ids != self.mark_id].astype("<u2").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = dict(zip(words, map(self.known.peek, words)))
+        missing = [w for w, ids in found.items() if ids is None]
         for at in range(0, len(missing), WORDS_AT_ONCE):
             some = missing[at : at + WORDS_AT_ONCE]
-            fresh.update(zip(some, self._call(some)))
-        return [self.known.get(w, fresh.__getitem__) for w in words]
+            found.update(zip(some, self._call(some)))
+        return [self.known.get(w, found.__getitem__) for w in words]
+
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has)."""
+        coded = words.dictionary_encode()
+        found = self._encode(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        flat = np.frombuffer(b"".join(found), "<u2")
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        return flat[ranges((np.cumsum(sizes) - sizes)[at], sizes[at])], sizes[at]
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has)."""
+        if not self.splits or not len(words):
+            return self._table(words)
+        core = pc.utf8_rtrim(words, characters=PUNCTUATION)
+        plain = pc.match_substring_regex(core, r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$")
+        tail = pc.if_else(plain, pc.replace_substring_regex(words, rf"^.*[^{PUNCTUATION}]", ""), "")
+        front_ids, front = self._table(pc.if_else(plain, pc.utf8_lower(core), words))
+        tail_ids, back = self._table(tail)
+        ends = np.cumsum(front + back)
+        out = np.empty(int(front.sum() + back.sum()), "<u2")
+        out[ranges(ends - front - back, front)] = front_ids
+        out[ranges(ends - back, back)] = tail_ids
+        return out, front + back
 
 
 @lru_cache(maxsize=2)
@@ -90,14 +132,10 @@ def word_encoder(path: str) -> WordEncoder:
 def _encode(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = word_encoder(path)
-        if model.size > SYMBOLS:
-            raise ValueError(f"a vocabulary of {model.size} ids does not fit 16-bit symbols")
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 * SLICE_BYTES):
             words, codes, offsets = split_words(part.column("text"))
-            found = model.words(words.to_pylist())
-            sizes = np.array([len(f) for f in found], np.int64)
+            table, sizes = model.words(words)
             starts = np.cumsum(sizes) - sizes
-            table = np.concatenate(found).astype("<u2") if found else np.zeros(0, "<u2")
             ids = table[ranges(starts[codes], sizes[codes])]
             ends = np.concatenate([[0], np.cumsum(sizes[codes])])[offsets]
             last = np.array([end_id], "<u2").tobytes()
@@ -110,7 +148,7 @@ def _encode(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def _choose(keys: np.ndarray, counts: np.ndarray, room: int) -> list[int]:
     """Frequent pairs, most frequent first, of which no two can overlap in the sequence."""
     order = np.lexsort((keys, -counts))
-    order = order[counts[order] * 2 >= counts[order[0]]]
+    order = order[counts[order] * 8 >= counts[order[0]]]
     lefts: set[int] = set()
     rights: set[int] = set()
     chosen = []
@@ -133,12 +171,25 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
     lengths = np.ones(SYMBOLS, np.int64)
     while len(sequence) > 1 and first + len(rules) < SYMBOLS:
         pairs = sequence[:-1] << np.uint32(16) | sequence[1:]
-        ordered = np.sort(pairs)
-        at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        # Counts of hashes bound the counts of pairs; only pairs that may be frequent are counted.
+        mark = (pairs * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS)
+        bound = np.bincount(mark, minlength=1 << HASH_BITS)
+        least = max(MIN_PAIRS, int(bound.max()) // 8)
+        ordered = np.sort(pairs[(bound >= least)[mark]])
+        at = np.flatnonzero(np.concatenate([ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1]]))
         counts = np.diff(at, append=len(ordered))
-        often = counts >= MIN_PAIRS
+        often = counts >= least
         if not often.any():
-            break
+            if least == MIN_PAIRS:
+                break
+            often = counts >= min(max(int(counts.max(initial=0)), MIN_PAIRS), least)
+            if not often.any():
+                ordered = np.sort(pairs)
+                at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+                counts = np.diff(at, append=len(ordered))
+                often = counts >= MIN_PAIRS
+                if not often.any():
+                    break
         chosen = _choose(ordered[at[often]], counts[often], SYMBOLS - first - len(rules))
         is_left, is_right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
         named = np.array(sorted(chosen), np.uint32)
