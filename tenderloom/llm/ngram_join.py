@@ -2,10 +2,13 @@
 
 1. Every text becomes the set of its shingles' 64-bit hashes. Equal sets form a class; one
    representative goes on, so copies never meet pairwise.
-2. Two sets with Jaccard >= t share one of their smallest ``n - ceil(t n) + 1`` hashes (prefix
-   filter), so representatives are grouped by each of those hashes.
-3. All members of a group are linked to its smallest one where the exact sets pass. This joins a
-   large family of near copies in linear work.
+2. Two sets with Jaccard >= t share one of their first ``n - ceil(t n) + 1`` hashes in any fixed
+   order (prefix filter), so representatives are grouped by each of those hashes. The order puts
+   hashes that are frequent within slices of the input last, so texts that merely share a common
+   passage seldom meet; at most ``MAX_COMMON`` are told apart, which bounds what tasks receive and
+   decides only how much work there is.
+3. All members of a group are paired with its smallest one; pairs that sizes and bitmaps permit
+   are checked on the exact sets. This joins a large family of near copies in linear work.
 4. What is left are groups with several components. Their members form signature trees: a node
    holds the OR of its members' token bitmaps and the range of their sizes. Trees are traversed
    in pairs from the roots; a pair of nodes is dropped if its sizes cannot match, if the largest
@@ -37,10 +40,16 @@ from tenderloom.llm.components import connected_components
 WORDS = 4
 #: Jaccard threshold in percent.
 PERCENT = 85
-BITS = 2048
-BLOCK = 2000
+BITS = 4096
+BLOCK = 500
+#: Bytes of text handled at once.
+SLICE = 8 << 20
+#: A hash is common if slices in which it has this many texts add up to so many.
+SLICE_OFTEN = 3
+OFTEN = 12
+MAX_COMMON = 200_000
 LEAF = 16
-#: Ids sent to every task when only texts of these are read again; more are joined by shuffle.
+#: Ids sent to every task to choose rows by; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 
@@ -92,34 +101,106 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _facts(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+Batches = Iterator[pa.RecordBatch]
+
+
+def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of several sets of a slice, and of how many."""
+    flat = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    at = np.flatnonzero(np.concatenate([flat[:1] == flat[:1], flat[1:] != flat[:-1]]))
+    count = np.diff(at, append=len(flat))
+    often = count >= SLICE_OFTEN
+    return flat[at[often]], count[often]
+
+
+def _facts(n: int) -> Callable[[Batches], Batches]:
+    """Size and two hashes of each set; one more row a slice for its frequent hashes."""
+
+    def run(batches: Batches) -> Batches:
+        for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), n)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
             h2 = np.array([_mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) for s in sets], np.uint64)
-            prefix = [s[: len(s) - least_overlap(len(s), percent) + 1] for s in sets]
+            often, count = _frequent(sets)
+            rows = len(sets)
+            none, last = [None] * rows, pa.array([0], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"),
-                    pa.array(sizes),
-                    pa.array(h1),
-                    pa.array(h2.view(np.int64)),
-                    _lists(prefix),
-                    pa.array([bitmap(s) for s in sets], pa.binary()),
+                    pa.concat_arrays([pa.array(np.ones(rows, np.int32)), last]),
+                    pa.concat_arrays([part.column("doc_id"), pa.nulls(1, pa.int64())]),
+                    pa.array([*map(len, sets), 0], pa.int64()),
+                    pa.array(np.append(h1.view(np.int64), 0)),
+                    pa.array(np.append(h2.view(np.int64), 0)),
+                    pa.array([*none, often.view(np.int64)], pa.list_(pa.int64())),
+                    pa.array([*none, count], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "h1", "h2", "prefix", "bits"],
+                ["texts", "doc_id", "n", "h1", "h2", "hashes", "counts"],
             )
 
     return run
 
 
-def _sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+def common_hashes(facts: DataFrame) -> np.ndarray:
+    """Sorted hashes that the slices name often, the most frequent of them."""
+    pairs = facts.filter("texts = 0").select(F.explode(F.arrays_zip("hashes", "counts")).alias("x"))
+    sums = pairs.groupBy(F.col("x.hashes").alias("hash")).agg(F.sum("x.counts").alias("count"))
+    top = sums.filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "hash").limit(MAX_COMMON)
+    found = top.select("hash").toArrow()["hash"].combine_chunks().to_numpy(zero_copy_only=False)
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def _leaders(n: int, percent: int, common: np.ndarray) -> Callable[[Batches], Batches]:
+    """Size, prefix and bitmap of each set."""
+
+    def prefix(hashes: np.ndarray) -> np.ndarray:
+        length = len(hashes) - least_overlap(len(hashes), percent) + 1
+        if not len(common):
+            return hashes[:length]
+        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        last = common[place] == hashes
+        return np.concatenate([hashes[~last], hashes[last]])[:length]
+
+    def run(batches: Batches) -> Batches:
+        for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), n)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(sets)], ["doc", "hashes"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            bits = pa.array([bitmap(s) for s in sets], pa.binary())
+            lists = _lists([prefix(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, lists, bits], ["doc", "n", "prefix", "bits"])
+
+    return run
+
+
+def _may_link(percent: int) -> Callable[[Batches], Batches]:
+    """The pairs whose bitmaps permit enough overlap."""
+
+    def run(batches: Batches) -> Batches:
+        for part in slices(batches, "bits_a", 4 << 20):
+            size_a, size_b = (part.column(c).to_numpy() for c in ("na", "nb"))
+            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(part.num_rows, -1) for c in ("bits_a", "bits_b"))
+            both = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64)
+            free_a = size_a - np.bitwise_count(a).sum(axis=1, dtype=np.int64)
+            free_b = size_b - np.bitwise_count(b).sum(axis=1, dtype=np.int64)
+            keep = (np.minimum(free_a, free_b) + both) * (100 + percent) >= percent * (size_a + size_b)
+            yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _check(n: int, percent: int) -> Callable[[Batches], Batches]:
+    """The pairs whose sets pass; rows come in order of ``b``, whose set is kept between them."""
+
+    def run(batches: Batches) -> Batches:
+        for part in slices(batches, "text_a", SLICE // 2):
+            left = shingle_sets(part.column("text_a"), n)
+            others = part.column("text_b").dictionary_encode()
+            right = shingle_sets(others.dictionary, n)
+            keep = []
+            for x, at in zip(left, others.indices.to_pylist()):
+                y = right[at]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -218,27 +299,46 @@ def _join_blocks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _linked(space: Workspace, docs: DataFrame, sizes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact sets pass."""
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    left = sizes.select(F.col("doc").alias("a"), F.col("n").alias("na"))
-    right = sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"))
-    near = (100 * F.col("nb") >= percent * F.col("na")) & (100 * F.col("na") >= percent * F.col("nb"))
-    ordered = space.table(ordered.join(left, "a").join(right, "b").filter(near).select("a", "b").distinct(), "pairs")
-    ids = space.table(
-        ordered.select(F.col("a").alias("doc")).union(ordered.select(F.col("b").alias("doc"))).distinct(), "ids"
-    )
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(wanted, F.col("doc_id") == F.col("doc"), "left_semi")
-    sets = space.table(texts.mapInArrow(_sets(n), "doc BIGINT, hashes ARRAY<BIGINT>"), "sets")
-    joined = ordered.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x")), "a")
-    joined = joined.join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    passes = 100 * both >= percent * (F.size("x") + F.size("y") - both)
-    return joined.filter(passes).select("a", "b").distinct()
+def _of_ids(rows: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The rows whose id is among ``ids`` (doc), which is written and whose size is checked."""
+    wanted = ids.select(F.col("doc").alias("_wanted"))
+    wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
+    return rows.join(wanted, F.col(name) == F.col("_wanted"), "left_semi")
+
+
+def _ids_of(space: Workspace, pairs: DataFrame) -> DataFrame:
+    both = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
+    return space.table(both.distinct(), "ids")
+
+
+def _with_both(pairs: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
+    """Columns ``names`` of the rows of both documents of each pair, with ``_a`` and ``_b`` appended."""
+    for side in ("a", "b"):
+        own = rows.select(F.col("doc").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names])
+        pairs = pairs.join(own, side)
+    return pairs
+
 
+def _near_pairs(space: Workspace, leaders: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and bitmaps permit."""
+    pairs = space.table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    rows = _of_ids(leaders.select("doc", "n", "bits"), _ids_of(space, pairs), "doc")
+    sized = _with_both(pairs, rows.select("doc", "n"), ["n"])
+    sized = sized.filter((100 * F.col("n_b") >= percent * F.col("n_a")) & (100 * F.col("n_a") >= percent * F.col("n_b")))
+    sized = space.table(sized.distinct(), "sized")
+    full = _with_both(sized.withColumnsRenamed({"n_a": "na", "n_b": "nb"}), rows.select("doc", "bits"), ["bits"])
+    return full.mapInArrow(_may_link(percent), "a BIGINT, b BIGINT")
 
-def _blocks(open_rows: DataFrame) -> DataFrame:
+
+def _linked(space: Workspace, docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose exact sets pass, from the texts of both."""
+    pairs = space.table(pairs.distinct(), "candidates")
+    texts = _of_ids(docs.withColumnRenamed("doc_id", "doc"), _ids_of(space, pairs), "doc")
+    joined = _with_both(pairs, texts, ["text"])
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_check(n, percent), "a BIGINT, b BIGINT")
+
+
+def _blocks(open_rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Blocks of groups: members of a component lie together, large components are split."""
     sizes = open_rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     per_key = sizes.groupBy("key").agg(F.sum(F.least("c", F.lit(BLOCK))).alias("k"))
@@ -254,6 +354,7 @@ def _blocks(open_rows: DataFrame) -> DataFrame:
     member = F.struct("doc", "n", "component", "bits")
     return (
         rows.withColumn("block", block)
+        .join(marks, "doc")
         .groupBy("key", "block")
         .agg(
             F.collect_list(member).alias("members"),
@@ -265,8 +366,9 @@ def _blocks(open_rows: DataFrame) -> DataFrame:
     )
 
 
-def _tree_pairs(space: Workspace, open_rows: DataFrame, percent: int) -> DataFrame:
-    blocks = space.table(_blocks(open_rows), "blocks")
+def _tree_pairs(space: Workspace, open_rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of ``open_rows`` (key, doc, component); ``marks`` has doc, n, bits."""
+    blocks = space.table(_blocks(open_rows, marks), "blocks")
     inside = blocks.filter("first < last").select("members", F.lit(None).cast(blocks.schema["members"].dataType).alias("others"))
     between = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") < F.col("b.block"))
     between &= (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
@@ -285,39 +387,37 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     """doc_id, n_shingles and component_id of every row."""
     space = Workspace(docs.sparkSession, "ngram-join")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    kind = "doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, prefix ARRAY<BIGINT>, bits BINARY"
-    facts = space.table(texts.mapInArrow(_facts(n, percent), kind), "facts")
+    kind = "texts INT, doc_id BIGINT, n BIGINT, h1 BIGINT, h2 BIGINT, hashes ARRAY<BIGINT>, counts ARRAY<BIGINT>"
+    facts = space.table(texts.mapInArrow(_facts(n), kind), "facts")
+    common = common_hashes(facts)
+    facts = facts.filter("texts = 1").select("doc_id", "n", "h1", "h2")
     linkable = facts.filter("doc_id IS NOT NULL AND n > 0")
     same = ["h1", "h2", "n"]
-    classes = linkable.groupBy(*same).agg(F.min("doc_id").alias("doc"))
-    classes = space.table(classes, "classes")
-    leaders = facts.select("doc_id", *same, "prefix", "bits").join(
-        classes.withColumnRenamed("doc", "doc_id"), [*same, "doc_id"]
-    )
-    leaders = space.table(leaders.select(F.col("doc_id").alias("doc"), "n", "prefix", "bits").distinct(), "leaders")
-    sizes = leaders.select("doc", "n")
+    classes = space.table(linkable.groupBy(*same).agg(F.min("doc_id").alias("doc")), "classes")
+    leaders = _of_ids(texts, space.table(classes.select("doc").distinct(), "ids"))
+    kind = "doc BIGINT, n BIGINT, prefix ARRAY<BIGINT>, bits BINARY"
+    leaders = space.table(leaders.mapInArrow(_leaders(n, percent, common), kind).filter("n > 0"), "leaders")
     keys = leaders.select(F.explode("prefix").alias("key"), "doc")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("first")).filter("c > 1")
+    shared = keys.groupBy("key").agg(
+        F.min("doc").alias("first"), F.max("doc").alias("last"), F.bit_xor(F.xxhash64("doc")).alias("mark")
+    )
+    # Groups of the same members are walked once.
+    shared = shared.filter("first < last").groupBy("first", "last", "mark").agg(F.min("key").alias("key")).select("key", "first")
+    shared = space.table(shared, "shared")
     live = space.table(keys.join(shared, "key").select("key", "doc", "first"), "live")
 
     star = live.filter("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    links = space.table(_linked(space, texts, sizes, star, n, percent), "links")
+    links = space.table(_linked(space, texts, _near_pairs(space, leaders, star, percent), n, percent), "links")
     parts = connected_components(space, links)
 
     named = live.join(parts.withColumnRenamed("node", "doc"), "doc", "left")
-    named = named.select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    groups = named.groupBy("key").agg(
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-        F.count("*").alias("c"),
-        F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("mark"),
-        F.sum(F.xxhash64("doc", F.lit(1)).cast("decimal(38,0)")).alias("mark2"),
-    )
-    # Groups of the same members are walked once.
-    todo = groups.filter("low < high").groupBy("c", "mark", "mark2").agg(F.min("key").alias("key")).select("key")
-    open_rows = named.join(todo, "key").join(leaders.select("doc", "n", "bits"), "doc").distinct()
-    found = space.table(_tree_pairs(space, open_rows, percent).distinct(), "found")
-    more = _linked(space, texts, sizes, found, n, percent)
+    named = space.table(named.select("key", "doc", F.coalesce("component", "doc").alias("component")), "named")
+    groups = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    rest = space.table(named.join(groups.filter("low < high").select("key"), "key").distinct(), "open")
+    marks = _of_ids(leaders.select("doc", "n", "bits"), space.table(rest.select("doc").distinct(), "ids"), "doc")
+    found = _tree_pairs(space, rest, marks.dropDuplicates(["doc", "n", "bits"]), percent)
+    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
+    more = space.table(_linked(space, texts, found, n, percent), "links")
 
     again = linkable.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
     twins = linkable.join(again, "doc_id", "left_semi").join(classes, same)
