@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
-Terms are words, lower-cased and without punctuation at their ends. Terms whose presence depends
-on the label (chi-square over all labelled texts, equal texts once) carry a text's TF-IDF vector;
+Terms are words, lower-cased and without punctuation at their ends. Terms that speak for the toxic
+label (by how often and by chi-square over all labelled texts, equal texts once) carry a text's TF-IDF vector;
 its length counts all its terms, the others at the least weight a term can have.
 Examples are a bounded sample of labelled texts. A text's nearest examples by exact cosine come
 from an inverted index in blocks: the largest weight of each term in each block bounds the score
@@ -34,6 +34,8 @@ MAX_TERMS = 4096
 MAX_EXAMPLES = 4000
 MIN_TEXTS = 5
 MIN_CHI2 = 30.0
+#: A term's texts must be toxic so many times as often as all texts (or in half of the cases).
+MIN_LIFT = 3.0
 NEIGHBOURS = 16
 EXAMPLES_PER_BLOCK = 64
 #: Blocks scored first, by falling bound; their scores decide which others are needed.
@@ -229,7 +231,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
         gap = a * n - r * bad
         chi2 = F.lit(float(n)) * gap * gap / (r * (n - r) * bad * (n - bad))
         chosen = counts.filter(f"texts >= {MIN_TEXTS} AND texts < {n}").withColumn("chi2", chi2)
-        chosen = chosen.filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
+        rate = F.col("bad") / F.col("texts") >= min(MIN_LIFT * base, 0.5)
+        chosen = chosen.filter(rate & (F.col("chi2") >= MIN_CHI2)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
         idf = np.array([np.log((1 + n) / (1 + row["texts"])) + 1 for row in chosen])
         model = Model(Terms(tuple(row["term"] for row in chosen), idf), np.zeros(0), np.zeros(0), [], base=base)
     kind = "doc_id BIGINT, terms ARRAY<INT>, weights ARRAY<DOUBLE>"
