@@ -8,8 +8,9 @@ become optional. Slots remember their text while it is the same on every page.
 
 The expression then shows where a host keeps its article: the ``article`` or ``main`` element, else
 the deepest element that holds most of the text that differs between pages and lies outside links
-and marked boilerplate. Slots of one fixed text inside it, seen on all of several different pages,
-are notices. A page is read along its host's wrapper; parts that the wrapper does not know follow
+and marked boilerplate; where that text is in a repeated part, the element around all repetitions.
+Every element of a page that matches the content part is read, in order. Slots of one fixed text
+inside it, seen on all of several different pages, are notices. A page is read along its host's wrapper; parts that the wrapper does not know follow
 the same rules on their own.
 
 A wrapper is learned from at most ``SAMPLE_PAGES`` pages of its host, the first by a hash of the
@@ -280,21 +281,23 @@ def _weight(part: Part) -> int:
     return 0 if _dropped(part.name, False) else sum(map(_weight, part.parts))
 
 
-def _content(root: Part) -> Part:
-    named: list[tuple[int, int, Part]] = []
+def _content(root: Part) -> list[Part]:
+    """The content part; of a named one also its siblings of the same name."""
+    named: list[tuple[int, int, list[Part]]] = []
 
-    def walk(part: Part) -> None:
+    def walk(part: Part, siblings: list[Part]) -> None:
         tag, words = _words(part.name)
         rank = 3 if tag == "article" else 2 if tag == "main" or "main" in words else 1 if words & CONTENT_WORDS else 0
         if _dropped(part.name, False):
             return
         if rank:
-            named.append((rank, _weight(part), part))
+            equal = [p for p in siblings if p.name == part.name]
+            named.append((rank, sum(map(_weight, equal)), equal))
         for below in part.parts:
             if below.name != TEXT:
-                walk(below)
+                walk(below, part.parts)
 
-    walk(root)
+    walk(root, [root])
     total = _weight(root)
     for rank in (3, 2, 1):
         found = [(w, k) for k, (r, w, _) in enumerate(named) if r == rank]
@@ -304,17 +307,18 @@ def _content(root: Part) -> Part:
     while True:
         below = [(_weight(p), -k) for k, p in enumerate(part.parts) if p.name != TEXT]
         if not below or max(below)[0] * 5 < total * 4:
-            return part
+            return [part]
         child = part.parts[-max(below)[1]]
-        if _words(child.name)[0] in HEADINGS | {"p", "pre", "blockquote"}:
-            return part
+        if child.repeated or _words(child.name)[0] in HEADINGS | {"p", "pre", "blockquote"}:
+            return [part]
         part = child
 
 
 def _mark(root: Part, pages: int) -> Part:
     """Give the content element and notices their roles."""
     content = _content(root)
-    content.role = "content"
+    for part in content:
+        part.role = "content"
 
     def notices(part: Part) -> None:
         for below in part.parts:
@@ -327,7 +331,8 @@ def _mark(root: Part, pages: int) -> Part:
             if below.name != TEXT:
                 notices(below)
 
-    notices(content)
+    for part in content:
+        notices(part)
     return root
 
 
@@ -356,15 +361,14 @@ def _follow(node: Node, known: list | None) -> Iterator[tuple[Node | str, list |
         yield child, parts[hit] if hit is not None else None
 
 
-def _find(node: Node, known: list) -> tuple[Node, list] | None:
+def _find(node: Node, known: list) -> Iterator[tuple[Node, list]]:
+    """All elements that match a content part, in the page's order."""
     if known[1] == "content":
-        return node, known
+        yield node, known
+        return
     for child, part in _follow(node, known):
         if part:
-            found = _find(child, part)
-            if found:
-                return found
-    return None
+            yield from _find(child, part)
 
 
 def _collect(node: Node, known: list | None, blocks: list[list[str]]) -> None:
@@ -387,12 +391,14 @@ def _collect(node: Node, known: list | None, blocks: list[list[str]]) -> None:
 def extract(page: str, wrapper: list | None) -> str:
     """The main text of a page: its blocks joined by an empty line."""
     root = parse(page)
-    found = _find(root, wrapper) if wrapper else None
-    if found is None:
+    found = list(_find(root, wrapper)) if wrapper else []
+    if not found:
         own = _mark(expression(root), 1).as_list()
-        found = _find(root, own) or (root, own)
+        found = list(_find(root, own)) or [(root, own)]
     blocks: list[list[str]] = [[]]
-    _collect(*found, blocks)
+    for node, known in found:
+        _collect(node, known, blocks)
+        blocks.append([])
     texts = [" ".join("".join(b).split()) for b in blocks]
     return "\n\n".join([t for t in texts if t])
 

@@ -3,6 +3,7 @@
 import html
 import re
 
+import pytest
 from helpers import documents, prose
 
 import corpus_pipeline
@@ -33,6 +34,27 @@ def test_article_without_named_element():
     assert [extract(p, wrapper) for p in pages] == [expected(k) for k in range(8)]
 
 
+REPEATED = {
+    "sections": ("<div>", "<section><p>{}</p></section>", "</div>"),
+    "divs": ("", "<div><p>{}</p></div>", ""),
+    "rows": ("<table>", "<tr><td>{}</td></tr>", "</table>"),
+    "articles": ("<main>", "<article><p>{}</p></article>", "</main>"),
+    "articles between rules": ("", "<article><p>{}</p></article><hr>", ""),
+    "articles in rows": ("", "<div class=row><article><p>{}</p></article></div>", ""),
+    "named blocks": ("<div>", "<div class=content><p>{}</p></div>", "</div>"),
+    "nested": ("<div>", "<section><div><div><p>{}</p></div></div></section>", "</div>"),
+}
+
+
+@pytest.mark.parametrize("layout", REPEATED)
+def test_every_repetition_of_the_content_is_read(layout):
+    first, each, last = REPEATED[layout]
+    texts = [[prose(100 * k + j, 30 + 5 * j) for j in range(1 + k % 4)] for k in range(9)]
+    pages = ["<html><body><nav><a href=/>Home</a></nav>" + first + "".join(map(each.format, t)) + last for t in texts]
+    for known in (infer(pages).as_list(), infer(pages[:1]).as_list(), None):
+        assert [extract(p, known) for p in pages] == ["\n\n".join(t) for t in texts]
+
+
 def test_pages_of_two_hosts_and_awkward_rows(spark):
     rows = [(k, f"http://News.example.org/{k}", news(k)) for k in range(8)]
     rows += [(20, None, "<article><p>alone"), (21, "http://x.example/", None), (22, "x", ""), (23, "y", "plain <b>words")]
