@@ -383,6 +383,16 @@ def _tree_pairs(space: Workspace, open_rows: DataFrame, marks: DataFrame, percen
     )
 
 
+def _keys(space: Workspace, leaders: DataFrame) -> DataFrame:
+    """Distinct key and doc of the prefixes; only ids of several rows need to be made distinct."""
+    again = leaders.groupBy("doc").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc").alias("_again"))
+    again = space.table(again, "again")
+    keys = leaders.select(F.explode("prefix").alias("key"), "doc")
+    wanted = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    twice = F.col("doc") == F.col("_again")
+    return keys.join(wanted, twice, "left_anti").union(keys.join(wanted, twice, "left_semi").distinct())
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     space = Workspace(docs.sparkSession, "ngram-join")
@@ -397,12 +407,19 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     leaders = _of_ids(texts, space.table(classes.select("doc").distinct(), "ids"))
     kind = "doc BIGINT, n BIGINT, prefix ARRAY<BIGINT>, bits BINARY"
     leaders = space.table(leaders.mapInArrow(_leaders(n, percent, common), kind).filter("n > 0"), "leaders")
-    keys = leaders.select(F.explode("prefix").alias("key"), "doc")
+    keys = _keys(space, leaders)
+    mark = F.xxhash64("doc")
     shared = keys.groupBy("key").agg(
-        F.min("doc").alias("first"), F.max("doc").alias("last"), F.bit_xor(F.xxhash64("doc")).alias("mark")
+        F.min("doc").alias("first"),
+        F.max("doc").alias("last"),
+        F.count("*").alias("members"),
+        F.bit_xor(mark).alias("mark"),
+        # 32 bits a member, so that the sum cannot overflow.
+        F.sum(F.shiftrightunsigned(mark, 32)).alias("sum"),
     )
     # Groups of the same members are walked once.
-    shared = shared.filter("first < last").groupBy("first", "last", "mark").agg(F.min("key").alias("key")).select("key", "first")
+    group = ["first", "last", "members", "mark", "sum"]
+    shared = shared.filter("first < last").groupBy(*group).agg(F.min("key").alias("key")).select("key", "first")
     shared = space.table(shared, "shared")
     live = space.table(keys.join(shared, "key").select("key", "doc", "first"), "live")
 

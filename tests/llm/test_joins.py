@@ -94,6 +94,26 @@ def test_equal_ids_are_one_node(spark):
     assert got == [(1, 1), (5, 1), (5, 1), (7, 1)]
 
 
+def test_repeated_rows_stay_in_their_groups(spark):
+    """Groups of hashes that differ only in a row that occurs twice, and a table of which every row does."""
+    rng = random.Random(11)
+    rows = []
+    for family in range(200):
+        base = prose(7000 + family, 300).split()
+        other = list(base)
+        for at in rng.sample(range(290), 4):
+            other[at] = f"changed{at}"
+        for k, words in ((0, base), (1, other), (1, other), (3, [*base[:-1], "last"])):
+            rows.append((10 * family + k, " ".join(words), "en", "s", 0))
+    sets = {r[0]: set(zip(*(r[1].split()[k:] for k in range(4)))) for r in rows}
+    links = [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and 100 * len(x & y) >= 85 * len(x | y)]
+    assert len(links) >= 400
+    want = find_roots(sets, links)
+    for table in (rows, rows * 2):
+        got = sorted((r.doc_id, r.component_id) for r in near_duplicates(documents(spark, table)).collect())
+        assert got == sorted((r[0], want[r[0]]) for r in table)
+
+
 def brute_force(ids, vectors, query, k):
     score = vectors @ vectors[query]
     order = [i for i in np.lexsort((ids, -score)) if i != query]
