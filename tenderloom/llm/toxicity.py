@@ -1,15 +1,19 @@
 """Toxicity by nearest labelled examples.
 
-Terms are words, lower-cased and without punctuation at their ends. Terms that speak for the toxic
-label (by how often and by chi-square over all labelled texts, equal texts once) carry a text's TF-IDF vector;
-its length counts all its terms, the others at the least weight a term can have.
+Terms are words, lower-cased and without punctuation at their ends. A text's TF-IDF vector holds all
+terms of the examples, with document frequencies over all texts. None is left out: terms that speak
+for the toxic label (by chi-square over all labelled texts, equal texts once) weigh more, and no term
+weighs less than its TF-IDF. Terms of no example cannot add to a product; they count in a text's
+length, with the root mean square of their inverse document frequencies.
 Examples are a bounded sample of labelled texts. A text's nearest examples by exact cosine come
 from an inverted index in blocks: the largest weight of each term in each block bounds the score
-of its examples, those of largest bound are scored, then all whose bound can reach the k-th found. Votes weighted by similarity, toxic and clean, are turned into a probability by logistic
-calibration on the examples themselves, each left out of its own search.
+of its examples, those of largest bound are scored, then all whose bound can reach the k-th found.
+Votes weighted by similarity, toxic and clean, are turned into a probability by logistic
+calibration on the examples themselves, each left out of its own search. Vectors live in the tasks
+that score them and are not written.
 
-Bounds of the model, none of which limits the texts that are scored: ``MAX_TERMS`` terms and
-``MAX_EXAMPLES`` examples a label, first by a hash of the id. Statistics cover all labelled texts.
+Bound of the model, which does not limit the texts that are scored: ``MAX_EXAMPLES`` examples a
+label, first by a hash of the id. Statistics of labels cover all labelled texts.
 
 Defined results: null and empty texts have no terms and get the score of no similarity; without
 labels of both kinds every score is the share of toxic labels, or 0 without any; labels with a
@@ -30,12 +34,9 @@ from pyspark.sql import functions as F
 
 from tenderloom.llm.common import Workspace, doc_remainder, ranges, slices, split_words
 
-MAX_TERMS = 4096
 MAX_EXAMPLES = 4000
-MIN_TEXTS = 5
-MIN_CHI2 = 30.0
-#: A term's texts must be toxic so many times as often as all texts (or in half of the cases).
-MIN_LIFT = 3.0
+#: A term weighs more by what the root of its chi-square exceeds this.
+CHANCE = 2.0
 NEIGHBOURS = 16
 EXAMPLES_PER_BLOCK = 64
 #: Blocks scored first, by falling bound; their scores decide which others are needed.
@@ -67,50 +68,68 @@ def _pairs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each term: how many texts have it, how many labelled and how many toxic ones."""
     for part in slices(batches, "text"):
         terms, text, term, _ = _pairs(part.column("text"))
         toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.float64)
-        bad = np.bincount(term, toxic[text], len(terms)).astype(np.int64)
         every = np.bincount(term, minlength=len(terms))
-        yield pa.RecordBatch.from_arrays([terms, pa.array(every), pa.array(bad)], ["term", "texts", "bad"])
+        known, bad = (np.bincount(term, x[text], len(terms)).astype(np.int64) for x in (toxic >= 0, toxic == 1))
+        yield pa.RecordBatch.from_arrays([terms, *map(pa.array, (every, known, bad))], ["term", "texts", "known", "bad"])
 
 
-@dataclass(frozen=True)
-class Terms:
-    """Terms of the vectors with their inverse document frequencies."""
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each example and how often it has them."""
+    for part in slices(batches, "text"):
+        names, text, term, count = _pairs(part.column("text"))
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (names.take(pa.array(term)), pa.array(count.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *lists], ["doc_id", "toxic", "terms", "counts"])
 
-    names: tuple[str, ...]
-    idf: np.ndarray
 
+def _own_terms(known: pa.Array, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The counts of known terms; of all others one row a batch: their texts and squared inverse frequencies."""
 
-def _vectors(terms: Terms) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(terms.names, pa.string())
-        for part in slices(batches, "text"):
-            names, text, term, count = _pairs(part.column("text"))
-            at = pc.fill_null(pc.index_in(names, known), -1).to_numpy(zero_copy_only=False)[term]
-            keep = at >= 0
-            weight = 1 + np.log(count)
-            weight[keep] *= terms.idf[at[keep]]
-            length = np.sqrt(np.bincount(text, weight * weight, part.num_rows))
-            weight = (weight / length[text])[keep]
-            text, at = text[keep], at[keep]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))]).astype(np.int32)
-            ends = pa.array(ends)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))),
-                    pa.ListArray.from_arrays(ends, pa.array(weight)),
-                ],
-                ["doc_id", "terms", "weights"],
-            )
+        for batch in batches:
+            own = pc.is_in(batch.column("term"), known)
+            kept = batch.filter(own)
+            texts = batch.column("texts").filter(pc.invert(own)).to_numpy(zero_copy_only=False)
+            squares = float((((np.log((1 + rows) / (1 + texts)) + 1) ** 2) * texts).sum())
+            last = [None, int(texts.sum()), 0, 0]
+            columns = [pa.concat_arrays([c, pa.array([x], c.type)]) for c, x in zip(kept.columns, last)]
+            columns.append(pa.array([0.0] * kept.num_rows + [squares]))
+            yield pa.RecordBatch.from_arrays(columns, ["term", "texts", "known", "bad", "squares"])
 
     return run
 
 
+@dataclass(frozen=True)
+class Terms:
+    """The examples' terms with their factors: inverse document frequency times weight for the label."""
+
+    names: pa.Array
+    factor: np.ndarray
+    #: The factor of all terms that no example has.
+    other: float = 1.0
+
+    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each text's terms start, terms, weights); lengths count all terms of a text."""
+        names, text, term, count = _pairs(texts)
+        at = pc.fill_null(pc.index_in(names, self.names), -1).to_numpy(zero_copy_only=False)[term].astype(np.int64)
+        keep = at >= 0
+        weight = 1 + np.log(count)
+        weight *= np.where(keep, self.factor[at], self.other) if len(self.factor) else self.other
+        length = np.sqrt(np.bincount(text, weight * weight, len(texts)))
+        weight = (weight / length[text])[keep]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(text[keep], minlength=len(texts)))])
+        return ends, at[keep], weight
+
+
 class BlockMaxIndex:
-    """Postings by term and block of examples, with each block's largest weight per term."""
+    """Postings by term and block of examples, with each block's largest weight per term.
+
+    Cells are the pairs of term and block that have postings; a term's cells lie together.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
         sizes = np.array([len(t) for t, _ in vectors], np.int64)
@@ -119,38 +138,44 @@ class BlockMaxIndex:
         weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         self.count = len(vectors)
         self.blocks = -(-max(len(vectors), 1) // EXAMPLES_PER_BLOCK)
-        block = owner // EXAMPLES_PER_BLOCK
-        self.most = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.most, (term, block), weight)
         order = np.lexsort((owner, term))
         self.owner, self.weight = owner[order], weight[order]
-        self.start = np.searchsorted(term[order] * self.blocks + block[order], np.arange(n_terms * self.blocks + 1))
+        cell = term[order] * self.blocks + self.owner // EXAMPLES_PER_BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.start = np.append(first, len(cell))
+        self.block = cell[first] % self.blocks
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.cells = np.searchsorted(cell[first], np.arange(n_terms + 1) * self.blocks)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, nearest first, ties to the earlier one."""
-        bound = weights @ self.most[terms]
+        size = self.cells[terms + 1] - self.cells[terms]
+        cell = ranges(self.cells[terms], size)
+        weight, block = np.repeat(weights, size), self.block[cell]
+        bound = np.bincount(block, weight * self.most[cell], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        score = self._scores(terms, weights, order[:FIRST_BLOCKS])
+        chosen = np.zeros(self.blocks, bool)
+        chosen[order[:FIRST_BLOCKS]] = True
+        now = chosen[block]
+        score = self._scores(cell[now], weight[now])
         found = np.flatnonzero(score)
         least = np.partition(score[found], -k)[-k] if len(found) >= k else 0.0
         # Of the other blocks only those that can still reach the k-th; sums may differ in their last digits.
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= least - 1e-9)]
-        if len(rest):
-            score += self._scores(terms, weights, rest)
+        rest = ~chosen & (bound > 0) & (bound >= least - 1e-9)
+        if rest.any():
+            now = rest[block]
+            score += self._scores(cell[now], weight[now])
             found = np.flatnonzero(score)
         if len(found) > k:
             found = found[score[found] >= np.partition(score[found], -k)[-k]]
         best = found[np.lexsort((found, -score[found]))[:k]]
         return best, score[best]
 
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Exact scores of the examples of some blocks, 0 for all others."""
-        cell = (terms[:, None] * self.blocks + blocks[None, :]).ravel()
+    def _scores(self, cell: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Exact scores of the examples in the blocks of some cells, 0 for all others."""
         size = self.start[cell + 1] - self.start[cell]
         posting = ranges(self.start[cell], size)
-        value = self.weight[posting] * np.repeat(np.repeat(weights, len(blocks)), size)
-        return np.bincount(self.owner[posting], value, self.count)
+        return np.bincount(self.owner[posting], self.weight[posting] * np.repeat(weight, size), self.count)
 
 
 @dataclass
@@ -165,7 +190,7 @@ class Model:
     base: float = 0.0
 
     def index(self) -> BlockMaxIndex:
-        return BlockMaxIndex(self.vectors, max(len(self.terms.names), 1))
+        return BlockMaxIndex(self.vectors, len(self.terms.names))
 
     def votes(self, found: np.ndarray, score: np.ndarray) -> np.ndarray:
         """1 and the roots of the summed similarities of toxic and of clean neighbours."""
@@ -205,11 +230,10 @@ def _calibrate(model: Model, shares: dict[int, float]) -> None:
     model.coefficients = _logistic(votes, y, np.array([shares[int(t)] for t in model.toxic]))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and doc_id, terms and weights of every row of ``docs`` (doc_id, text)."""
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of the rows of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     space = Workspace(spark, "toxicity")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(doc_remainder(F.col("doc_id"), 5) != 0)
     marks = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.length("text").alias("size"))
@@ -220,49 +244,68 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     totals = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n, bad = sum(totals.values()), totals.get(1, 0)
     base = bad / n if n else 0.0
+    model = Model(Terms(pa.array([], pa.string()), np.zeros(0)), np.zeros(0), np.zeros(0), [], base=base)
     if not bad or bad == n:
-        model = Model(Terms((), np.zeros(0)), np.zeros(0), np.zeros(0), [], base=base)
-    else:
-        ids = F.broadcast(single) if n <= BROADCAST_IDS else single
-        counted = docs.join(ids, "doc_id").select("text", "toxic")
-        counts = counted.mapInArrow(_count, "term STRING, texts BIGINT, bad BIGINT")
-        counts = counts.groupBy("term").agg(F.sum("texts").alias("texts"), F.sum("bad").alias("bad"))
-        a, r = F.col("bad").cast("double"), F.col("texts").cast("double")
-        gap = a * n - r * bad
-        chi2 = F.lit(float(n)) * gap * gap / (r * (n - r) * bad * (n - bad))
-        chosen = counts.filter(f"texts >= {MIN_TEXTS} AND texts < {n}").withColumn("chi2", chi2)
-        rate = F.col("bad") / F.col("texts") >= min(MIN_LIFT * base, 0.5)
-        chosen = chosen.filter(rate & (F.col("chi2") >= MIN_CHI2)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
-        idf = np.array([np.log((1 + n) / (1 + row["texts"])) + 1 for row in chosen])
-        model = Model(Terms(tuple(row["term"] for row in chosen), idf), np.zeros(0), np.zeros(0), [], base=base)
-    kind = "doc_id BIGINT, terms ARRAY<INT>, weights ARRAY<DOUBLE>"
-    vectors = space.table(docs.mapInArrow(_vectors(model.terms), kind), "vectors")
-    if model.terms.names:
-        order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "terms")
-        rows = vectors.join(single, "doc_id").withColumn("_n", F.row_number().over(order))
-        rows = rows.filter(F.col("_n") <= MAX_EXAMPLES).collect()
-        rows.sort(key=lambda r: (r["terms"][int(np.argmax(r["weights"]))] if r["terms"] else -1, r["toxic"], r["doc_id"]))
-        model.ids = np.array([r["doc_id"] for r in rows])
-        model.toxic = np.array([r["toxic"] for r in rows])
-        model.vectors = [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in rows]
-        taken = {t: int((model.toxic == t).sum()) for t in (0, 1)}
-        _calibrate(model, {t: totals[t] / max(taken[t], 1) for t in (0, 1)})
-    return model, vectors
+        return model
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    order = F.xxhash64("doc_id"), "doc_id"
+    ids = single.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(*order))).filter(F.col("_n") <= MAX_EXAMPLES)
+    some = marked.join(F.broadcast(ids.drop("_n")), "doc_id").dropDuplicates(["doc_id", "toxic", "mark"])
+    some = some.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(*order, "mark")))
+    some = some.filter(F.col("_n") <= MAX_EXAMPLES).select("doc_id", "toxic", "text")
+    kind = "doc_id BIGINT, toxic INT, terms ARRAY<STRING>, counts ARRAY<INT>"
+    bags = some.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(_bags, kind).toArrow().combine_chunks()
+    names = bags["terms"].combine_chunks().flatten().dictionary_encode()
+    known = names.dictionary
+
+    toxic = F.coalesce(F.col("toxic").cast("int"), F.lit(-1)).alias("toxic")
+    ids = F.broadcast(single) if n <= BROADCAST_IDS else single
+    counts = docs.join(ids, "doc_id", "left").select("text", toxic)
+    counts = counts.mapInArrow(_count, "term STRING, texts BIGINT, known BIGINT, bad BIGINT").groupBy("term")
+    counts = space.table(counts.agg(*[F.sum(c).alias(c) for c in ("texts", "known", "bad")]), "terms")
+    rows = docs.count()
+    kind = "term STRING, texts BIGINT, known BIGINT, bad BIGINT, squares DOUBLE"
+    found = counts.mapInArrow(_own_terms(known, rows), kind).toArrow().combine_chunks()
+    others = found.filter(pc.is_null(found["term"]))
+    square = (pc.sum(others["squares"]).as_py() or 0.0) / max(pc.sum(others["texts"]).as_py() or 0, 1)
+    found = found.filter(pc.is_valid(found["term"])).combine_chunks()
+    at = pc.index_in(known, found["term"].combine_chunks())
+    texts, r, a = (found[c].take(at).to_numpy().astype(np.float64) for c in ("texts", "known", "bad"))
+    gap = np.maximum(a * n - r * bad, 0)
+    root = np.sqrt(n * gap * gap / np.maximum(r * (n - r) * bad * (n - bad), 1))
+    factor = (np.log((1 + rows) / (1 + texts)) + 1) * (1 + np.maximum(root - CHANCE, 0))
+    model.terms = Terms(known, factor, float(np.sqrt(square or 1.0)))
+
+    ids, kinds = bags["doc_id"].to_numpy(), bags["toxic"].to_numpy()
+    ends = bags["terms"].combine_chunks().offsets.to_numpy().astype(np.int64)
+    code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    weight = (1 + np.log(bags["counts"].combine_chunks().flatten().to_numpy())) * factor[code]
+    vectors = []
+    for start, stop in zip(ends[:-1] - ends[0], ends[1:] - ends[0]):
+        own = weight[start:stop]
+        vectors.append((code[start:stop].astype(np.int32), own / max(np.sqrt((own * own).sum()), 1e-9)))
+    # Blocks hold examples of one strong term for the label, and of one commonest term, which is of one language.
+    strong = [int(t[np.argmax(root[t])]) if len(t) and root[t].max() > CHANCE else -1 for t, _ in vectors]
+    common = [int(t[np.argmax(texts[t])]) if len(t) else -1 for t, _ in vectors]
+    place = np.lexsort((ids, kinds, common, strong))
+    model.ids, model.toxic, model.vectors = ids[place], kinds[place], [vectors[k] for k in place]
+    del bags, names, found, code, weight, vectors
+    taken = {t: int((model.toxic == t).sum()) for t in (0, 1)}
+    _calibrate(model, {t: totals[t] / max(taken[t], 1) for t in (0, 1)})
+    return model
 
 
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = model.index()
         far = model.probability(np.array([1.0, 0.0, 0.0]))
-        for batch in batches:
-            terms, weights = batch.column("terms"), batch.column("weights")
-            ends = terms.offsets.to_numpy() - terms.offsets[0].as_py()
-            flat, value = terms.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy()
-            score = np.full(batch.num_rows, far)
-            evidence: list[list] = [[] for _ in range(batch.num_rows)]
+        for part in slices(batches, "text"):
+            ends, terms, weights = model.terms.vectors(part.column("text"))
+            score = np.full(part.num_rows, far)
+            evidence: list[list] = [[] for _ in range(part.num_rows)]
             for i in np.flatnonzero(np.diff(ends)).tolist():
                 at = slice(ends[i], ends[i + 1])
-                found, near = index.nearest(flat[at], value[at], NEIGHBOURS)
+                found, near = index.nearest(terms[at], weights[at], NEIGHBOURS)
                 score[i] = model.probability(model.votes(found, near))
                 evidence[i] = [
                     {"doc_id": int(model.ids[e]), "toxic": int(model.toxic[e]), "similarity": float(s)}
@@ -272,7 +315,7 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())])
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(score), pa.array(evidence, kind)], ["doc_id", "score", "evidence"]
+                [part.column("doc_id"), pa.array(score), pa.array(evidence, kind)], ["doc_id", "score", "evidence"]
             )
 
     return run
@@ -280,9 +323,10 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (the three nearest examples) of every row."""
-    model, vectors = learn(docs, labels)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    model = learn(docs, labels)
     kind = "doc_id BIGINT, score DOUBLE, evidence ARRAY<STRUCT<doc_id: BIGINT, toxic: INT, similarity: DOUBLE>>"
-    scored = vectors.mapInArrow(_score(model), kind)
+    scored = docs.mapInArrow(_score(model), kind)
     held = doc_remainder(F.col("doc_id"), 5) == 0
     predicted = (F.col("score") >= 0.5).cast("int")
     return scored.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"), "evidence")

@@ -149,6 +149,27 @@ def test_toxic_texts_are_caught_and_clean_ones_stay(spark):
     assert {r.doc_id for r in kept.collect()} == {k for k in range(400) if k % 4} | {1000, 1001, None}
 
 
+def test_a_text_without_marked_terms_finds_its_copy(spark):
+    docs, labels = toxic_tables(spark)
+    odd, plain = (next(k for k in range(low, low + 999) if zlib.crc32(str(k).encode()) % 5) for low in (2000, 3000))
+    more = [(odd, prose(8001, 60), "en", "s", None), (plain, prose(8002, 60), "en", "s", None)]
+    more += [(odd + 5000, prose(8001, 60), "en", "s", None), (plain + 5000, prose(8002, 60), "en", "s", None)]
+    docs = docs.union(spark.createDataFrame(more, DOCUMENTS))
+    labels = labels.union(spark.createDataFrame([(odd, 1, 1), (plain, 1, 0)], labels.schema))
+    got = {r.doc_id: r for r in score_documents(docs, labels).collect()}
+    for k, kind in ((odd, 1), (plain, 0)):
+        nearest = got[k + 5000].evidence[0]
+        assert (nearest.doc_id, nearest.toxic) == (k, kind) and nearest.similarity == pytest.approx(1)
+    assert all(len(got[k].evidence) == 3 for k in range(400))
+
+
+def test_few_labels_still_find_neighbours(spark):
+    got = QUERIES["op1_toxicity"](spark, DATA).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert all(r.evidence for r in got if len(re.findall("[a-z]+", (texts[r.doc_id] or "").lower())) > 5)
+    assert len({r.score for r in got}) > 10
+
+
 def test_labels_of_one_kind(spark):
     docs, labels = toxic_tables(spark)
     assert {r.score for r in score_documents(docs, labels.filter("toxic = 0")).collect()} == {0.0}
