@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from support import rows
 
 from tenderloom.operators import catalog as K
 

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from tenderloom.operators import contracts as C

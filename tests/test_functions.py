@@ -1,5 +1,5 @@
 import pytest
-from conftest import values
+from support import values
 from pyspark.sql import functions as F
 
 from tenderloom.functions import ean, money, text, web

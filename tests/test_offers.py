@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows, values
+from support import rows, values
 from pyspark.sql import functions as F
 
 from tenderloom.functions.text import rfq_lines

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, differences
-from conftest import TESTDATA
+from support import TESTDATA
 
 import __spark_entry__ as entry
 

@@ -1,6 +1,6 @@
 """The hot-key paths give exactly what the plain operators give."""
 
-from conftest import rows
+from support import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

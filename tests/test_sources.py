@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from tenderloom.operators.records import flatten_records

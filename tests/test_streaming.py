@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from tenderloom.streaming import streams
