@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import WORDS, documents, prose
+from llm.helpers import WORDS, documents, prose
 from pyspark.sql import functions as F
 
 from tenderloom.llm import ngram_join

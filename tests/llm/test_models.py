@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import DOCUMENTS, documents, prose
+from llm.helpers import DOCUMENTS, documents, prose
 
 from tenderloom.llm.langid import Parser, Samples, identify
 from tenderloom.llm.language_model import discounts, score_held_out

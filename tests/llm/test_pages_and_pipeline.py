@@ -4,7 +4,7 @@ import html
 import re
 
 import pytest
-from helpers import documents, prose
+from llm.helpers import documents, prose
 
 import corpus_pipeline
 from tenderloom.llm.queries import QUERIES

@@ -1,7 +1,7 @@
 """Operators that SQL expresses, on awkward rows."""
 
 import pytest
-from helpers import DOCUMENTS, EXTRA, documents, prose, save, spark_rows, sql_rows
+from llm.helpers import DOCUMENTS, EXTRA, documents, prose, save, spark_rows, sql_rows
 from pyspark.sql import functions as F
 
 from tenderloom.llm.mixing import mix_documents, mix_plan, plan_mix

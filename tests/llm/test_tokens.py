@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import awkward_documents, documents
+from llm.helpers import awkward_documents, documents
 from tokenizers import Tokenizer
 
 from tenderloom.llm import bpe, token_files
