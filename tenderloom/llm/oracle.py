@@ -112,4 +112,75 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(r.root, s.doc_id) AS c
 FROM sets s LEFT JOIN classes k ON k.key = s.key LEFT JOIN roots r ON r.node = k.c
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": OP3, "op6_quality_rules": OP6, "op8_ngram_jaccard": OP8}
+
+
+def _code(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_code(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(name: str, first: str) -> str:
+    """Nodes of trees of degree three, level by level, from rows (tree, level, idx, width, digest)."""
+    return f"""{name} AS (
+    {first}
+    UNION ALL
+    SELECT tree, level + 1, idx // 3, any_value((width + 2) // 3), sha256(string_agg(digest, '' ORDER BY idx))
+    FROM {name} WHERE width > 1 GROUP BY tree, level, idx // 3
+)"""
+
+
+def _steps(rows: str, nodes: str, base: int) -> str:
+    """Siblings left and right of each row's node at each level."""
+    return f"""
+    SELECT l.r, {base} + o.level AS step, string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx < o.idx) AS before,
+        string_agg(u.digest, '' ORDER BY u.idx) FILTER (u.idx > o.idx) AS after
+    FROM {rows} l
+    JOIN {nodes} o ON o.tree = l.tree AND o.width > 1 AND o.idx = l.idx // (3 ** o.level)::BIGINT
+    JOIN {nodes} u ON u.tree = o.tree AND u.level = o.level AND u.idx // 3 = o.idx // 3
+    GROUP BY l.r, o.level"""
+
+
+_CLAIMED = "CASE WHEN even THEN replace(text, chr(10), '') ELSE text END"
+
+OP13 = f"""
+WITH RECURSIVE bits AS (
+    SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256))::BIGINT AS i)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+    SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), rows AS (
+    SELECT row_number() OVER () AS r, d.*, doc_id IS NOT NULL AND (xor(list_reduce(
+        list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+        lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 2 = 0) AS even
+    FROM documents d, crc
+), digests AS (
+    SELECT r, doc_id, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS tree,
+        {_leaf("text")} AS leaf, {_leaf("(" + _CLAIMED + ")")} AS claimed
+    FROM rows
+), leaves AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+        count(*) OVER (PARTITION BY tree) AS n FROM digests
+), {_levels("up", "SELECT tree, 0 AS level, idx, n AS width, leaf AS digest FROM leaves")}, trees AS (
+    SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS sources
+    FROM up WHERE width = 1
+), {_levels("top", "SELECT '' AS tree, 0 AS level, place AS idx, sources AS width, subroot AS digest FROM trees")}, docs AS (
+    SELECT l.r, '' AS tree, t.place AS idx FROM leaves l JOIN trees t USING (tree)
+), steps AS ({_steps("leaves", "up", 0)}
+    UNION ALL {_steps("docs", "top", 1000)}
+), paths AS (
+    SELECT r, list(coalesce(before, '') || '|' || coalesce(after, '') ORDER BY step) AS path,
+        string_agg(coalesce(before, '') || coalesce(after, ''), '' ORDER BY step) AS proof
+    FROM steps GROUP BY r
+), folded AS (
+    SELECT l.doc_id, l.leaf, t.subroot, (SELECT digest FROM top WHERE width = 1) AS root,
+        sha256(coalesce(p.proof, '')) AS proof_sha256, list_reduce(list_prepend(l.claimed, coalesce(p.path, [])),
+            lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2))) AS folded_root
+    FROM leaves l JOIN trees t USING (tree) LEFT JOIN paths p USING (r)
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": OP3, "op6_quality_rules": OP6, "op8_ngram_jaccard": OP8, "op13_merkle_manifest": OP13}
