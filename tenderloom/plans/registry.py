@@ -637,20 +637,32 @@ def _event_stream(i: Inputs) -> DataFrame:
 
 @query
 def stream_service_health(i: Inputs) -> DataFrame:
-    spans = Inputs.spans_of(_event_stream(i))
-    return streams.drain(streams.stream_service_health(spans), "service-health")
+    """All windows of the stream, those that further rows may change marked open."""
+    health = streams.stream_service_health(Inputs.spans_of(_event_stream(i)))
+    keys = ["window_start", "window_end", "service", "env"]
+    return streams.latency_percentiles(streams.drain_windows(health, "service-health", keys))
+
+
+@query
+def merged_service_health(i: Inputs) -> DataFrame:
+    """Days from windows of a quarter of an hour, whose sketches merge."""
+    quarters = streams.stream_service_health(i.spans)
+    return streams.latency_percentiles(streams.merge_health(quarters, "1 day")).drop("last_seen")
 
 
 @query
 def stream_latest_offers(i: Inputs) -> DataFrame:
+    """Requests whose texts differ in case and spaces, answered by cache entries of five minutes."""
+    text = F.concat_ws(" ", "event_type", F.col("user_id").cast("string"))
+    varied = F.when(F.col("event_id") % 3 == 0, F.upper(text)).otherwise(F.concat(F.lit("  "), text))
     requests = _event_stream(i).select(
         "ts",
         F.lit("idealo").alias("source"),
         F.lit("name").alias("method"),
-        F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("query"),
+        varied.alias("query"),
         F.lit(5).alias("max_results"),
     )
-    return streams.drain(streams.stream_latest_offers(requests), "latest-offers")
+    return streams.drain_requests(streams.stream_latest_offers(requests), "latest-offers")
 
 
 @query
