@@ -392,23 +392,42 @@ def price_schedule(t: ContractTables, as_of: str, cheapest: bool = False) -> Dat
     )
 
 
-def _at_demand(
-    demand: DataFrame, bands: DataFrame, rows_per_split: int | None, by_article: bool = False
-) -> DataFrame:
-    """Demand rows with every band that holds their quantity (equi join + range residual).
+CELL = ["article_id", skew.SPLIT, skew.SPLIT_FEW]
 
-    ``by_article`` keeps the result partitioned by article even where one side could be
-    broadcast, for callers that go on to rank: shuffling the inputs once is cheaper than
-    shuffling the many matches.
+
+def _matches(
+    t: ContractTables,
+    demand: DataFrame,
+    bands: DataFrame,
+    rows_per_split: int | None,
+    pairs_per_split: int | None,
+    by_article: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Demand rows with every band that holds their quantity: of ordinary and of hot articles.
+
+    Ordinary articles take one equi join with a range residual. An article with very many demand
+    rows, very many bands or both becomes a grid of cells sized from both counts, which one
+    aggregation over both sides takes; where there is none, that branch is empty and drops out
+    when the counts are known.
     """
-    cut, repeated = skew.spread_hot_keys(
-        demand, bands, ["article_id"], ["demand_id"], rows_per_split
-    )
-    if by_article:
-        repeated = repeated.hint("merge")
-    return cut.join(repeated, ["article_id", skew.SPLIT]).filter(
-        F.col("qty").between(F.col("from_qty"), F.col("to_qty"))
-    )
+    fits = F.col("qty").between(F.col("from_qty"), F.col("to_qty"))
+    hot = skew.hot_cells(demand, t.lines, ["article_id"], rows_per_split, pairs_per_split)
+    listed = F.broadcast(hot.select("article_id"))
+    # Merging keeps the result partitioned by article even where one side could be broadcast, for
+    # callers that go on to rank: shuffling the inputs once is cheaper than shuffling the matches.
+    met_whole = bands.hint("merge") if by_article else bands
+    ordinary = demand.join(listed, "article_id", "left_anti").join(met_whole, "article_id")
+    # Columns that are needed anyway, so that both branches read the same shuffled bands.
+    line = "contract_id" if "contract_id" in bands.columns else "contract_number"
+    cut, met = skew.dealt_by_work(demand, bands, ["article_id"], ["demand_id"], [line, "from_qty"], hot)
+    return ordinary.filter(fits), cut.join(met, CELL).filter(fits).drop(skew.SPLIT, skew.SPLIT_FEW)
+
+
+def _at_demand(
+    t: ContractTables, demand: DataFrame, bands: DataFrame, rows_per_split: int | None, pairs_per_split: int | None
+) -> DataFrame:
+    ordinary, hot = _matches(t, demand, bands, rows_per_split, pairs_per_split)
+    return ordinary.unionByName(hot)
 
 
 def price_for_demand(
@@ -416,19 +435,24 @@ def price_for_demand(
     demand: DataFrame,
     as_of: str,
     rows_per_split: int | None = None,
+    pairs_per_split: int | None = None,
 ) -> DataFrame:
     """All contract prices for each row of ``demand(demand_id, article_id, qty)``.
 
     Per line the matching tier price, else the base price; ``price_rank`` orders the
     options of one demand row. The join partitions by article, which already
-    clusters the ranking keys, so ranking adds a sort but no shuffle.
+    clusters the ranking keys, so ranking adds a sort but no shuffle. Only of hot articles
+    can one demand row have options in several cells; those are shuffled by demand row.
     """
-    options = _at_demand(demand, price_schedule(t, as_of), rows_per_split, by_article=True)
+    ordinary, hot = _matches(t, demand, price_schedule(t, as_of), rows_per_split, pairs_per_split, by_article=True)
     # The demand comes first because the sort compares its first column as a prefix.
-    rank = Window.partitionBy("demand_id", "article_id", skew.SPLIT).orderBy(
-        "unit_price_cents", "contract_id", "from_qty", "tier_id"
+    rank = F.row_number().over(
+        Window.partitionBy("demand_id", "article_id").orderBy(
+            "unit_price_cents", "contract_id", "from_qty", "tier_id"
+        )
     )
-    return options.select(
+    ranked = ordinary.withColumn("price_rank", rank).unionByName(hot.withColumn("price_rank", rank))
+    return ranked.select(
         "demand_id",
         "article_id",
         "qty",
@@ -441,27 +465,35 @@ def price_for_demand(
         ),
         "delivery_days",
         "price_type",
-        F.row_number().over(rank).cast("bigint").alias("price_rank"),
+        F.col("price_rank").cast("bigint").alias("price_rank"),
     )
 
 
 def lines_without_tier(
-    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int | None = None
+    t: ContractTables,
+    demand: DataFrame,
+    as_of: str,
+    rows_per_split: int | None = None,
+    pairs_per_split: int | None = None,
 ) -> DataFrame:
     """(demand, line) pairs for which no tier holds the quantity: the base-price bands."""
     base = price_schedule(t, as_of).filter(F.col("price_type") == "contract")
-    return _at_demand(demand, base, rows_per_split).select(
+    return _at_demand(t, demand, base, rows_per_split, pairs_per_split).select(
         "demand_id", "article_id", "qty", "contract_id", "contract_number", "unit_price_cents"
     )
 
 
 def tier_lookup(
-    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int | None = None
+    t: ContractTables,
+    demand: DataFrame,
+    as_of: str,
+    rows_per_split: int | None = None,
+    pairs_per_split: int | None = None,
 ) -> DataFrame:
     """Per (demand, line) the cheapest matching tier price, NULL when no tier matches."""
     bands = price_schedule(t, as_of, cheapest=True)
     tier_price = F.when(F.col("price_type") == "tiered", F.col("unit_price_cents"))
-    return _at_demand(demand, bands, rows_per_split).select(
+    return _at_demand(t, demand, bands, rows_per_split, pairs_per_split).select(
         "article_id", "demand_id", "qty", "contract_id", tier_price.alias("tier_price_cents")
     )
 
@@ -510,13 +542,17 @@ def order_bands(t: ContractTables, as_of: str) -> DataFrame:
 
 
 def recommend_order(
-    t: ContractTables, demand: DataFrame, as_of: str, rows_per_split: int | None = None
+    t: ContractTables,
+    demand: DataFrame,
+    as_of: str,
+    rows_per_split: int | None = None,
+    pairs_per_split: int | None = None,
 ) -> DataFrame:
     """Exact-quantity price per line, and every tier reached by at most doubling the order.
 
     Both options are bands of the same table, so one join answers them.
     """
-    options = _at_demand(demand, order_bands(t, as_of), rows_per_split)
+    options = _at_demand(t, demand, order_bands(t, as_of), rows_per_split, pairs_per_split)
     order_qty = F.coalesce("order_qty", "qty")
     saving = F.col("list_price_cents") - F.col("unit_price_cents")
     return options.select(

@@ -42,11 +42,12 @@ class Ordered:
         """Rows whose global positions are in ``first .. last``; other ranges are not read."""
         if self.keys:
             raise ValueError("a slice is of the whole order, not of groups")
-        begin = self.parts.select("_part", (F.col("_first") - F.col("_shift")).alias("_begin"), "_rows")
-        wanted = begin.filter((F.col("_begin") <= last) & (F.col("_begin") + F.col("_rows") > first))
-        # At most as many ranges as partitions; a filter on the written part number prunes row groups.
-        parts = [r["_part"] for r in wanted.select("_part").collect()]
-        kept = Ordered(self.rows.filter(F.col("_part").isin(parts)), self.parts, self.keys, self.group, self.path)
+        begin = F.col("_first") - F.col("_shift")
+        touched = self.parts.filter((begin <= last) & (begin + F.col("_rows") > first))
+        low, high = touched.agg(F.min("_part"), F.max("_part")).first()
+        # The part number was written with the rows, so this filter skips row groups.
+        rows = self.rows.filter(F.col("_part").between(-1 if low is None else low, -1 if high is None else high))
+        kept = Ordered(rows, self.parts, self.keys, self.group, self.path)
         return kept.ranked(name).filter(F.col(name).between(first, last))
 
     def count(self) -> int:
@@ -73,16 +74,17 @@ def globally_ordered(
     laid.write.parquet(path)
     rows = spark.read.schema(laid.schema).parquet(path)
     parts = rows.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
-    whole = Window.partitionBy(*group)
-    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # Without keys this is one row per range: as many as there are partitions.
+    in_order = Window.partitionBy(*group).orderBy("_part")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    everything = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     parts = parts.withColumns(
         {
             "_shift": F.col("_first") - 1 - F.coalesce(F.sum("_rows").over(before), F.lit(0)),
-            "_all": F.sum("_rows").over(whole),
+            "_all": F.sum("_rows").over(everything),
         }
     )
     if not keys:
-        # One row per range: bounded by the number of partitions.
         parts = F.broadcast(parts)
     return Ordered(rows, parts, tuple(keys), tuple(group), path)
 

@@ -21,7 +21,11 @@ ROWS_PER_SPLIT = ("spark.tenderloom.rowsPerSplit", 2_000_000)
 # Rows of one key that one task may sort or collect (session setting, default).
 ROWS_IN_TASK = ("spark.tenderloom.rowsInTask", 1_000_000)
 
+# Pairs that one join task should meet at most (session setting, default).
+PAIRS_PER_SPLIT = ("spark.tenderloom.pairsPerSplit", 2**32)
+
 SPLIT = "_split"
+SPLIT_FEW = "_split_few"
 
 
 def _limit(df: DataFrame, given: int | None, setting: tuple[str, int]) -> int:
@@ -236,3 +240,53 @@ def spread_hot_keys(
         few.join(hot, list(keys), "left").withColumn(SPLIT, F.explode(pieces)).drop("_pieces")
     )
     return cut, repeated
+
+
+def hot_cells(
+    many: DataFrame, few: DataFrame, keys: Sequence[str], rows: int | None = None, pairs: int | None = None
+) -> DataFrame:
+    """Keys whose join would be too much for one task, with a grid of ``_across`` x ``_down`` cells.
+
+    The rows of both sides are counted together in one aggregation. A key with m rows on one side and
+    b on the other makes m * b pairs; ``many`` is cut into ``_across`` pieces and ``few`` into
+    ``_down``, so that a cell has at most ``rows`` rows of a side and about ``pairs`` pairs. Both
+    sides are cut evenly where both are large, so little is repeated. A key is listed only if a side
+    has more than min(rows, sqrt(pairs)) rows, 65,536 by default, which bounds the list for broadcasting.
+    """
+    rows = _limit(many, rows, ROWS_PER_SPLIT)
+    pairs = _limit(many, pairs, PAIRS_PER_SPLIT)
+    side = max(1, int(pairs**0.5))
+    one, none = F.lit(1), F.lit(0)
+    both = many.select(*keys, one.alias("_m"), none.alias("_b")).unionByName(
+        few.select(*keys, none.alias("_m"), one.alias("_b"))
+    )
+    sizes = both.groupBy(*keys).agg(F.sum("_m").alias("_m"), F.sum("_b").alias("_b"))
+    m, b = F.col("_m"), F.col("_b")
+
+    def pieces(own: Column, other: Column) -> Column:
+        """The other side whole if it is short, else squares."""
+        wanted = F.ceil(own * F.least(other, F.lit(side)) / F.lit(float(pairs)))
+        return F.greatest(F.when(own > side, wanted).otherwise(1), F.ceil(own / F.lit(rows))).cast("int")
+
+    sized = sizes.filter((m > 0) & (b > 0)).select(*keys, pieces(m, b).alias("_across"), pieces(b, m).alias("_down"))
+    return F.broadcast(sized.filter((F.col("_across") > 1) | (F.col("_down") > 1)))
+
+
+def dealt_by_work(
+    many: DataFrame, few: DataFrame, keys: Sequence[str], many_by: Sequence[str], few_by: Sequence[str], hot: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of the keys that ``hot`` lists, with the join columns ``_split`` and ``_split_few``.
+
+    A row of ``many`` is in one of the pieces across and meets all pieces down, and the other way
+    round, so every pair meets in exactly one cell of its key's grid.
+    """
+
+    def places(pieces: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(pieces) - 1))
+
+    def place(by: Sequence[str], pieces: str) -> Column:
+        return F.pmod(F.xxhash64(*by), F.col(pieces)).cast("int")
+
+    cut = many.join(hot, list(keys)).withColumns({SPLIT: place(many_by, "_across"), SPLIT_FEW: places("_down")})
+    met = few.join(hot, list(keys)).withColumn(SPLIT_FEW, place(few_by, "_down")).withColumn(SPLIT, places("_across"))
+    return cut.drop("_across", "_down"), met.drop("_across", "_down")

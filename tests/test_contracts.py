@@ -5,6 +5,7 @@ from support import rows
 from pyspark.sql import functions as F
 
 from tenderloom.operators import contracts as C
+from tenderloom.operators import skew
 
 DAY = "2025-06-30"
 
@@ -146,10 +147,52 @@ def test_recommendation_ignores_the_minimum_order(spark, tables):
     assert rows(more.select("supplier_name", "recommended_qty")) == [("S1", 10), ("S2", 10)]
 
 
-def test_splitting_hot_articles_changes_nothing(spark, inputs):
-    whole = C.price_for_demand(inputs.procurement, inputs.demand, "1998-06-30")
-    split = C.price_for_demand(inputs.procurement, inputs.demand, "1998-06-30", rows_per_split=3)
-    assert rows(whole) == rows(split)
+@pytest.mark.parametrize("name", ["price_for_demand", "tier_lookup", "lines_without_tier", "recommend_order"])
+def test_splitting_hot_articles_changes_nothing(inputs, name):
+    def found(**limits):
+        return rows(getattr(C, name)(inputs.procurement, inputs.demand, "1998-06-30", **limits))
+
+    whole = found()
+    assert found(rows_per_split=3) == whole
+    assert found(pairs_per_split=50) == whole
+
+
+def hot_article(spark, lines, demands):
+    """One article in many contracts, asked for many times, and an ordinary one."""
+    table = spark.range(lines)
+    i = F.col("id").cast("int")
+    t = C.ContractTables(
+        articles=None, categories=None, tiers=spark.createDataFrame([], TIERS),
+        suppliers=spark.createDataFrame([(1, "S")], "supplier_id INT, supplier_name STRING"),
+        contracts=table.select(i.alias("contract_id"), F.lit(1).alias("supplier_id"), F.concat(F.lit("C"), i).alias("contract_number"),
+                               F.lit("active").alias("status"), F.to_date(F.lit("2025-01-01")).alias("valid_from"),
+                               F.to_date(F.lit("2026-01-01")).alias("valid_until")),
+        lines=table.select(i.alias("contract_article_id"), i.alias("contract_id"), F.when(i < 3, 2).otherwise(1).alias("article_id"),
+                           (i * 7 % 101).cast("bigint").alias("contract_price_cents"), F.lit(500).cast("bigint").alias("list_price_cents"),
+                           F.lit(0.0).alias("discount_pct"), F.lit(2).alias("delivery_days"), F.lit(1).alias("min_order_qty")),
+    )
+    wanted = spark.range(demands).select(F.col("id").alias("demand_id"), F.when(F.col("id") % 9 == 0, 2).otherwise(1).alias("article_id"), F.lit(4).alias("qty"))
+    return t, wanted
+
+
+TIERS = "tier_id INT, contract_article_id INT, min_quantity INT, max_quantity INT, tier_price_cents BIGINT, discount_pct DOUBLE"
+
+
+@pytest.mark.parametrize("lines, demands, cells", [(40, 200, (4, 18)), (200, 20, (20, 2)), (3000, 1, None)])
+def test_work_of_a_hot_article_is_cut_on_both_sides(spark, lines, demands, cells):
+    t, wanted = hot_article(spark, lines, demands)
+    bands = C.price_schedule(t, "2025-06-30")
+    hot = {r.article_id: (r._down, r._across) for r in skew.hot_cells(wanted, bands, ["article_id"], 10**6, 100).collect()}
+    if cells:
+        down, across = hot[1]
+        ordinary = wanted.filter("article_id = 1").count() * (lines - 3)
+        assert down * across >= ordinary / 100 and (down, across) == cells
+    else:
+        assert 1 not in hot or hot[1][0] > 1
+    whole = rows(C.price_for_demand(t, wanted, "2025-06-30"))
+    assert rows(C.price_for_demand(t, wanted, "2025-06-30", pairs_per_split=100)) == whole
+    assert rows(C.price_for_demand(t, wanted, "2025-06-30", rows_per_split=7)) == whole
+    assert len(whole) == wanted.filter("article_id = 1").count() * (lines - 3) + wanted.filter("article_id = 2").count() * 3
 
 
 def test_result_does_not_depend_on_partitions(spark, tables):
