@@ -7,7 +7,7 @@ rank needs neither a window over the whole table nor one over a hot group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,3 +99,34 @@ def globally_ranked(
 ) -> DataFrame:
     """Every row with its 1-based position in the order, per group of ``keys`` where given."""
     return globally_ordered(df, order, keys, folder).ranked(name, of)
+
+
+def page_in_order(ordered: Ordered, page: int, page_size: int, name: str = "rank_no") -> DataFrame:
+    """One page, counted from 1, with ranks, ``total_count`` and ``has_more``, however deep it lies.
+
+    Only the ranges that hold the page are read, and no task sees the rows before it.
+    """
+    total = ordered.count()
+    found = ordered.slice((page - 1) * page_size + 1, page * page_size, name)
+    return found.withColumns({"total_count": F.lit(total), "has_more": F.lit(page * page_size < total)})
+
+
+def rows_after(
+    df: DataFrame, order: Sequence[tuple[str, bool]], last: Mapping[str, object], page_size: int
+) -> DataFrame:
+    """The next ``page_size`` rows after the row with the values ``last``.
+
+    ``order`` lists (column, descending) and ends in a unique column; NULL sorts first ascending and
+    last descending, as in Spark. The filter goes to the scan, and each task keeps a page at most.
+    """
+    after, equal = F.lit(False), F.lit(True)
+    for name, descending in order:
+        column, value = F.col(name), last[name]
+        if value is None:
+            later = F.lit(False) if descending else column.isNotNull()
+        else:
+            later = (column < F.lit(value)) | column.isNull() if descending else column > F.lit(value)
+        after = after | (equal & F.coalesce(later, F.lit(False)))
+        equal = equal & column.eqNullSafe(F.lit(value))
+    by = [F.desc(name) if descending else F.asc(name) for name, descending in order]
+    return df.filter(after).orderBy(*by).limit(page_size)

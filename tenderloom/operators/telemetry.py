@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,6 +180,78 @@ def facet_aggregate(
     return at_most(kept.orderBy(F.desc_nulls_last("value"), *facets), max_buckets)
 
 
+#: Sizes of the sketches of ``facet_levels``: distinct counts within about 1 %, ranks within 0.6 %.
+DISTINCT_LOG_SIZE, RANK_SIZE = 14, 800
+
+
+def facet_levels(df: DataFrame, group_by: Sequence[str], measures: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+    """Aggregates at every level of up to four facets, read from the source once.
+
+    ``measures`` names results: ``(function, column)`` with the functions of ``facet_aggregate``
+    (``("count", None)`` counts rows). Rows combine per finest group first, in the map task and
+    after one shuffle; the upper levels are grouping sets over those partial results. ``level`` is
+    the number of facets that a row keeps, further facets are NULL (a missing value is ``unknown``).
+    Sums, counts, means and extremes are exact. Distinct counts and percentiles come from mergeable
+    sketches: exact for small groups, else within the stated error.
+    """
+    facets = list(group_by)
+    if not 1 <= len(facets) <= MAX_FACETS:
+        raise ValueError(f"between 1 and {MAX_FACETS} facets")
+    known = {
+        facet: F.coalesce(F.nullif(F.col(facet).cast("string"), F.lit("")), F.lit("unknown")) for facet in facets
+    }
+    columns = list(dict.fromkeys(c for _, c in measures.values() if c is not None))
+    values = {f"_c_{k}": F.col(c) for k, c in enumerate(columns)}
+    rows = df.select(*[c.alias(f"_f_{k}") for k, c in enumerate(known.values())], *[c.alias(n) for n, c in values.items()])
+    names = [f"_f_{k}" for k in range(len(facets))]
+    partial: dict[str, Column] = {}
+    merged: dict[str, Column] = {}
+
+    def part(name: str, first: Column, again: Column) -> Column:
+        partial[name], merged[name] = first, again
+        return F.col(name)
+
+    def added(name: str, first: Column) -> Column:
+        return part(name, first, F.sum(name))
+
+    results = {}
+    for name, (fn, column) in measures.items():
+        if column is None:
+            if fn not in ("count", "total"):
+                raise ValueError(f"{fn} needs a column")
+            results[name] = added("_rows", F.count(F.lit(1)))
+            continue
+        c = f"_c_{columns.index(column)}"
+        if fn == "count":
+            results[name] = added(f"_n{c}", F.count(c))
+        elif fn == "total":
+            results[name] = added(f"_s{c}", F.sum(c))
+        elif fn == "avg":
+            results[name] = F.try_divide(added(f"_s{c}", F.sum(c)), added(f"_n{c}", F.count(c)))
+        elif fn in ("min", "max"):
+            extreme = getattr(F, fn)
+            results[name] = part(f"_{fn}{c}", extreme(c), extreme(f"_{fn}{c}"))
+        elif fn == "cardinality":
+            # NULL is no value, but its hash would be one.
+            given = F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), F.lit(DISTINCT_LOG_SIZE))
+            results[name] = F.hll_sketch_estimate(part(f"_d{c}", given, F.hll_union_agg(f"_d{c}")))
+        elif fn in PERCENTILES:
+            first = F.expr(f"kll_sketch_agg_double(cast({c} AS DOUBLE), {RANK_SIZE})")
+            part(f"_q{c}", first, F.expr(f"kll_merge_agg_double(_q{c}, {RANK_SIZE})"))
+            has_values = F.expr(f"kll_sketch_get_n_double(_q{c}) > 0")
+            results[name] = F.when(has_values, F.expr(f"kll_sketch_get_quantile_double(_q{c}, {PERCENTILES[fn]}D)"))
+        else:
+            raise ValueError(f"unknown function {fn}")
+    finest = rows.groupBy(*names).agg(*[c.alias(n) for n, c in partial.items()])
+    levels = finest.rollup(*names).agg(
+        F.grouping_id().alias("_gone"), *[c.alias(f"_all{n}") for n, c in merged.items()]
+    ).withColumnsRenamed({f"_all{n}": n for n in merged})
+    # The rollup of n facets drops them from the right: 2**k - 1 says that k are gone.
+    level = F.lit(len(facets)) - F.bit_count("_gone")
+    shown = [F.col(n).alias(facet) for n, facet in zip(names, facets, strict=True)]
+    return levels.select(level.alias("level"), *shown, *[c.alias(n) for n, c in results.items()])
+
+
 def top_facets(
     counts: DataFrame, facet: Sequence[str], value: str, tie_break: str, n: int = TOP_VALUES
 ) -> DataFrame:
@@ -319,6 +391,35 @@ def slo_report(
     )
 
 
+def slo_windows(
+    events: DataFrame,
+    by: Sequence[str],
+    target: float = 99.9,
+    windows: Sequence[int] = (7, 30, 90),
+    ts: str = "ts",
+) -> DataFrame:
+    """SLI and remaining error budget of several trailing windows, per group and day.
+
+    The events are read once: ``good`` and ``total`` are summed per group and day before the shuffle,
+    and every window is a running sum over those days, so a group of any size takes one row per day.
+    A window of n days ends with its day; days without events neither have a row nor add to a window.
+    """
+    day = F.to_date(ts)
+    daily = events.groupBy(*by, day.alias("day")).agg(F.sum("good").alias("good"), F.sum("total").alias("total"))
+    number = F.unix_date("day")
+    columns = {}
+    for days in windows:
+        trailing = Window.partitionBy(*by).orderBy(number).rangeBetween(1 - int(days), 0)
+        good, total = F.sum("good").over(trailing), F.sum("total").over(trailing)
+        sli = F.try_divide(F.lit(100.0) * good, total)
+        columns |= {
+            f"total_{days}d": total,
+            f"sli_percent_{days}d": sli,
+            f"error_budget_percent_{days}d": F.lit(100.0) * (F.lit(1.0) - (F.lit(100.0) - sli) / F.lit(100.0 - target)),
+        }
+    return daily.select("*", *[c.alias(name) for name, c in columns.items()])
+
+
 # -- hosts, tests, usage, cost ------------------------------------------------
 
 

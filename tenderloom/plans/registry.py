@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenderloom.functions import money, text, web
-from tenderloom.operators import articles, catalog, contracts, offers, pages, telemetry
+from tenderloom.operators import articles, catalog, contracts, offers, pages, ranking, telemetry
 from tenderloom.operators.records import flatten_records, parse_records
 from tenderloom.plans.inputs import AS_OF, Inputs
 from tenderloom.sources import readers, writers
@@ -120,6 +120,20 @@ def search_articles(i: Inputs) -> DataFrame:
     return contracts.search_articles(i.procurement, terms)
 
 
+@query
+def search_articles_ranked(i: Inputs) -> DataFrame:
+    """Hits of each term in the order of relevance."""
+    order = [*contracts.relevance_order(), F.col("article_id")]
+    return ranking.globally_ranked(search_articles(i), order, ["term"])
+
+
+@query
+def supplier_matrix_ranked(i: Inputs) -> DataFrame:
+    """The matrix in the order of supplier, category and article, numbered from first to last."""
+    order = [F.col(c) for c in ("supplier_name", "category_name", "article_name", "ean", "contract_number")]
+    return ranking.globally_ranked(supplier_article_matrix(i), order)
+
+
 @query
 def integrity_report(i: Inputs) -> DataFrame:
     return contracts.integrity_report(i.procurement)
@@ -356,6 +370,21 @@ def page_of(i: Inputs) -> DataFrame:
     return telemetry.page_of(i.events.select("event_id", "value"), order, page=3, page_size=100)
 
 
+@query
+def deep_page(i: Inputs) -> DataFrame:
+    """The page in the middle of all events."""
+    order = [F.desc("value"), F.col("event_id")]
+    ordered = ranking.globally_ordered(i.events.select("event_id", "value"), order)
+    return ranking.page_in_order(ordered, ordered.count() // 200 + 1, 100)
+
+
+@query
+def next_page(i: Inputs) -> DataFrame:
+    """The page after a known row."""
+    rows = i.events.select("event_id", "value")
+    return ranking.rows_after(rows, [("value", True), ("event_id", False)], {"value": 30.0, "event_id": 77}, 100)
+
+
 @query
 def count_by(i: Inputs) -> DataFrame:
     kind = F.when(F.col("event_id") % 10 == 0, F.lit("")).otherwise(F.col("event_type"))
@@ -395,6 +424,28 @@ def facet_totals(i: Inputs) -> DataFrame:
     return found
 
 
+@query
+def facet_levels(i: Inputs) -> DataFrame:
+    """Four facets with all levels above them and six functions, from one read of the events."""
+    rows = i.events.select(
+        "event_type",
+        F.to_date("ts").alias("day"),
+        (F.col("user_id") % 2).alias("half"),
+        (F.col("user_id") % 10).alias("tenth"),
+        "user_id",
+        F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+    )
+    measures = {
+        "requests": ("count", None),
+        "total_cents": ("total", "cents"),
+        "min_cents": ("min", "cents"),
+        "max_cents": ("max", "cents"),
+        "avg_cents": ("avg", "cents"),
+        "users": ("cardinality", "user_id"),
+    }
+    return telemetry.facet_levels(rows, ["event_type", "day", "half", "tenth"], measures)
+
+
 @query
 def count_by_number(i: Inputs) -> DataFrame:
     """0 counts as unknown."""
@@ -467,6 +518,14 @@ def slo_report(i: Inputs) -> DataFrame:
     return telemetry.slo_report(events, ["service"], 95.0, EVENTS_AS_OF, 7)
 
 
+@query
+def slo_windows(i: Inputs) -> DataFrame:
+    """Three trailing windows for every service and day."""
+    good = F.when(F.col("is_error"), 0).otherwise(1)
+    events = i.spans.select("service", "ts", good.alias("good"), F.lit(1).alias("total"))
+    return telemetry.slo_windows(events, ["service"], 95.0)
+
+
 @query
 def host_status(i: Inputs) -> DataFrame:
     return telemetry.host_status(i.hosts)
@@ -587,6 +646,12 @@ def preferred_sources(i: Inputs) -> DataFrame:
     return pages.preferred_first(urls, ["page_id"], ["example.net"])
 
 
+@query
+def preferred_sources_ranked(i: Inputs) -> DataFrame:
+    """Preferred sources first, then by position."""
+    return ranking.globally_ranked(preferred_sources(i), [*pages.preferred_order(), F.col("page_id")])
+
+
 @query
 def target_urls(i: Inputs) -> DataFrame:
     return i.redirects.select("page_id", web.target_url(F.col("wrapped")).alias("target"))

@@ -177,3 +177,55 @@ def test_broker_resources(spark):
     assert "links" not in T.keep_fields(df, "queue").columns
     products = spark.createDataFrame([("1", "  ", "n")], "ean STRING, title STRING, noise STRING")
     assert T.keep_fields(products, "product").first().asDict() == {"ean": "1", "title": None}
+
+
+LEVELS = {"n": ("count", None), "sum": ("total", "v"), "mean": ("avg", "v"), "low": ("min", "v"), "high": ("max", "v"), "given": ("count", "v")}
+
+
+def test_facet_levels_equal_one_aggregation_each(spark):
+    df = spark.range(500).select(
+        F.when(F.col("id") % 5 != 0, F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b"),
+        F.when(F.col("id") % 4 != 0, F.col("id") * 37 % 101).alias("v"),
+    )
+    got = T.facet_levels(df, ["a", "b"], LEVELS)
+    known = df.withColumns({"a": F.coalesce(F.col("a").cast("string"), F.lit("unknown")), "b": F.col("b").cast("string")})
+    want = []
+    for level, keys in enumerate(([], ["a"], ["a", "b"])):
+        part = known.groupBy(*keys).agg(F.count("*"), F.sum("v"), F.avg("v"), F.min("v"), F.max("v"), F.count("v"))
+        for row in part.collect():
+            want.append((level, *row[: len(keys)], *[None] * (2 - len(keys)), *row[len(keys) :]))
+    assert sorted(rows(got), key=repr) == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        T.facet_levels(df, ["a"], {"x": ("avg", None)})
+
+
+def test_facet_levels_read_their_source_once(spark, tmp_path):
+    spark.range(10).select((F.col("id") % 2).alias("a"), "id").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = T.facet_levels(df, ["a"], {"n": ("count", None), "d": ("cardinality", "id"), "p": ("pc95", "id")})
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert rows(got) == [(0, None, 10, 10, 9.0), (1, "0", 5, 5, 8.0), (1, "1", 5, 5, 9.0)]
+
+
+def test_sketches_of_facet_levels_stay_within_the_stated_error(spark):
+    n = 50_000
+    df = spark.range(n).select((F.col("id") % 4).alias("a"), (F.col("id") * 7919 % n).alias("v"))
+    got = T.facet_levels(df, ["a"], {"d": ("cardinality", "v"), "p75": ("pc75", "v"), "p99": ("pc99", "v")})
+    for row in got.collect():
+        size = n if row.level == 0 else n / 4
+        assert abs(row.d / size - 1) < 0.03
+        assert abs(row.p75 / n - 0.75) < 0.006 and abs(row.p99 / n - 0.99) < 0.006
+
+
+def test_slo_windows_add_up_days(spark):
+    days = [(d, g) for d in (0, 0, 3, 6, 7, 29, 30, 100) for g in (1, d % 2)]
+    start = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("s", start + dt.timedelta(days=d, hours=5), g, 1) for d, g in days], "s STRING, ts TIMESTAMP_NTZ, good INT, total INT")
+    got = {(r.day - start.date()).days: r for r in T.slo_windows(df, ["s"], 95.0).collect()}
+    assert sorted(got) == sorted({d for d, _ in days})
+    for day, row in got.items():
+        for n in (7, 30, 90):
+            inside = [g for d, g in days if day - n < d <= day]
+            assert row[f"total_{n}d"] == len(inside)
+            assert abs(row[f"sli_percent_{n}d"] - 100 * sum(inside) / len(inside)) < 1e-9
+            assert abs(row[f"error_budget_percent_{n}d"] - 100 * (1 - (100 - row[f"sli_percent_{n}d"]) / 5)) < 1e-9
