@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import Workspace, ranges, slices, split_words
+from tenderloom.llm.common import SLICE_BYTES, Workspace, ranges, slices, split_words
 
 #: Offset that marks the last character of a word inside automaton strings.
 WORD_END = 0x1000
@@ -365,7 +365,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 def _encode(path: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for part in slices(batches, "text"):
+        # Ids, both joined texts and digests are held at once, so slices are small here.
+        for part in slices(batches, "text", SLICE_BYTES // 8):
             found = EncodedSlice(part.column("text"), model)
             columns = {"kept": part.column("kept"), "n_tokens": pa.array(found.counts()), "ids": found.ids()}
             if digest:
