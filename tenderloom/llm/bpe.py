@@ -116,7 +116,7 @@ class SuffixAutomaton:
 class Encoder:
     """Ids of words for a BPE vocabulary with word ends, byte-level characters and lower case."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -140,8 +140,8 @@ class Encoder:
         self._pairs: dict[int, bool] = {}
         self._spines: dict[int, tuple[list, list]] = {}
         self._build({i: self._marked(name) for name, i in ids.items()})
-        self._words = Generations(CACHED_WORDS)
-        self._pieces = Generations(CACHED_WORDS)
+        self._words = Generations(cached)
+        self._pieces = Generations(cached)
 
     def _marked(self, name: str) -> str:
         if name.endswith(self.suffix) and len(name) > len(self.suffix):
@@ -292,9 +292,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One per worker and vocabulary file."""
-    return Encoder(path)
+def encoder(path: str, cached: int = CACHED_WORDS) -> Encoder:
+    """One per worker, vocabulary file and number of words kept."""
+    return Encoder(path, cached)
 
 
 class EncodedSlice:
@@ -364,7 +364,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _encode(path: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(path)
+        model = encoder(path, CACHED_WORDS // 5)
         # Ids, both joined texts and digests are held at once, so slices are small here.
         for part in slices(batches, "text", SLICE_BYTES // 8):
             found = EncodedSlice(part.column("text"), model)
