@@ -249,18 +249,25 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return model
     marked = docs.withColumn("mark", F.xxhash64("text"))
     order = F.xxhash64("doc_id"), "doc_id"
-    ids = single.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(*order))).filter(F.col("_n") <= MAX_EXAMPLES)
-    some = marked.join(F.broadcast(ids.drop("_n")), "doc_id").dropDuplicates(["doc_id", "toxic", "mark"])
+    chosen = single.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(*order))).filter(F.col("_n") <= MAX_EXAMPLES)
+    some = marked.join(F.broadcast(chosen.drop("_n")), "doc_id").dropDuplicates(["doc_id", "toxic", "mark"])
     some = some.withColumn("_n", F.row_number().over(Window.partitionBy("toxic").orderBy(*order, "mark")))
     some = some.filter(F.col("_n") <= MAX_EXAMPLES).select("doc_id", "toxic", "text")
     kind = "doc_id BIGINT, toxic INT, terms ARRAY<STRING>, counts ARRAY<INT>"
-    bags = some.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(_bags, kind).toArrow().combine_chunks()
-    names = bags["terms"].combine_chunks().flatten().dictionary_encode()
-    known = names.dictionary
+    bags = some.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(_bags, kind).toArrow()
+    terms = bags["terms"].combine_chunks()
+    ends = terms.offsets.to_numpy().astype(np.int64)
+    names = terms.flatten().dictionary_encode()
+    known, code = names.dictionary, names.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    times = bags["counts"].combine_chunks().flatten().to_numpy().astype(np.int32)
+    ids, kinds = bags["doc_id"].to_numpy().copy(), bags["toxic"].to_numpy().copy()
+    # Only codes are needed from here on; the driver gives back the examples' words.
+    del bags, terms, names
+    pa.default_memory_pool().release_unused()
 
     toxic = F.coalesce(F.col("toxic").cast("int"), F.lit(-1)).alias("toxic")
-    ids = F.broadcast(single) if n <= BROADCAST_IDS else single
-    counts = docs.join(ids, "doc_id", "left").select("text", toxic)
+    labelled = F.broadcast(single) if n <= BROADCAST_IDS else single
+    counts = docs.join(labelled, "doc_id", "left").select("text", toxic)
     counts = counts.mapInArrow(_count, "term STRING, texts BIGINT, known BIGINT, bad BIGINT").groupBy("term")
     counts = space.table(counts.agg(*[F.sum(c).alias(c) for c in ("texts", "known", "bad")]), "terms")
     rows = docs.count()
@@ -276,20 +283,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     factor = (np.log((1 + rows) / (1 + texts)) + 1) * (1 + np.maximum(root - CHANCE, 0))
     model.terms = Terms(known, factor, float(np.sqrt(square or 1.0)))
 
-    ids, kinds = bags["doc_id"].to_numpy(), bags["toxic"].to_numpy()
-    ends = bags["terms"].combine_chunks().offsets.to_numpy().astype(np.int64)
-    code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    weight = (1 + np.log(bags["counts"].combine_chunks().flatten().to_numpy())) * factor[code]
+    weight = (1 + np.log(times)) * factor[code]
     vectors = []
     for start, stop in zip(ends[:-1] - ends[0], ends[1:] - ends[0]):
         own = weight[start:stop]
-        vectors.append((code[start:stop].astype(np.int32), own / max(np.sqrt((own * own).sum()), 1e-9)))
+        vectors.append((code[start:stop], own / max(np.sqrt((own * own).sum()), 1e-9)))
     # Blocks hold examples of one strong term for the label, and of one commonest term, which is of one language.
     strong = [int(t[np.argmax(root[t])]) if len(t) and root[t].max() > CHANCE else -1 for t, _ in vectors]
     common = [int(t[np.argmax(texts[t])]) if len(t) else -1 for t, _ in vectors]
     place = np.lexsort((ids, kinds, common, strong))
     model.ids, model.toxic, model.vectors = ids[place], kinds[place], [vectors[k] for k in place]
-    del bags, names, found, code, weight, vectors
+    del found, others, weight, times, vectors
+    pa.default_memory_pool().release_unused()
     taken = {t: int((model.toxic == t).sum()) for t in (0, 1)}
     _calibrate(model, {t: totals[t] / max(taken[t], 1) for t in (0, 1)})
     return model
