@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import SLICE_BYTES, Workspace, ranges, slices, split_words
+from tenderloom.llm.common import SLICE_BYTES, Workspace, begin, keeps_cache, ranges, slices, split_words
 
 #: Offset that marks the last character of a word inside automaton strings.
 WORD_END = 0x1000
@@ -297,6 +297,9 @@ def encoder(path: str, cached: int = CACHED_WORDS) -> Encoder:
     return Encoder(path, cached)
 
 
+keeps_cache("bpe", encoder.cache_clear)
+
+
 class EncodedSlice:
     """Ids of the texts of one slice, by distinct word."""
 
@@ -344,6 +347,7 @@ def _sha256(texts: pa.Array) -> pa.Array:
 
 def _digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         model = encoder(path)
         for part in slices(batches, "text"):
             found = EncodedSlice(part.column("text"), model)
@@ -364,6 +368,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _encode(path: str, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe")
         model = encoder(path, CACHED_WORDS // 5)
         # Ids, both joined texts and digests are held at once, so slices are small here.
         for part in slices(batches, "text", SLICE_BYTES // 8):

@@ -6,6 +6,7 @@ Arrow's ASCII white-space split uses exactly that set.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -61,6 +62,27 @@ class Workspace:
         return path
 
 
+#: What empties the caches that operators keep in a worker, by operator; the operator that ran last.
+_CACHES: dict[str, Callable[[], None]] = {}
+_LAST: list[str] = []
+
+
+def keeps_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Name what empties an operator's cache in this worker."""
+    _CACHES[owner] = clear
+
+
+def begin(owner: str) -> None:
+    """At the start of a task: workers outlive stages, so what other operators have kept goes now."""
+    if _LAST and _LAST[0] != owner:
+        for name, clear in _CACHES.items():
+            if name != owner:
+                clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _LAST[:] = [owner]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

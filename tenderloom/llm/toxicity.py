@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import Workspace, doc_remainder, ranges, slices, split_words
+from tenderloom.llm.common import Workspace, begin, doc_remainder, ranges, slices, split_words
 
 MAX_EXAMPLES = 4000
 #: A term weighs more by what the root of its chi-square exceeds this.
@@ -69,6 +69,7 @@ def _pairs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each term: how many texts have it, how many labelled and how many toxic ones."""
+    begin("toxicity")
     for part in slices(batches, "text"):
         terms, text, term, _ = _pairs(part.column("text"))
         toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.float64)
@@ -79,6 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The terms of each example and how often it has them."""
+    begin("toxicity")
     for part in slices(batches, "text"):
         names, text, term, count = _pairs(part.column("text"))
         ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=part.num_rows))]).astype(np.int32))
@@ -302,6 +304,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         index = model.index()
         far = model.probability(np.array([1.0, 0.0, 0.0]))
         for part in slices(batches, "text"):
