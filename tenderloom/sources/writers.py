@@ -96,5 +96,10 @@ def metric_points(batch: DataFrame) -> DataFrame:
 
 
 def append_metric_points(batch: DataFrame, path: str) -> None:
-    """Append points to a table partitioned by date; rows of a date may fill several files."""
-    metric_points(batch).write.mode("append").partitionBy("date").parquet(path)
+    """Append points to a table partitioned by date, in files of even size.
+
+    Rows are rebalanced by date before they are written: small dates fill one file instead of one
+    per task, and Spark splits a large date into pieces of the advisory size, so none lands in one task.
+    """
+    points = metric_points(batch).hint("rebalance", "date")
+    points.write.mode("append").partitionBy("date").parquet(path)

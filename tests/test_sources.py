@@ -98,6 +98,17 @@ def test_metric_points_append_by_date(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
+def test_points_of_a_date_do_not_fill_a_file_per_task(spark, tmp_path):
+    day = int(dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc).timestamp())
+    batch = spark.createDataFrame(
+        [("m", 3, [(day + 86400 * (k % 3) + k, float(k))], ["env:prod"], [("h", "host")]) for k in range(300)],
+        writers.METRIC_BATCH_SCHEMA,
+    )
+    writers.append_metric_points(batch.repartition(16), str(tmp_path / "points"))
+    files = list((tmp_path / "points").glob("date=*/*.parquet"))
+    assert len(files) == 3 and spark.read.parquet(str(tmp_path / "points")).count() == 300
+
+
 def test_scratch_folders_come_from_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_dir(spark, "a"), scratch_dir(spark, "a")
