@@ -77,7 +77,7 @@ ERROR_META = {
     "INTERNAL_ERROR": ("internal", False),
 }
 
-# Message fragment -> error code, first hit wins.
+# Message fragment -> error code, first hit wins, and the code of other messages.
 ERROR_FRAGMENTS = (
     ("timeout", "NETWORK_TIMEOUT"),
     ("net::err_connection_reset", "CONNECTION_RESET"),
@@ -91,6 +91,7 @@ ERROR_FRAGMENTS = (
 )
 DEFAULT_ERROR = "INTERNAL_ERROR"
 
+# Where pages keep product data, and the types of items with offers.
 JSONLD_BLOCK = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 PRODUCT_TYPES = ("Product", "ItemList")
 
@@ -257,23 +258,32 @@ def page_heading(html: Column) -> Column:
     return F.nullif(strip(F.regexp_replace(inner, r"<[^>]+>", "")), F.lit(""))
 
 
-def jsonld_offers(html: Column) -> Column:
-    """JSON-LD product offers as ``array<struct>``; prices that are not positive are dropped.
+def jsonld_items(html: Column, fields: str) -> Column:
+    """Items of all JSON-LD blocks as ``array<struct>`` with ``@type`` and the given string fields.
 
-    A block may hold one object, a list of them, or a ``@graph`` of them; ``@type`` may be one
-    name or several and ``offers`` one object or a list. ``from_json`` with an array schema reads
-    single objects and lists alike.
+    A block may hold one object, a list of them, or a ``@graph`` of them. ``from_json`` with an
+    array schema reads single objects and lists alike; a nested value of a string field is its
+    JSON text.
     """
     blocks = F.regexp_extract_all(html, F.lit(JSONLD_BLOCK), F.lit(1))
-    offer_type = "array<struct<price:string,url:string,seller:struct<name:string>>>"
-
-    item_type = "array<struct<`@type`:string,name:string,offers:string,`@graph`:string>>"
+    item_type = f"array<struct<`@type`:string,{fields},`@graph`:string>>"
+    none = F.array().cast(item_type)
 
     def items_of(block: Column) -> Column:
-        items = F.coalesce(F.from_json(block, item_type), F.array().cast(item_type))
-        graphs = F.transform(items, lambda x: F.coalesce(F.from_json(x["@graph"], item_type), F.array().cast(item_type)))
+        items = F.coalesce(F.from_json(block, item_type), none)
+        graphs = F.transform(items, lambda x: F.coalesce(F.from_json(x["@graph"], item_type), none))
         return F.concat(items, F.flatten(graphs))
 
+    return F.flatten(F.transform(blocks, items_of))
+
+
+def jsonld_offers(html: Column) -> Column:
+    """JSON-LD product offers as ``array<struct>``; prices that are not positive are dropped.
+
+    ``@type`` may be one name or several and ``offers`` one object or a list.
+    """
+    offer_type = "array<struct<price:string,url:string,seller:struct<name:string>>>"
+
     def is_product(kind: Column) -> Column:
         names = F.from_json(kind, "array<string>")
         listed = F.exists(names, lambda name: name.isin(*PRODUCT_TYPES))
@@ -293,9 +303,129 @@ def jsonld_offers(html: Column) -> Column:
         priced = F.filter(rows, lambda row: row["price_cents"] > 0)
         return F.when(is_product(head["@type"]), priced)
 
-    items = F.flatten(F.transform(blocks, items_of))
-    found = F.filter(F.transform(items, item_offers), lambda rows: rows.isNotNull())
-    return F.flatten(found)
+    found = F.transform(jsonld_items(html, "name:string,offers:string"), item_offers)
+    return F.flatten(F.filter(found, lambda rows: rows.isNotNull()))
+
+
+def jsonld_images(html: Column) -> Column:
+    """Picture links of JSON-LD products, in order, as ``array<string>``.
+
+    ``image`` may be a text, an object with ``url`` or ``contentUrl``, or a list of both.
+    """
+
+    def links(item: Column) -> Column:
+        image = item["image"]
+        listed = F.when(F.startswith(image, F.lit("[")), F.from_json(image, "array<string>"))
+        return F.transform(
+            F.coalesce(listed, F.array(image)),
+            lambda one: F.when(
+                F.startswith(one, F.lit("{")),
+                F.coalesce(F.get_json_object(one, "$.url"), F.get_json_object(one, "$.contentUrl")),
+            ).otherwise(one),
+        )
+
+    products = F.filter(
+        jsonld_items(html, "image:string"), lambda item: F.contains(item["@type"], F.lit("Product"))
+    )
+    return F.filter(F.flatten(F.transform(products, links)), lambda link: link.isNotNull())
+
+
+def without_scripts(html: Column) -> Column:
+    """The page without comments, scripts and styles, whose text can look like tags."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+
+
+def tags_of(html: Column, name: str) -> Column:
+    """Opening tags of a name as ``array<string>``; a bracket inside quotes does not end a tag."""
+    inside = "(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b{inside}>"), F.lit(0))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag, trimmed and with ``&amp;`` read; NULL when empty or absent."""
+    quoted = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*([\"'])(.*?)\1", 2)
+    bare = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*([^\s\"'>]+)", 1)
+    value = F.when(quoted != "", quoted).otherwise(bare)
+    return F.nullif(strip(F.replace(value, F.lit("&amp;"), F.lit("&"))), F.lit(""))
+
+
+def meta_contents(html: Column, name: str) -> Column:
+    """Contents of the page's ``<meta>`` tags with this ``property`` or ``name``, in order."""
+    named = F.filter(
+        tags_of(html, "meta"),
+        lambda tag: F.lower(F.coalesce(attribute(tag, "property"), attribute(tag, "name"))) == name,
+    )
+    return F.filter(F.transform(named, lambda tag: attribute(tag, "content")), lambda x: x.isNotNull())
+
+
+def meta_eans(html: Column) -> Column:
+    """Contents of ``<meta>`` tags that have the form of a barcode, in order."""
+    contents = F.transform(tags_of(html, "meta"), lambda tag: attribute(tag, "content"))
+    return F.filter(contents, lambda content: content.rlike(r"^(\d{8}|\d{12,14})$"))
+
+
+#: Where an ``<img>`` keeps its link, and the sides in pixels that matter.
+IMAGE_LINKS = ("src", "data-src", "data-lazy-src", "data-original")
+LEAST_SIDE, GOOD_SIDE = 100, 400
+
+
+def tag_images(html: Column) -> Column:
+    """Usable links of ``<img>`` tags as ``array<string>``, the best first.
+
+    The first usable link attribute counts, else the first entry of ``srcset``. Pictures whose
+    declared sides are both of good size come first, then the others by declared area, pictures
+    without declared sides last, ties in page order. Declared sides that are too small drop one.
+    """
+
+    def entry(tag: Column, number: Column) -> Column:
+        links = [attribute(tag, name) for name in IMAGE_LINKS]
+        first = F.regexp_extract(attribute(tag, "srcset"), r"^\s*([^\s,]+)", 1)
+        usable = [F.when(image_url_ok(link), link) for link in [*links, first]]
+        width, height = (
+            F.regexp_extract(attribute(tag, side), r"^(\d{1,6})(?:px)?$", 1).try_cast("bigint")
+            for side in ("width", "height")
+        )
+        return F.struct(
+            F.when((width >= GOOD_SIDE) & (height >= GOOD_SIDE), 0).otherwise(1).alias("rank"),
+            F.coalesce(-width * height, F.lit(0)).cast("bigint").alias("area"),
+            number.alias("number"),
+            F.coalesce(*usable).alias("link"),
+            ((F.coalesce(width, height) < LEAST_SIDE) | (F.coalesce(height, width) < LEAST_SIDE)).alias("small"),
+        )
+
+    entries = F.transform(tags_of(html, "img"), entry)
+    kept = F.filter(entries, lambda e: e["link"].isNotNull() & ~F.coalesce(e["small"], F.lit(False)))
+    return F.transform(F.array_sort(kept), lambda e: e["link"])
+
+
+def absolute_url(link: Column, base: Column) -> Column:
+    """``link`` as found on the page ``base``, with dot segments resolved; NULL for an empty link."""
+    scheme_pattern = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+    origin = F.regexp_extract(base, rf"{scheme_pattern}//[^/?#]*", 0)
+    page = F.regexp_extract(base, r"^[^?#]*", 0)
+    folder = F.regexp_replace(F.substr(page, F.length(origin) + 1), r"[^/]*$", "")
+    text = F.nullif(F.trim(link), F.lit(""))
+    rooted = F.when(F.startswith(text, F.lit("/")), text).otherwise(
+        F.concat(F.when(folder == "", "/").otherwise(folder), text)
+    )
+    path = F.regexp_extract(rooted, r"^[^?#]*", 0)
+    segments = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda done, one: F.when(one == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+        .when(one == ".", done)
+        .otherwise(F.array_append(done, one)),
+    )
+    dotted = path.rlike(r"/\.\.?(/|$)")
+    clean = F.when(dotted, F.concat(F.array_join(kept, "/"), F.substr(rooted, F.length(path) + 1)))
+    return (
+        F.when(text.rlike(scheme_pattern), text)
+        .when(F.startswith(text, F.lit("//")), F.concat(F.regexp_extract(base, scheme_pattern, 0), text))
+        .when(F.startswith(text, F.lit("?")), F.concat(page, text))
+        .when(F.startswith(text, F.lit("#")), F.concat(F.regexp_extract(base, "^[^#]*", 0), text))
+        .when(text.isNotNull(), F.concat(origin, F.coalesce(clean, rooted)))
+    )
 
 
 def mime_of(header: Column) -> Column:

@@ -67,7 +67,8 @@ def flag_challenge_pages(pages: DataFrame) -> DataFrame:
 def mine_pages(pages: DataFrame) -> DataFrame:
     """One row per page: URL verdict, challenge flag, heading, text length, barcodes, offers.
 
-    Whole pages are read; explode ``offers`` (see ``page_offers``) for offer rows.
+    Whole pages are read; explode ``offers`` (see ``page_offers``) for offer rows. Barcodes of
+    ``<meta>`` tags come before those that the text announces.
     """
     text = strip_tags(F.col("html"))
     mined = flag_challenge_pages(screen_urls(pages)).withColumn("_text", text)
@@ -79,7 +80,7 @@ def mine_pages(pages: DataFrame) -> DataFrame:
         "is_challenge",
         web.page_heading(F.col("html")).alias("heading"),
         F.length("_text").cast("bigint").alias("text_length"),
-        ean_mentions(F.col("_text")).alias("eans"),
+        F.concat(web.meta_eans(F.col("html")), ean_mentions(F.col("_text"))).alias("eans"),
         web.jsonld_offers(F.col("html")).alias("offers"),
     )
 
@@ -91,6 +92,46 @@ def page_offers(mined: DataFrame) -> DataFrame:
     ).select("page_id", F.col("url").alias("source_url"), "ean", "o.*")
 
 
+def _with_images(pages: DataFrame) -> DataFrame:
+    """``page_id, url, images``: usable picture links of a page as structs, the best first."""
+
+    def of_kind(kind: str, links: Column) -> Column:
+        usable = F.filter(links, web.image_url_ok)
+        return F.transform(
+            usable,
+            lambda link: F.struct(
+                F.lit(kind).alias("kind"), web.absolute_url(link, F.col("url")).alias("image_url")
+            ),
+        )
+
+    body = pages.select("page_id", "url", "html", web.without_scripts(F.col("html")).alias("_body"))
+    images = F.concat(
+        of_kind("og", web.meta_contents(F.col("_body"), "og:image")),
+        of_kind("schema", web.jsonld_images(F.col("html"))),
+        of_kind("img", web.tag_images(F.col("_body"))),
+    )
+    return body.select("page_id", "url", images.alias("images"))
+
+
+def page_images(pages: DataFrame) -> DataFrame:
+    """Picture links of each page, absolute, one row each; ``rank_no`` 1 is the page's main picture.
+
+    Links of ``og:image`` come first, then those of JSON-LD products, then ``<img>`` tags by
+    their declared size (see ``web.tag_images``). Pages without a usable link give no row.
+    """
+    found = _with_images(pages).select("page_id", "url", F.posexplode("images").alias("_at", "i"))
+    return found.select(
+        "page_id", "url", (F.col("_at") + 1).cast("bigint").alias("rank_no"), "i.kind", "i.image_url"
+    )
+
+
+def main_images(pages: DataFrame) -> DataFrame:
+    """Every page with its main picture, NULL where it has none."""
+    return _with_images(pages).select("page_id", "url", F.get("images", F.lit(0)).alias("i")).select(
+        "page_id", "url", "i.kind", "i.image_url"
+    )
+
+
 def attach_error_meta(errors: DataFrame, code: str = "error_code") -> DataFrame:
     """Add ``category`` and ``retryable`` of each error code (a fixed 21-row dimension)."""
     rows = [(name, category, retry) for name, (category, retry) in web.ERROR_META.items()]

@@ -442,6 +442,30 @@ class Inputs:
         )
         return self.pages.select("page_id", "url", url.alias("image_url"))
 
+    @cached_property
+    def marked_pages(self) -> DataFrame:
+        """Pages with product markup before their own: offers, picture links and barcodes in many forms."""
+        block = '<script type="application/ld+json">%s</script>'
+        forms = (
+            block % '{"@type":"Product","name":"Drill #","image":"/img/#.jpg","offers":'
+            '{"price":"#.50","url":"https://shop.example.com/#","seller":{"name":"Shop"}}}',
+            block % '[{"@type":"ItemList","name":"Set #","offers":[{"price":3.25},{"price":0},{"price":"on demand"}]},'
+            '{"@type":"Product","image":["pics/#-a.png",{"contentUrl":"//cdn.example.com/#.png"},"data:image/png;base64,AA"]}]',
+            block % '{"@graph":[{"@type":["Thing","Product"],"name":"Saw #","image":{"url":"https://img.example.com/#.webp"},'
+            '"offers":[{"price":#},{"price":"12.99","seller":{"name":"B"}}]},{"@type":"Article","image":"/no.jpg"}]}',
+            '<meta property="og:image" content="../og/#.jpg?a=1&amp;b=2"><meta content=\'/og/#-2.jpg\' property=\'og:image\'>'
+            + block % '{"@type":"Product","image":"/img/#.jpg"}',
+            '<meta itemprop="gtin13" content=" 4006381333931 "><img alt="a > b" src="/s.svg" data-src="l/#.jpg" width="120" '
+            'height="110"><img src=big/#.jpg width=800 height=600><img width="50" height="50" src="/tiny.png">',
+            '<img srcset="/set/#-1.jpg 1x, /set/#-2.jpg 2x"><!-- <img src="/c.jpg"> --><script>a=\'<img src="/d.jpg">\'</script>'
+            '<img src="https://pixel.example.com/#.gif"><p>EAN: 4006381333931</p>',
+            block % "{broken" + block % '{"@type":"Article","name":"#","image":"/no.jpg","offers":{"price":1}}',
+            "",
+        )
+        form = F.get(F.array(*[F.lit(f) for f in forms]), (F.col("page_id") % len(forms)).cast("int"))
+        markup = F.replace(form, F.lit("#"), F.col("page_id").cast("string"))
+        return self.pages.select("page_id", "url", F.concat(markup, "html").alias("html"))
+
     @cached_property
     def redirects(self) -> DataFrame:
         """Page links wrapped the way search engines wrap them."""

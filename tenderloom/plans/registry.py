@@ -246,9 +246,11 @@ def offer_report(i: Inputs) -> DataFrame:
         F.col("EAN").alias("ean"),
         F.col("Haendler").alias("merchant"),
         F.col("Preis (EUR)").alias("price"),
+        F.col("Versand (EUR)").alias("shipping"),
         F.col("Gesamtpreis (EUR)").alias("total"),
         F.col("Gesamtpreis x Menge (EUR)").alias("total_times_quantity"),
         F.col("Quelle").alias("source"),
+        F.col("URL").alias("product_url"),
     )
 
 
@@ -681,6 +683,29 @@ def mine_pages(i: Inputs) -> DataFrame:
     ).withColumnsRenamed({"eans": "ean_count", "offers": "offer_count"})
 
 
+@query
+def page_offers(i: Inputs) -> DataFrame:
+    """Offers in the product data of pages, with the page's first barcode."""
+    return pages.page_offers(pages.mine_pages(i.marked_pages))
+
+
+@query
+def page_barcodes(i: Inputs) -> DataFrame:
+    """Barcodes from meta tags and texts, with those of the pages' own texts."""
+    mined = pages.mine_pages(i.marked_pages)
+    return mined.select("page_id", F.array_join("eans", ",").alias("eans"), F.size("offers").alias("offer_count"))
+
+
+@query
+def page_images(i: Inputs) -> DataFrame:
+    return pages.page_images(i.marked_pages)
+
+
+@query
+def main_images(i: Inputs) -> DataFrame:
+    return pages.main_images(i.marked_pages)
+
+
 @query
 def fetch_error_report(i: Inputs) -> DataFrame:
     return pages.fetch_error_report(i.fetch_log)

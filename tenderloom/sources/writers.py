@@ -49,12 +49,14 @@ def write_offer_report(
 ) -> None:
     """``;``-separated report below ``path``: ``offers`` rows and ``insights`` per group.
 
+    Both keep the ``by`` columns, so that offers and insights of one request can be told.
+
     Offers are sorted by product price, then total, through a range-partitioned sort, so
     part files follow each other in order and no task holds the whole report.
     """
     order = [*by, F.asc_nulls_last("cheapest_price_cents"), "product_key", "total_cents", "position"]
     report = offer_report(offers, quantity, by).orderBy(*order)
-    report.drop(*by, "product_key", "cheapest_price_cents", "total_cents", "position").write.mode(
+    report.drop("product_key", "cheapest_price_cents", "total_cents", "position").write.mode(
         "overwrite"
     ).options(sep=";", header=True, emptyValue="").csv(f"{path}/offers")
     insights = price_insights(offers, by)

@@ -4,6 +4,7 @@ import pytest
 from support import rows
 from pyspark.sql import functions as F
 
+from tenderloom.functions import web
 from tenderloom.operators import pages as P
 
 GOOD = [
@@ -103,6 +104,73 @@ def test_product_markup(spark):
     ]
 
 
+@pytest.mark.parametrize(
+    "link, found",
+    [
+        ("b.png", "http://h.example:81/x/y/b.png"),
+        (" /b.png?z=1 ", "http://h.example:81/b.png?z=1"),
+        ("//c.example/b.png", "http://c.example/b.png"),
+        ("HTTPS://c.example/b.png", "HTTPS://c.example/b.png"),
+        ("../b.png", "http://h.example:81/x/b.png"),
+        ("../../../b.png?u=../a", "http://h.example:81/b.png?u=../a"),
+        ("./a/./b/../c.png", "http://h.example:81/x/y/a/c.png"),
+        ("..", "http://h.example:81/x/"),
+        ("?p=2", "http://h.example:81/x/y/z.html?p=2"),
+        ("#part", "http://h.example:81/x/y/z.html?p=1#part"),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_absolute_urls(spark, link, found):
+    df = spark.createDataFrame([(link, "http://h.example:81/x/y/z.html?p=1#top")], "link STRING, base STRING")
+    assert df.select(web.absolute_url(F.col("link"), F.col("base"))).first()[0] == found
+    bare = df.select(web.absolute_url(F.lit("b.png"), F.lit("http://h.example"))).first()[0]
+    assert bare == "http://h.example/b.png"
+
+
+def images(spark, *htmls):
+    df = spark.createDataFrame([(n, "http://h.example/d/p", h, "extra") for n, h in enumerate(htmls)], "page_id INT, url STRING, html STRING, kind STRING")
+    return df, rows(P.page_images(df).select("page_id", "rank_no", "kind", "image_url"))
+
+
+def test_page_images(spark):
+    product = {"@type": ["ProductGroup"], "image": [{"url": None, "contentUrl": "c.png"}, {"name": "none"}, "d.png"]}
+    df, got = images(
+        spark,
+        page(json.dumps(product), json.dumps({"@type": "Product"}), body="<IMG SRC='e.png'><img alt='src=x'><img>"),
+        '<meta name="OG:IMAGE" content="a.png"><meta property="og:image"><meta property="og:image" content="b.svg">',
+        "<img src=s.png width=99 height=500><img src=t.png width=300px height=300><img src=u.png><img src=v.png width=500 height=500>",
+        "",
+        None,
+        "<img src='" + "x" * 100_000,
+    )
+    assert got == [
+        (0, 1, "schema", "http://h.example/d/c.png"),
+        (0, 2, "schema", "http://h.example/d/d.png"),
+        (0, 3, "img", "http://h.example/d/e.png"),
+        (1, 1, "og", "http://h.example/d/a.png"),
+        (2, 1, "img", "http://h.example/d/v.png"),
+        (2, 2, "img", "http://h.example/d/t.png"),
+        (2, 3, "img", "http://h.example/d/u.png"),
+    ]
+    first = P.main_images(df)
+    assert first.count() == 6 and first.filter("image_url IS NULL").count() == 3
+
+
+def test_very_many_tags(spark):
+    html = "".join(f"<img data-n='{n}' src='/{n}.png' width={n} height={n}>" for n in range(20_000))
+    df, _ = images(spark, html)
+    found = P.page_images(df)
+    assert found.count() == 20_000 - 100
+    assert found.filter("rank_no = 1").first().image_url == "http://h.example/19999.png"
+
+
+def test_barcodes_of_meta_tags(spark):
+    html = "<meta content='12345'><meta itemprop=gtin content=40063813><meta content=' 4006381333931 '>EAN 12345670"
+    df = spark.createDataFrame([(1, "https://a.example/", html)], "page_id INT, url STRING, html STRING")
+    assert P.mine_pages(df).first().eans == ["40063813", "4006381333931", "12345670"]
+
+
 def test_mining_reads_whole_pages(spark):
     html = "<p>" + "x" * 300_000 + " EAN 4006381333931</p>"
     df = spark.createDataFrame([(1, "https://a.example/", html)], "page_id INT, url STRING, html STRING")

@@ -70,10 +70,10 @@ def test_offer_report(spark, tmp_path):
     )
     writers.write_offer_report(offers, str(tmp_path / "report"), quantity=3)
     back = spark.read.options(sep=";", header=True).csv(str(tmp_path / "report" / "offers"))
-    assert rows(back.select("Produkt", "Haendler", "Gesamtpreis (EUR)", "Gesamtpreis x Menge (EUR)")) == [
-        ("Drill", "A;B", "12.00", "36.00"),
-        ("Drill", "C", "9.00", "27.00"),
-        ("Nail", "D", "0.05", "0.15"),
+    assert rows(back.select("query", "Produkt", "Haendler", "Versand (EUR)", "Gesamtpreis (EUR)", "Gesamtpreis x Menge (EUR)")) == [
+        ("q", "Drill", "A;B", "2.00", "12.00", "36.00"),
+        ("q", "Drill", "C", "0.00", "9.00", "27.00"),
+        ("r", "Nail", "D", "0.00", "0.05", "0.15"),
     ]
     insights = spark.read.options(sep=";", header=True).csv(str(tmp_path / "report" / "insights")).collect()
     assert [(r["query"], r["median_price"], r["quantity"]) for r in insights] == [("q", "10.50", "3")]
