@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tenderloom.functions import money, text, web
 from tenderloom.operators import articles, catalog, contracts, offers, pages, ranking, telemetry
 from tenderloom.operators.records import flatten_records, parse_records
+from tenderloom.plans import sql_api
 from tenderloom.plans.inputs import AS_OF, Inputs
 from tenderloom.sources import readers, writers
 from tenderloom.streaming import streams
@@ -134,6 +135,35 @@ def supplier_matrix_ranked(i: Inputs) -> DataFrame:
     return ranking.globally_ranked(supplier_article_matrix(i), order)
 
 
+def _sql(i: Inputs, text: str, **arguments: DataFrame) -> DataFrame:
+    """A SQL text over the procurement views, the table functions and tables of arguments."""
+    sql_api.register(i.spark, i.procurement, AS_OF)
+    for name, rows in arguments.items():
+        rows.createOrReplaceTempView(name)
+    return i.spark.sql(text)
+
+
+@query
+def lateral_best_price(i: Inputs) -> DataFrame:
+    """The table function for every row of the demand."""
+    text = "SELECT d.demand_id, d.article_id, d.qty, p.* FROM demand d, LATERAL get_best_price(d.article_id, d.qty) p"
+    return _sql(i, text, demand=i.demand)
+
+
+@query
+def lateral_recommend_order(i: Inputs) -> DataFrame:
+    text = "SELECT d.demand_id, d.article_id, d.qty, r.* FROM demand d, LATERAL recommend_order(d.article_id, d.qty) r"
+    return _sql(i, text, demand=i.demand)
+
+
+@query
+def lateral_search_articles(i: Inputs) -> DataFrame:
+    """The table function for every kind of part and every barcode."""
+    terms = i.table("part").select(F.col("p_type").alias("term")).distinct()
+    text = "SELECT t.term, a.* FROM search_terms t, LATERAL search_articles(t.term) a"
+    return _sql(i, text, search_terms=terms.unionByName(i.articles.select(F.col("ean").alias("term"))))
+
+
 @query
 def integrity_report(i: Inputs) -> DataFrame:
     return contracts.integrity_report(i.procurement)
