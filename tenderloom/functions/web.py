@@ -342,11 +342,9 @@ def tags_of(html: Column, name: str) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a tag, trimmed and with ``&amp;`` read; NULL when empty or absent."""
-    quoted = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*([\"'])(.*?)\1", 2)
-    bare = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*([^\s\"'>]+)", 1)
-    value = F.when(quoted != "", quoted).otherwise(bare)
-    return F.nullif(strip(F.replace(value, F.lit("&amp;"), F.lit("&"))), F.lit(""))
+    """Value of an attribute of a tag, without its quotes and with ``&amp;`` read; NULL when empty or absent."""
+    value = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    return F.nullif(F.replace(F.btrim(value, F.lit("\"' \t\r\n")), F.lit("&amp;"), F.lit("&")), F.lit(""))
 
 
 def meta_contents(html: Column, name: str) -> Column:
@@ -377,25 +375,33 @@ def tag_images(html: Column) -> Column:
     without declared sides last, ties in page order. Declared sides that are too small drop one.
     """
 
-    def entry(tag: Column, number: Column) -> Column:
+    # In two steps, so that each attribute is extracted once and not in every test of it.
+    def read(tag: Column, number: Column) -> Column:
         links = [attribute(tag, name) for name in IMAGE_LINKS]
-        first = F.regexp_extract(attribute(tag, "srcset"), r"^\s*([^\s,]+)", 1)
-        usable = [F.when(image_url_ok(link), link) for link in [*links, first]]
-        width, height = (
-            F.regexp_extract(attribute(tag, side), r"^(\d{1,6})(?:px)?$", 1).try_cast("bigint")
+        first = F.regexp_extract(attribute(tag, "srcset"), r"^([^\s,]+)", 1)
+        sides = [
+            F.regexp_extract(attribute(tag, side), r"^(\d{1,6})(?:px)?$", 1).try_cast("bigint").alias(side)
             for side in ("width", "height")
-        )
+        ]
+        usable = F.get(F.filter(F.array(*links, first), image_url_ok), F.lit(0))
+        return F.struct(number.alias("number"), usable.alias("link"), *sides)
+
+    def entry(image: Column) -> Column:
+        width, height = image["width"], image["height"]
+        good = (width >= GOOD_SIDE) & (height >= GOOD_SIDE)
         return F.struct(
-            F.when((width >= GOOD_SIDE) & (height >= GOOD_SIDE), 0).otherwise(1).alias("rank"),
+            F.when(good, 0).otherwise(1).alias("rank"),
             F.coalesce(-width * height, F.lit(0)).cast("bigint").alias("area"),
-            number.alias("number"),
-            F.coalesce(*usable).alias("link"),
-            ((F.coalesce(width, height) < LEAST_SIDE) | (F.coalesce(height, width) < LEAST_SIDE)).alias("small"),
+            image["number"].alias("number"),
+            image["link"].alias("link"),
         )
 
-    entries = F.transform(tags_of(html, "img"), entry)
-    kept = F.filter(entries, lambda e: e["link"].isNotNull() & ~F.coalesce(e["small"], F.lit(False)))
-    return F.transform(F.array_sort(kept), lambda e: e["link"])
+    def kept(image: Column) -> Column:
+        small = F.least(image["width"], image["height"]) < LEAST_SIDE
+        return image["link"].isNotNull() & ~F.coalesce(small, F.lit(False))
+
+    images = F.filter(F.transform(tags_of(html, "img"), read), kept)
+    return F.transform(F.array_sort(F.transform(images, entry)), lambda image: image["link"])
 
 
 def absolute_url(link: Column, base: Column) -> Column:
