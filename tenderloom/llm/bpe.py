@@ -68,6 +68,12 @@ class Generations:
             self.young[key] = found
         return found
 
+    def keep(self, keys: list[str], values: list) -> None:
+        """Remember some keys, far fewer than the limit, as asked for now."""
+        if len(self.young) + len(keys) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update(zip(keys, values))
+
 
 class SuffixAutomaton:
     """Of several strings: transitions, suffix links and lengths; strings end in states of their own length."""

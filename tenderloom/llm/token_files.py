@@ -23,6 +23,7 @@ dataset and result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -46,7 +47,9 @@ MIN_PAIRS = 16
 HASH_BITS = 18
 #: Symbols are 16-bit, terminals included.
 SYMBOLS = 1 << 16
-WORDS_AT_ONCE = 2000
+#: Words of one text for the library, and words remembered at once.
+WORDS_AT_ONCE = 200
+KEPT_AT_ONCE = 50_000
 #: Fixed value: closing punctuation that the pattern splits from letters.
 PUNCTUATION = ".,;:!?"
 
@@ -65,6 +68,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core; the library would start a thread for every core of the machine.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -78,7 +83,8 @@ class WordEncoder:
         self.splits = all(self._ids(w) == self._ids(w[:-2].lower()) + self._ids(w[-2:]) for w in ("Ab.,", "Éa;!", "Zß:?"))
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        # This call of the library leaves out the places of tokens in the text.
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _call(self, words: list[str]) -> list[bytes]:
         """A special token between words keeps them apart; words that contain it go alone."""
@@ -91,12 +97,15 @@ class WordEncoder:
         return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        found = dict(zip(words, map(self.known.peek, words)))
-        missing = [w for w, ids in found.items() if ids is None]
+        found = [self.known.peek(w) for w in words]
+        missing = [k for k, ids in enumerate(found) if ids is None]
         for at in range(0, len(missing), WORDS_AT_ONCE):
             some = missing[at : at + WORDS_AT_ONCE]
-            found.update(zip(some, self._call(some)))
-        return [self.known.get(w, found.__getitem__) for w in words]
+            for k, ids in zip(some, self._call([words[k] for k in some])):
+                found[k] = ids
+        for at in range(0, len(words), KEPT_AT_ONCE):
+            self.known.keep(words[at : at + KEPT_AT_ONCE], found[at : at + KEPT_AT_ONCE])
+        return found
 
     def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, how many each has)."""
