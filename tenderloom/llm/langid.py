@@ -5,12 +5,16 @@ greedily into the longest pieces that occur in the sample; the fewer pieces it t
 the text. Phrases times log2 of the sample's length, over the text's length, is the cross-parsing
 estimate of entropy in bits a letter; the lowest wins, ties to the smaller language name.
 
-Texts are lower-cased letters with single separators. Automata become dense tables, and all
-blocks of a slice advance together, one symbol a step, so a step is one array lookup for every
-block and language. A phrase ends with its block of ``BLOCK`` symbols; whole texts are parsed.
+Texts are lower-cased letters with single separators. The 61 commonest letters of the samples are
+one symbol each; any other letter of a sample is an escape symbol and three digits of its code point,
+so every letter of every script keeps its own code (letters that no sample has share one symbol) and automata fit dense tables of 64 columns. A phrase may
+end inside such a code. All blocks of a slice advance together, one symbol a step, so a step is one
+array lookup for every block and language. Blocks only spread the work: each is parsed again from
+the state in which the block before it ended, until no state changes, which gives the greedy parse
+of the whole text.
 
-The sample per language has at most ``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` characters,
-the first by a hash of the id, and is all that reaches the driver.
+The sample per language has at most ``SAMPLE_CHARS`` characters, in pieces from anywhere in
+at most ``SAMPLE_DOCS`` documents, the first by a hash of the id, and is all that reaches the driver.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any
 learned language every text is ``und``; repeated rows are scored one by one; only doc_id, text
@@ -37,8 +41,16 @@ from tenderloom.llm.common import Workspace, doc_remainder, slices
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 40_000
 BLOCK = 2048
-#: Symbols: 0 separates words, 1 to LETTERS are frequent letters, the last is any other letter.
-LETTERS = 62
+#: Shortest piece of a document in the sample, where it has so much text.
+SAMPLE_PIECE = 400
+#: Rounds in which blocks pass on their states; texts still unsettled then are parsed in one go.
+ROUNDS = 4
+#: Symbols: 0 separates words, 1 to LETTERS are frequent letters and digits, ESCAPE begins another letter
+#: of a sample, UNSEEN is a letter of none.
+LETTERS = 61
+ESCAPE = 62
+UNSEEN = 63
+DIGITS = 3
 WIDTH = 64
 MISS = 1 << 30
 UNKNOWN = "und"
@@ -58,9 +70,13 @@ def learn(docs: DataFrame, use: Column) -> Samples:
     )
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     first = rows.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_DOCS)
+    first = first.withColumn("_docs", F.count(F.lit(1)).over(Window.partitionBy("lang")))
     # At most SAMPLE_DOCS rows a language.
-    chosen = rows.join(F.broadcast(first.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
-    found = chosen.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
+    chosen = rows.join(F.broadcast(first.select("doc_id", "lang", "_docs").distinct()), ["doc_id", "lang"])
+    size = F.greatest(F.ceil(SAMPLE_CHARS / F.col("_docs")), F.lit(SAMPLE_PIECE)).cast("int")
+    room = F.greatest(F.length("text") - size + 1, F.lit(1))
+    start = (1 + F.pmod(F.xxhash64("doc_id", F.lit("piece")), room)).cast("int")
+    found = chosen.select("lang", F.substr("text", start, size).alias("text"), F.xxhash64("doc_id").alias("h"))
     texts: dict[str, list[str]] = {}
     for row in sorted(found.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         have = texts.setdefault(row["lang"], [])
@@ -75,16 +91,19 @@ class Parser:
     def __init__(self, samples: Samples):
         self.names = [lang for lang, _ in samples.texts]
         counts = Counter(c for _, text in samples.texts for c in text.lower() if c.isalpha())
-        letters = {c: k + 1 for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
+        common = sorted(counts, key=lambda c: (-counts[c], c))
+        letters = {c: min(k, ESCAPE) for k, c in enumerate(common, 1)}
         self.symbols = np.zeros(0x110000, np.uint8)
+        self.lower = np.arange(0x110000, dtype=np.uint32)
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
-                self.symbols[code] = letters.get(c.lower(), LETTERS + 1)
+                self.symbols[code] = letters.get(c.lower(), UNSEEN)
+                self.lower[code] = ord(c.lower()[0])
         tables, self.roots, self.weights = [], [], []
         size = 0
         for _, text in samples.texts:
-            coded = self._code(text)[0]
+            coded = self._code(text)
             automaton = SuffixAutomaton()
             automaton.add([int(s) for s in coded])
             table = np.full((len(automaton.next), WIDTH), -1, np.int64)
@@ -98,52 +117,103 @@ class Parser:
             size += len(table)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
-    def _code(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols with single separators, position of each in the text)."""
-        return self._collapse(self.symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)])
+    def _expand(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, which characters are letters, where each character's symbols end)."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        short = self.symbols[points]
+        rare = short == ESCAPE
+        ends = np.cumsum(np.where(rare, 1 + DIGITS, 1))
+        symbols = short
+        if rare.any():
+            symbols = np.repeat(short, np.where(rare, 1 + DIGITS, 1))
+            rest = self.lower[points[rare]]
+            for digit in range(1, 1 + DIGITS):
+                symbols[ends[rare] - digit] = 1 + rest % LETTERS
+                rest = rest // LETTERS
+        return symbols, short != 0, ends
 
     @staticmethod
-    def _collapse(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        before = np.concatenate([[1], symbols[:-1]])
-        at = np.flatnonzero((symbols != 0) | (before != 0))
-        return symbols[at], at
+    def _single(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Places of symbols, without separators that follow another or begin a text."""
+        before = np.concatenate([[0], symbols[:-1]])
+        before[starts[starts < len(symbols)]] = 0
+        return np.flatnonzero((symbols != 0) | (before != 0))
+
+    def _code(self, text: str) -> np.ndarray:
+        symbols = self._expand(text)[0]
+        return symbols[self._single(symbols, np.zeros(1, np.int64))]
 
     def phrases(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrases per language and text, symbols per text, letters per text)."""
         texts = pc.fill_null(texts, "")
         lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        whole = "".join(texts.to_pylist())
-        raw = self.symbols[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = np.cumsum(lengths)
-        letters = np.concatenate([[0], np.cumsum(raw != 0)])
-        letters = letters[ends] - letters[ends - lengths]
-        coded, at = self._collapse(raw)
-        ends = np.searchsorted(at, ends)
-        sizes = np.diff(ends, prepend=0)
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(sizes)), blocks)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        starts = (ends - sizes)[owner] + number * BLOCK
-        length = np.minimum(BLOCK, ends[owner] - starts)
-        order = np.argsort(-length, kind="stable")
-        starts, length, owner = starts[order], length[order], owner[order]
+        raw, is_letter, ends = self._expand("".join(texts.to_pylist()))
+        stops = np.cumsum(lengths)
+        letters = np.concatenate([[0], np.cumsum(is_letter)])
+        letters = letters[stops] - letters[stops - lengths]
+        stops = np.concatenate([[0], ends])[stops]
+        at = self._single(raw, np.concatenate([[0], stops[:-1]])) if len(raw) else np.zeros(0, np.int64)
+        coded = raw[at]
+        stops = np.searchsorted(at, stops)
+        sizes = np.diff(stops, prepend=0)
         found = np.zeros((len(self.names), len(sizes)), np.int64)
-        if len(owner):
-            missed = self._walk(coded, starts, length)
+        if len(coded) and self.names:
+            owner, missed = self._parse(coded, stops, sizes)
             for k in range(len(self.names)):
-                found[k] = np.bincount(owner, missed[k] + 1, len(sizes)).astype(np.int64)
+                found[k] = np.bincount(owner, missed[k], len(sizes)).astype(np.int64) + (sizes > 0)
         return found, sizes, letters
 
-    def _walk(self, coded: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Phrases that end inside each block, per language; blocks in order of falling length."""
-        active = np.searchsorted(-length, -np.arange(int(length[0])), "left")
-        state = np.repeat(np.array(self.roots, np.int64)[:, None], len(starts), 1)
-        missed = np.zeros(state.shape, np.int32)
-        for t, n in enumerate(active.tolist()):
-            now = self.table.take(state[:, :n] * WIDTH + coded[starts[:n] + t])
-            missed[:, :n] += now >> 30
-            state[:, :n] = now & (MISS - 1)
-        return missed
+    def _parse(self, coded: np.ndarray, stops: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text of each block, phrases that end inside it per language) of the greedy parse of whole texts."""
+        blocks = -(-sizes // BLOCK)
+        owner = np.repeat(np.arange(len(sizes)), blocks)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        starts = (stops - sizes)[owner] + number * BLOCK
+        length = np.minimum(BLOCK, stops[owner] - starts)
+        entry = np.repeat(np.array(self.roots, np.int64)[:, None], len(starts), 1)
+        missed, left = self._walk(coded, starts, length, entry)
+        later = np.flatnonzero(number)
+        for _ in range(ROUNDS):
+            later = later[(left[:, later - 1] != entry[:, later]).any(axis=0)]
+            if not len(later):
+                return owner, missed
+            entry[:, later] = left[:, later - 1]
+            missed[:, later], left[:, later] = self._walk(coded, starts[later], length[later], entry[:, later])
+            # The block after one that was parsed again may have another state to begin with.
+            later = later + 1
+            later = later[later < len(number)]
+            later = later[number[later] > 0]
+        later = later[(left[:, later - 1] != entry[:, later]).any(axis=0)]
+        if len(later):
+            texts, at = np.unique(owner[later], return_index=True)
+            begin = later[at]
+            size = stops[texts] - starts[begin]
+            whole, _ = self._walk(coded, starts[begin], size, left[:, begin - 1])
+            number_of = np.full(len(sizes), np.iinfo(np.int64).max)
+            number_of[texts] = number[begin]
+            missed[:, number >= number_of[owner]] = 0
+            missed[:, begin] = whole
+        return owner, missed
+
+    def _walk(
+        self, coded: np.ndarray, starts: np.ndarray, length: np.ndarray, state: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that end inside each block, state after it) per language, from the states before."""
+        order = np.argsort(-length, kind="stable")
+        starts, length, state = starts[order], length[order], state[:, order]
+        missed = np.zeros(state.shape, np.int64)
+        stop = 0
+        # Blocks by falling length: all that reach a step come first.
+        for n in range(len(length), 0, -1):
+            if n < len(length) and length[n - 1] == length[n]:
+                continue
+            for t in range(stop, int(length[n - 1])):
+                now = self.table.take(state[:, :n] * WIDTH + coded[starts[:n] + t])
+                missed[:, :n] += now >> 30
+                state[:, :n] = now & (MISS - 1)
+            stop = int(length[n - 1])
+        back = np.argsort(order, kind="stable")
+        return missed[:, back], state[:, back]
 
     def predict(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(language, posterior under equal priors) of each text."""

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pytest
 from llm.helpers import DOCUMENTS, documents, prose
 
+from tenderloom.llm import langid
 from tenderloom.llm.langid import Parser, Samples, identify
 from tenderloom.llm.language_model import discounts, score_held_out
 from tenderloom.llm.queries import QUERIES
@@ -39,6 +41,41 @@ def test_cross_parsing_is_the_greedy_parse():
     assert sizes.tolist() == [len(t) for t in plain] and letters.tolist() == [sum(c.isalpha() for c in t) for t in plain]
 
 
+@pytest.mark.parametrize("block", [1, 7, 2048])
+def test_blocks_do_not_end_phrases(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    samples = Samples((("a", prose(1, 200)), ("b", "a" * 50 + " b")))
+    texts = ["", prose(3, 400), "a" * 3001, "q", prose(1, 300), " - ", "a b" * 40]
+    found, _, _ = Parser(samples).phrases(pa.array(texts))
+    plain = [re.sub(r"[^a-z]+", " ", t).lstrip() for t in texts]
+    for k, (_, sample) in enumerate(samples.texts):
+        assert found[k].tolist() == [phrases(t, sample) if t else 0 for t in plain]
+
+
+def test_results_do_not_depend_on_neighbours():
+    parser = Parser(Samples((("a", prose(1, 200)), ("b", prose(2, 200)))))
+    texts = [" river", "stone ", " window x", "river", "", "  "]
+    together = parser.phrases(pa.array(texts))[0]
+    assert together.T.tolist() == [parser.phrases(pa.array([t]))[0][:, 0].tolist() for t in texts]
+
+
+def test_every_script_has_its_own_letters(spark):
+    """Eight languages of invented words, among them scripts of thousands of letters."""
+    alphabets = {
+        "la": (0x61, 26), "el": (0x3B1, 24), "ru": (0x430, 32), "ar": (0x628, 30),
+        "he": (0x5D0, 27), "ja": (0x3041, 80), "ko": (0xAC00, 2000), "zh": (0x4E00, 3000),
+    }
+    rows = []
+    for n, (lang, (start, size)) in enumerate(alphabets.items()):
+        rng = random.Random(n)
+        words = ["".join(chr(start + rng.randrange(size)) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+        rows += [(1000 * n + k, " ".join(rng.choices(words, k=40)), lang, None, None) for k in range(100)]
+    truth = {r[0]: r[2] for r in rows}
+    held = [r for r in identify(documents(spark, rows)).collect() if r.held_out]
+    right = collections.Counter(truth[r.doc_id] for r in held if r.lang_pred == truth[r.doc_id])
+    assert right == collections.Counter(truth[r.doc_id] for r in held)
+
+
 def test_languages_of_awkward_and_labelled_texts(spark):
     got = {r.doc_id: r for r in identify(documents(spark)).collect()}
     assert all(got[d].lang_pred == "und" and got[d].score == 0 for d in (3, 4, 5))
