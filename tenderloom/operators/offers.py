@@ -294,6 +294,39 @@ def cost_rfq(items: DataFrame, offers: DataFrame) -> DataFrame:
     )
 
 
+#: Statistics of the offers found for a line; their number is the line's own ``num_offers``.
+LINE_INSIGHTS = (
+    "min_price_cents",
+    "max_price_cents",
+    "median_price_cents",
+    "avg_price_cents",
+    "price_spread_cents",
+    "price_spread_percent",
+    "num_merchants",
+    "sources_with_results",
+)
+
+
+def query_insights(items: DataFrame, offers: DataFrame) -> DataFrame:
+    """Price statistics per query over all offers of all products that the query finds.
+
+    An offer counts for its product's barcode even if it names none itself. Only products that
+    are asked for meet their offers, and each query key is worked out once.
+    """
+    wanted = items.select(query_key(F.col("query")).alias("query_key")).distinct()
+    products = by_query_key(merge_products(offers), "product_name", "ean").select("query_key", "product_key")
+    asked = products.join(wanted, "query_key", "left_semi")
+    keyed = offers.withColumn("product_key", dedup_key(F.col("product_name")))
+    found = keyed.select("product_key", "merchant_name", "source", "total_cents").join(asked, "product_key")
+    return price_insights(found, ["query_key"]).select("query_key", *LINE_INSIGHTS)
+
+
+def cost_rfq_with_insights(items: DataFrame, offers: DataFrame) -> DataFrame:
+    """``cost_rfq`` with the statistics of each line's offers; NULL for fewer than two priced offers."""
+    costed = cost_rfq(items, offers).withColumn("query_key", query_key(F.col("query")))
+    return costed.join(query_insights(items, offers), "query_key", "left").drop("query_key")
+
+
 def rfq_totals(costed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Grand total and number of priced and all lines, per request or overall."""
     return costed.groupBy(*by).agg(
@@ -341,8 +374,13 @@ def best_market_offers(offers: DataFrame, key: str) -> DataFrame:
     )
 
 
-def compare_with_market(contracts: DataFrame, market: DataFrame, key: str) -> DataFrame:
-    """Join contract prices to best market prices; also the streaming form (market static)."""
+def compare_with_market(
+    contracts: DataFrame, market: DataFrame, key: str, more: Sequence[str] = ()
+) -> DataFrame:
+    """Join contract prices to best market prices; also the streaming form (market static).
+
+    ``more`` names further columns of the market side to keep.
+    """
     contract, best = F.col("contract_price_cents"), F.col("market_price_cents")
     return contracts.join(market, key, "left").select(
         *contracts.columns,
@@ -354,9 +392,33 @@ def compare_with_market(contracts: DataFrame, market: DataFrame, key: str) -> Da
         ),
         F.coalesce("total_offers_found", F.lit(0)).cast("bigint").alias("total_offers_found"),
         market_verdict(contract, best).alias("verdict"),
+        *more,
     )
 
 
 def contract_vs_market(contracts: DataFrame, offers: DataFrame, key: str = "ean") -> DataFrame:
     """Each contract price against the cheapest market offer of the same article."""
     return compare_with_market(contracts, best_market_offers(offers, key), key)
+
+
+def contract_market_report(
+    contracts: DataFrame, offers: DataFrame, key: str = "ean", quantity: str = "quantity"
+) -> DataFrame:
+    """``contract_vs_market`` with totals for a quantity, the best offer's address and price statistics.
+
+    The market side is one row per article (best offer and statistics) before it meets the
+    contracts. Totals are NULL without a quantity and the market's without an offer; statistics
+    are NULL for fewer than two priced offers.
+    """
+    best = best_market_offers(offers, key)
+    insights = price_insights(offers, [key]).select(key, *LINE_INSIGHTS)
+    market = best.join(insights, key, "left")
+    verdicts = compare_with_market(contracts, market, key, more=("market_url", *LINE_INSIGHTS))
+    count = F.col(quantity)
+    return verdicts.withColumns(
+        {
+            "contract_total_cents": F.col("contract_price_cents") * count,
+            "market_total_cents": F.col("market_price_cents") * count,
+            "total_difference_cents": F.col("price_difference_cents") * count,
+        }
+    )

@@ -244,6 +244,45 @@ class Inputs:
         )
         return self.table("part").select(key.alias("line_id"), text.alias("text"))
 
+    @cached_property
+    def rfq_barcodes(self) -> DataFrame:
+        """A request of one line per article: its barcode, in the quantity of its size."""
+        columns = [F.col("p_partkey").alias("rfq_id"), _article_ean(F.col("p_partkey")).alias("query")]
+        return self.table("part").select(*columns, F.col("p_size").cast("bigint").alias("quantity"))
+
+    @cached_property
+    def purchases(self) -> DataFrame:
+        """Contract lines with their article's barcode and the quantity ordered under them."""
+        ordered = (
+            self.table("lineitem")
+            .groupBy(F.col("l_partkey").alias("article_id"), F.col("l_suppkey").alias("contract_id"))
+            .agg(F.sum("l_quantity").cast("bigint").alias("quantity"))
+        )
+        lines = self.lines.select("article_id", "contract_id", "contract_price_cents")
+        return lines.join(ordered, ["article_id", "contract_id"]).join(
+            self.articles.select("article_id", "ean"), "article_id"
+        )
+
+    @cached_property
+    def offer_texts(self) -> DataFrame:
+        """Price and shipping of every offer as shops print them."""
+        number, price = F.col("position.l_linenumber"), F.col("price_cents")
+        euros, cents = F.floor(price / 100).cast("string"), F.lpad((price % 100).cast("string"), 2, "0")
+        grouped = F.concat(F.format_number(F.floor(price / 100), 0), F.lit(","), cents)
+        printed = F.when(number % 2 == 0, F.concat(F.lit("ab "), euros, F.lit("."), cents, F.lit(" EUR"))).otherwise(
+            F.concat(F.regexp_replace(grouped, r",(?=\d{3})", "."), F.lit(" \u20ac"))
+        )
+        shipping = (
+            F.when(number == 1, "Gratis Versand")
+            .when(number == 2, "versandkostenfrei")
+            .when(number == 3, "unbekannt")
+            .when(number == 4, F.lit(None))
+            .otherwise(F.concat(F.lit("zzgl. "), number.cast("string"), F.lit(",99 \u20ac Versand")))
+        )
+        return self.offers.select(
+            "source", "merchant_name", "price_cents", printed.alias("price_text"), shipping.alias("shipping_text")
+        )
+
     @cached_property
     def rfq_requests(self) -> DataFrame:
         key, name = F.col("p_partkey"), F.col("p_name")

@@ -237,6 +237,35 @@ def contract_vs_market(i: Inputs) -> DataFrame:
     return offers.contract_vs_market(lines, market)
 
 
+@query
+def contract_market_report(i: Inputs) -> DataFrame:
+    market = i.offers.drop("ean").withColumnRenamed("article_ean", "ean")
+    return offers.contract_market_report(i.purchases, market)
+
+
+@query
+def offer_totals(i: Inputs) -> DataFrame:
+    read = i.offer_texts.select(
+        "source",
+        money.parse_price(F.col("price_text")).alias("price_cents"),
+        money.parse_shipping(F.col("shipping_text")).alias("shipping_cents"),
+    )
+    total = money.offer_total(F.col("price_cents"), F.col("shipping_cents"))
+    return read.groupBy("source", "shipping_cents").agg(
+        F.count("price_cents").alias("offers"), F.sum("price_cents").alias("price_cents"), F.sum(total).alias("total_cents")
+    )
+
+
+@query
+def cost_rfq_with_insights(i: Inputs) -> DataFrame:
+    return offers.cost_rfq_with_insights(offers.parse_rfq(i.rfq_requests), i.offers)
+
+
+@query
+def cost_barcode_rfq(i: Inputs) -> DataFrame:
+    return offers.cost_rfq_with_insights(i.rfq_barcodes, i.offers)
+
+
 @query
 def parse_rfq_lines(i: Inputs) -> DataFrame:
     return offers.parse_rfq(i.rfq_requests)

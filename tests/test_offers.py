@@ -176,6 +176,49 @@ def test_request_costs(spark, make):
     assert (total.grand_total_cents, total.success_count, total.total_count) == (10800, 2, 3)
 
 
+def test_request_lines_carry_insights(spark, make):
+    """An offer without barcode counts for its product's; one priced offer gives no statistics."""
+    df = make(
+        {"name": "Drill", "total": 1000, "ean": "4006381333931", "source": "idealo"},
+        {"name": " drill", "total": 900, "merchant": "Best", "source": "geizhals"},
+        {"name": "DRILL", "total": 2000, "merchant": "best", "source": "geizhals"},
+        {"name": "Drill", "total": None, "merchant": "Other"},
+        {"name": "Nail", "total": 5},
+        {"name": "Nail", "total": None},
+    )
+    text = "10 x 4006-3813-33931\n2 x drill\n3 x drill\nNail\nUnknown thing"
+    items = O.parse_rfq(spark.createDataFrame([(1, text), (2, None)], "rfq_id INT, text STRING"))
+    got = O.cost_rfq_with_insights(items, df).orderBy("line_no").collect()
+    wanted = (900, 2000, 1000, 1300, 1100, 110.0, 2, "geizhals,idealo")
+    assert [tuple(r[c] for c in O.LINE_INSIGHTS) for r in got] == [wanted] * 3 + [(None,) * 8] * 2
+    assert [(r.quantity, r.total_price_cents, r.error) for r in got] == [
+        (10, 9000, None),
+        (2, 1800, None),
+        (3, 2700, None),
+        (1, 5, None),
+        (1, None, O.NO_OFFERS),
+    ]
+    assert O.cost_rfq_with_insights(items.limit(0), df).count() == 0
+    assert O.cost_rfq_with_insights(items, df.limit(0)).filter("error IS NULL").count() == 0
+
+
+def test_contract_report_has_totals_and_insights(spark, make):
+    contracts = spark.createDataFrame(
+        [(1, "a", 12000, 3), (2, "a", 9000, 1), (3, "z", 100, 2), (4, None, 100, 2), (5, "b", 100, None)],
+        "line INT, ean STRING, contract_price_cents BIGINT, quantity BIGINT",
+    )
+    market = make({"total": 10000, "ean": "a"}, {"total": 20000, "ean": "a"}, {"total": 50, "ean": "b"})
+    got = O.contract_market_report(contracts, market)
+    columns = ("contract_total_cents", "market_total_cents", "total_difference_cents", "median_price_cents", "market_url")
+    assert rows(got.select("line", *columns)) == [
+        (1, 36000, 30000, 6000, 15000, "u"),
+        (2, 9000, 10000, -1000, 15000, "u"),
+        (3, 200, None, None, None, None),
+        (4, 200, None, None, None, None),
+        (5, None, None, None, None, "u"),
+    ]
+
+
 def test_contract_verdicts(spark, make):
     contracts = spark.createDataFrame(
         [(1, "a", 12000), (2, "a", 10700), (3, "a", 10300), (4, "a", 10000), (5, "a", 9000), (6, "z", 100)],
