@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions import ean as eans
@@ -108,7 +108,7 @@ def name_search(
         for name in ("term", "article_name")
     }
     return (
-        pairs.join(rows.select("article_id", "ean", "article_name", "brand"), "article_id")
+        pairs.join(rows.select("article_id", "ean", "article_name", "brand").hint("merge"), "article_id")
         .filter(F.size(F.array_except(words["term"], words["article_name"])) == 0)
         .select(
             "term",
@@ -132,11 +132,15 @@ def similar_names(terms: DataFrame, catalog: DataFrame, k: int = 5, max_edits: i
         raise ValueError("max_edits must be 1 or 2")
     wanted = terms.select("term", F.lower(clean_name(F.col("term"))).alias("_term")).distinct()
     names = catalog.select("article_id", "article_name", F.lower(clean_name(F.col("article_name"))).alias("_name"))
-    term_forms = wanted.select("term", "_term", F.explode(deletion_variants(F.col("_term"), max_edits)).alias("_form"))
-    # Equal names share all forms: list each distinct name once and fan out at the end.
-    name_forms = names.select("_name").distinct().select(
-        "_name", F.explode(deletion_variants(F.col("_name"), max_edits)).alias("_form")
-    )
+
+    def forms(name: str) -> Column:
+        """Hashes of the forms: a false meeting is found out by the distance."""
+        return F.explode(F.transform(deletion_variants(F.col(name), max_edits), lambda form: F.xxhash64(form))).alias("_form")
+
+    term_forms = wanted.select("term", "_term", forms("_term"))
+    # Equal names share all forms: list each distinct name once and fan out at the end. The planner
+    # takes the forms for as large as the names' file; unhinted, it would broadcast them.
+    name_forms = names.select("_name").distinct().select("_name", forms("_name")).hint("merge")
     near = (
         term_forms.join(name_forms, "_form")
         .select("term", "_term", "_name")
@@ -146,7 +150,7 @@ def similar_names(terms: DataFrame, catalog: DataFrame, k: int = 5, max_edits: i
     )
     # All articles of one name are equally near, so its first k can answer any term.
     by_name = [F.col("article_name"), F.col("article_id")]
-    listed = skew.first_rows(names, ["_name"], by_name, k)
+    listed = skew.first_rows(names, ["_name"], by_name, k).hint("merge")
     found = near.join(listed, "_name").select(
         "term", "article_id", "article_name", F.col("distance").cast("bigint").alias("distance")
     )
