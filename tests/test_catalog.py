@@ -83,3 +83,17 @@ def test_similar_names_take_the_nearest(spark):
     assert rows(got.select("match_rank", "article_id")) == [(1, 99), (2, 0), (3, 1)]
     with pytest.raises(ValueError):
         K.similar_names(catalog, catalog, 3, max_edits=3)
+
+
+def test_long_terms_meet_only_what_shares_a_long_piece(spark):
+    from tenderloom.operators.matching import rarest_key_pairs, text_grams
+
+    texts = ["saw 123 231 312 1231", "ean 1231231231231 here", "12312312312", "x", ""]
+    items = spark.createDataFrame(list(enumerate(texts)), "article_id INT, text STRING")
+    terms = spark.createDataFrame([(t, t) for t in ("1231231231231", "23", "x", "231 31", "saw 12")], "term STRING, text STRING")
+    pairs = rarest_key_pairs(
+        text_grams(terms, "term", "text", whole_if_short=True), text_grams(items, "article_id", "text"), "term", "article_id"
+    )
+    got = rows(pairs)
+    # All grams of three letters of the barcode are in the first text too.
+    assert got == [("1231231231231", 1), ("23", 0), ("23", 1), ("23", 2), ("231 31", 0), ("saw 12", 0), ("x", 3)]
