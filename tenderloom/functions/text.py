@@ -118,6 +118,11 @@ def strip_tags(html: Column) -> Column:
     return strip(F.regexp_replace(html, r"<[^>]+>", ""))
 
 
+def strip_tags_ending_numbers(html: Column) -> Column:
+    """As ``strip_tags``, but a tag ends a number, so that digits of two blocks do not become one."""
+    return strip_tags(F.regexp_replace(html, r"(\d)(?:<[^>]+>)+", "$1 "))
+
+
 def ean_mentions(text: Column) -> Column:
     """Barcodes announced by ``EAN`` or ``GTIN`` in page text, in order."""
     return F.regexp_extract_all(text, F.lit(EAN_MENTION), F.lit(1))

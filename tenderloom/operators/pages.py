@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderloom.functions import web
-from tenderloom.functions.text import ean_mentions, strip_tags
+from tenderloom.functions.text import ean_mentions, strip_tags, strip_tags_ending_numbers
 
 
 def screen_urls(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -68,7 +68,7 @@ def mine_pages(pages: DataFrame) -> DataFrame:
     """One row per page: URL verdict, challenge flag, heading, text length, barcodes, offers.
 
     Whole pages are read; explode ``offers`` (see ``page_offers``) for offer rows. Barcodes of
-    ``<meta>`` tags come before those that the text announces.
+    ``<meta>`` tags come before those that the text announces, and end where a tag begins.
     """
     text = strip_tags(F.col("html"))
     mined = flag_challenge_pages(screen_urls(pages)).withColumn("_text", text)
@@ -80,7 +80,7 @@ def mine_pages(pages: DataFrame) -> DataFrame:
         "is_challenge",
         web.page_heading(F.col("html")).alias("heading"),
         F.length("_text").cast("bigint").alias("text_length"),
-        F.concat(web.meta_eans(F.col("html")), ean_mentions(F.col("_text"))).alias("eans"),
+        F.concat(web.meta_eans(F.col("html")), ean_mentions(strip_tags_ending_numbers(F.col("html")))).alias("eans"),
         web.jsonld_offers(F.col("html")).alias("offers"),
     )
 

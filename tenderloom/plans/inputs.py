@@ -503,7 +503,7 @@ class Inputs:
         )
         form = F.get(F.array(*[F.lit(f) for f in forms]), (F.col("page_id") % len(forms)).cast("int"))
         markup = F.replace(form, F.lit("#"), F.col("page_id").cast("string"))
-        return self.pages.select("page_id", "url", F.concat(markup, "html").alias("html"))
+        return self.pages.select("page_id", "url", F.concat(markup, F.coalesce("html", F.lit(""))).alias("html"))
 
     @cached_property
     def redirects(self) -> DataFrame:

@@ -198,3 +198,25 @@ def test_error_report(spark):
         ("CAPTCHA_REQUIRED", None, 1, "bot_protection", False),
         ("NETWORK_TIMEOUT", "text/html", 2, "network", True),
     ]
+
+
+def test_barcodes_of_pages_with_numbers_of_their_own(spark, tmp_path):
+    """Digits that follow in the next block, barcodes of the page's own, no page text at all."""
+    import compare
+    import duckdb
+
+    from tenderloom.plans.inputs import Inputs
+    from tenderloom.plans.oracle import oracle_queries
+    from tenderloom.plans.registry import QUERIES
+
+    own = ["<p>5 nails", "<p>ocean 12345678</p>7", None, '<meta name="date" content="20240131"><b>GTIN:</b> 123456789012</p>', "", "EAN 1234<b>5678"]
+    data = [(k, f"https://a.example/{k}", own[k // 8 % len(own)]) for k in range(8 * len(own))]
+    spark.createDataFrame(data, "page_id BIGINT, url STRING, html STRING").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_barcodes", "page_offers"):
+        got = compare.rows_of_spark(QUERIES[name](Inputs(spark, str(tmp_path))))
+        assert got == compare.rows_of_sql(con, oracle_queries()[name])
+    found = {r.page_id: r.eans for r in QUERIES["page_barcodes"](Inputs(spark, str(tmp_path))).collect()}
+    assert found[5] == "4006381333931" and found[13] == "4006381333931,12345678" and found[21] == "4006381333931"
+    assert found[24] == "20240131,123456789012" and found[28] == "4006381333931,20240131,123456789012" and found[47] == ""
