@@ -180,8 +180,8 @@ def facet_aggregate(
     return at_most(kept.orderBy(F.desc_nulls_last("value"), *facets), max_buckets)
 
 
-#: Sizes of the sketches of ``facet_levels``: distinct counts within about 1 %, ranks within 0.6 %.
-DISTINCT_LOG_SIZE, RANK_SIZE = 14, 800
+#: Size of the sketches of ``facet_levels``: ranks within 0.6 %.
+RANK_SIZE = 800
 
 
 def facet_levels(df: DataFrame, group_by: Sequence[str], measures: Mapping[str, tuple[str, str | None]]) -> DataFrame:
@@ -191,8 +191,9 @@ def facet_levels(df: DataFrame, group_by: Sequence[str], measures: Mapping[str,
     (``("count", None)`` counts rows). Rows combine per finest group first, in the map task and
     after one shuffle; the upper levels are grouping sets over those partial results. ``level`` is
     the number of facets that a row keeps, further facets are NULL (a missing value is ``unknown``).
-    Sums, counts, means and extremes are exact. Distinct counts and percentiles come from mergeable
-    sketches: exact for small groups, else within the stated error.
+    Sums, counts, means, extremes and distinct counts are exact: with a distinct count, the finest
+    groups keep its values apart, and each level counts them spread by value. Percentiles come from
+    mergeable sketches: exact for small groups, else within the stated error.
     """
     facets = list(group_by)
     if not 1 <= len(facets) <= MAX_FACETS:
@@ -206,6 +207,7 @@ def facet_levels(df: DataFrame, group_by: Sequence[str], measures: Mapping[str,
     names = [f"_f_{k}" for k in range(len(facets))]
     partial: dict[str, Column] = {}
     merged: dict[str, Column] = {}
+    apart: list[str] = []
 
     def part(name: str, first: Column, again: Column) -> Column:
         partial[name], merged[name] = first, again
@@ -232,9 +234,10 @@ def facet_levels(df: DataFrame, group_by: Sequence[str], measures: Mapping[str,
             extreme = getattr(F, fn)
             results[name] = part(f"_{fn}{c}", extreme(c), extreme(f"_{fn}{c}"))
         elif fn == "cardinality":
-            # NULL is no value, but its hash would be one.
-            given = F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), F.lit(DISTINCT_LOG_SIZE))
-            results[name] = F.hll_sketch_estimate(part(f"_d{c}", given, F.hll_union_agg(f"_d{c}")))
+            if c not in apart:
+                apart.append(c)
+            merged[f"_d{c}"] = F.count_distinct(c)
+            results[name] = F.col(f"_d{c}")
         elif fn in PERCENTILES:
             first = F.expr(f"kll_sketch_agg_double(cast({c} AS DOUBLE), {RANK_SIZE})")
             part(f"_q{c}", first, F.expr(f"kll_merge_agg_double(_q{c}, {RANK_SIZE})"))
@@ -242,7 +245,9 @@ def facet_levels(df: DataFrame, group_by: Sequence[str], measures: Mapping[str,
             results[name] = F.when(has_values, F.expr(f"kll_sketch_get_quantile_double(_q{c}, {PERCENTILES[fn]}D)"))
         else:
             raise ValueError(f"unknown function {fn}")
-    finest = rows.groupBy(*names).agg(*[c.alias(n) for n, c in partial.items()])
+    # Counting rows in any case, because an aggregation needs a result.
+    partial.setdefault("_rows", F.count(F.lit(1)))
+    finest = rows.groupBy(*names, *apart).agg(*[c.alias(n) for n, c in partial.items()])
     levels = finest.rollup(*names).agg(
         F.grouping_id().alias("_gone"), *[c.alias(f"_all{n}") for n, c in merged.items()]
     ).withColumnsRenamed({f"_all{n}": n for n in merged})

@@ -217,6 +217,17 @@ def test_sketches_of_facet_levels_stay_within_the_stated_error(spark):
         assert abs(row.p75 / n - 0.75) < 0.006 and abs(row.p99 / n - 0.99) < 0.006
 
 
+def test_distinct_counts_of_facet_levels_are_exact(spark):
+    n = 60_000
+    value = F.when(F.col("id") % 7 != 0, F.col("id") * 7919 % n)
+    df = spark.range(2 * n).select((F.col("id") % 4).alias("a"), value.alias("v"), (F.col("id") % 3).alias("w"))
+    got = T.facet_levels(df, ["a"], {"d": ("cardinality", "v"), "e": ("cardinality", "w"), "s": ("total", "v")})
+    exact = [F.count_distinct("v"), F.count_distinct("w"), F.sum("v")]
+    want = [(0, None, *df.agg(*exact).first())]
+    want += [(1, str(r[0]), *r[1:]) for r in df.groupBy("a").agg(*exact).collect()]
+    assert rows(got) == sorted(want, key=lambda r: [(v is None, str(v)) for v in r])
+
+
 def test_slo_windows_add_up_days(spark):
     days = [(d, g) for d in (0, 0, 3, 6, 7, 29, 30, 100) for g in (1, d % 2)]
     start = dt.datetime(2024, 1, 1)
