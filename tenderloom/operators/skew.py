@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderloom.functions.money import int_div
+
 # Rows of one key that one join task should meet at most (session setting, default).
 ROWS_PER_SPLIT = ("spark.tenderloom.rowsPerSplit", 2_000_000)
 
@@ -138,9 +140,14 @@ def percentiles(
     value: str,
     probabilities: Mapping[str, float],
     sums: Mapping[str, Column] | None = None,
+    weight: str | None = None,
+    nearest: bool = False,
 ) -> DataFrame:
     """Exact interpolated percentiles per key as DOUBLE columns, NULL values left out.
 
+    ``weight`` names a column that tells how many times a row counts. With ``nearest``, a percentile
+    is the smallest value whose rank reaches the share (to a millionth), in the type of the values.
+
     A key without values keeps its row, with NULL percentiles. ``sums`` names further columns
     that are summed per key. The same plan serves every size: (key, value) frequencies combine
     map-side, rows are counted per value bucket, and a running count looks only inside buckets
@@ -150,8 +157,10 @@ def percentiles(
     solid, group, originals = _solid_keys(df, list(keys))
     # NULL values have a bucket of their own, before all others, with no rows to rank.
     number = F.coalesce(value_bucket(F.col(value)), F.lit(-(2**31)).cast("int"))
+    weighed = F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(0) if weight else None
+    rows = F.sum(weighed) if weight else F.count(value)
     frequencies = solid.groupBy(*group, number.alias("_bucket"), F.col(value).alias("_value")).agg(
-        F.count(value).alias("_rows"), *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()]
+        rows.alias("_rows"), *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()]
     )
     by_key = Window.partitionBy(*group)
     earlier = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,9 +182,14 @@ def percentiles(
     def position(p: float) -> Column:
         return (F.col("_total") - 1).cast("double") * F.lit(float(p))
 
-    ranks = {
-        name: (F.floor(position(p)), F.ceil(position(p))) for name, p in probabilities.items()
-    }
+    def nearest_rank(p: float) -> Column:
+        million = 1_000_000
+        return int_div(F.col("_total") * F.lit(round(p * million)) + F.lit(million - 1), F.lit(million)) - 1
+
+    if nearest:
+        ranks = {name: (nearest_rank(p), nearest_rank(p)) for name, p in probabilities.items()}
+    else:
+        ranks = {name: (F.floor(position(p)), F.ceil(position(p))) for name, p in probabilities.items()}
     last = F.col("_before") + F.col("_bucket_rows")
     # The first bucket carries the key and its sums even if no rank lies in it.
     wanted = F.col("_nr") == 1
@@ -196,7 +210,7 @@ def percentiles(
 
     def at(rank: Column) -> Column:
         inside = (rank >= F.col("_start")) & (rank < F.col("_end"))
-        return F.max(F.when(inside, F.col("_value").cast("double")))
+        return F.max(F.when(inside, F.col("_value") if nearest else F.col("_value").cast("double")))
 
     aggregates = [F.max("_total").alias("_total"), *[F.max(f"_all_{n}").alias(n) for n in sums]]
     for name, (low, high) in ranks.items():
@@ -205,6 +219,9 @@ def percentiles(
     results = []
     for name, (low_rank, high_rank) in ranks.items():
         low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        if nearest:
+            results.append(low.alias(name))
+            continue
         place = position(probabilities[name])
         between = (high_rank - place) * low + (place - low_rank) * high
         results.append(F.when(low_rank == high_rank, low).otherwise(between).alias(name))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from tenderloom.operators import skew
 from tenderloom.operators.offers import compare_with_market, market_verdict
 from tenderloom.session import scratch_dir
 
@@ -26,7 +27,9 @@ __all__ = [
     "drain",
     "drain_requests",
     "drain_windows",
+    "latency_counts",
     "latency_percentiles",
+    "merge_counts",
     "merge_health",
     "stream_contract_check",
     "stream_latest_offers",
@@ -117,6 +120,34 @@ def merge_health(health: DataFrame, window: str, k: int = SKETCH_SIZE) -> DataFr
     )
 
 
+def latency_counts(spans: DataFrame, window: str = "15 minutes", ts: str = "ts") -> DataFrame:
+    """Requests and errors per service, environment, tumbling window and latency.
+
+    Where a sketch is not exact enough: windows of these rows merge exactly (``merge_counts``).
+    """
+    timed = spans.withColumn(ts, F.col(ts).cast("timestamp"))
+    return (
+        timed.groupBy(F.window(ts, window).alias("window"), "service", "env", "duration_ns")
+        .agg(F.count(F.lit(1)).alias("requests"), F.count_if("is_error").alias("errors"))
+        .select(F.col("window.start").alias("window_start"), "service", "env", "duration_ns", "requests", "errors")
+    )
+
+
+def merge_counts(counts: DataFrame, window: str) -> DataFrame:
+    """Health of longer windows from ``latency_counts``, with exact percentiles (nearest rank)."""
+    longer = counts.withColumn("_w", F.window("window_start", window)).withColumns(
+        {"window_start": F.col("_w.start"), "window_end": F.col("_w.end")}
+    )
+    sums = {
+        "total_requests": F.col("requests"),
+        "total_errors": F.col("errors"),
+        "duration_sum_ns": F.col("duration_ns") * F.col("requests"),
+    }
+    keys = ["window_start", "window_end", "service", "env"]
+    shares = {"duration_max_ns": 1.0, **LATENCIES}
+    return skew.percentiles(longer, keys, "duration_ns", shares, sums, weight="requests", nearest=True)
+
+
 def drain_windows(
     stream: DataFrame, name: str, keys: Sequence[str], late: str = "10 minutes", folder: str | None = None
 ) -> DataFrame:

@@ -149,3 +149,27 @@ def test_arriving_offers_meet_contracts(spark, tmp_path):
     checked = streams.stream_contract_check(stream_of(spark, offers, f"{tmp_path}/in"), contracts)
     got = streams.drain(checked, "check").select("total_cents", "verdict")
     assert rows(got) == [(1200, "below_market"), (800, "urgent_renegotiation")]
+
+
+def test_merged_counts_give_exact_percentiles(spark):
+    """More latencies a day than a sketch of 800 holds, one window without any."""
+    day = 86_400
+    spans = spark.range(20_000).select(
+        F.timestamp_seconds(F.col("id") * 7 % (2 * day)).alias("ts"),
+        F.lit("s").alias("service"),
+        F.when(F.col("id") % 10 == 0, "dev").otherwise("prod").alias("env"),
+        F.when(F.col("id") % 10 != 0, 2**60 + F.col("id") * 7919 % 19_997).alias("duration_ns"),
+        (F.col("id") % 9 == 0).alias("is_error"),
+    )
+    got = streams.merge_counts(streams.latency_counts(spans), "1 day").collect()
+    want = {}
+    for row in spans.collect():
+        want.setdefault((row.ts.date(), row.env), []).append(row)
+    assert len(got) == len(want) == 4
+    for row in got:
+        members = want[row.window_start.date(), row.env]
+        values = sorted(m.duration_ns for m in members if m.duration_ns is not None)
+        assert (row.total_requests, row.total_errors) == (len(members), sum(m.is_error for m in members))
+        assert row.duration_max_ns == max(values, default=None)
+        for name, share in (("p50_ns", 50), ("p95_ns", 95), ("p99_ns", 99)):
+            assert row[name] == (values[-(-share * len(values) // 100) - 1] if values else None)
