@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import Workspace, begin, doc_remainder, ranges, slices, split_words
+from tenderloom.llm.common import SLICE_BYTES, Workspace, begin, doc_remainder, ranges, slices, split_words
 
 MAX_EXAMPLES = 4000
 #: A term weighs more by what the root of its chi-square exceeds this.
@@ -51,19 +51,25 @@ def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct terms, a code per word, where each text's words start); code -1 for no term."""
     words, codes, offsets = split_words(texts)
     terms = pc.utf8_trim(pc.utf8_lower(words), characters=PUNCTUATION).dictionary_encode()
-    of_word = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    of_word = terms.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     blank = pc.index(terms.dictionary, pa.scalar("", pa.string())).as_py()
     if blank >= 0:
         of_word = np.where(of_word == blank, -1, of_word)
-    return terms.dictionary, of_word[codes] if len(codes) else codes.astype(np.int64), offsets
+    return terms.dictionary, of_word[codes] if len(codes) else codes, offsets
 
 
 def _pairs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(terms, text, term, occurrences) of each term in each text."""
     terms, codes, offsets = terms_of(texts)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(offsets))
-    keep = codes >= 0
-    pairs, count = np.unique(owner[keep] << 32 | codes[keep], return_counts=True)
+    # Sorted in place: a slice has millions of words, and every worker holds one.
+    pairs = np.repeat(np.arange(len(texts), dtype=np.int64) << 32, np.diff(offsets))
+    pairs |= codes
+    pairs = pairs[codes >= 0]
+    del codes
+    pairs.sort()
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    count = np.diff(first, append=len(pairs))
+    pairs = pairs[first]
     return terms, pairs >> 32, pairs & 0xFFFFFFFF, count
 
 
@@ -127,27 +133,53 @@ class Terms:
         return ends, at[keep], weight
 
 
+@dataclass(frozen=True)
+class Vectors:
+    """The vectors of the examples, one after the other."""
+
+    ends: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Vectors:
+        ends = np.cumsum([0, *(len(t) for t, _ in parts)])
+        terms, weights = (np.concatenate([p[k] for p in parts] or [np.zeros(0)]) for k in (0, 1))
+        return cls(ends, terms.astype(np.int32), weights)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.ends[at], self.ends[at + 1])
+        return self.terms[own], self.weights[own]
+
+
 class BlockMaxIndex:
     """Postings by term and block of examples, with each block's largest weight per term.
 
     Cells are the pairs of term and block that have postings; a term's cells lie together.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        sizes = np.array([len(t) for t, _ in vectors], np.int64)
-        owner = np.repeat(np.arange(len(vectors)), sizes)
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+    def __init__(self, vectors: Vectors | list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        if isinstance(vectors, list):
+            vectors = Vectors.of(vectors)
         self.count = len(vectors)
-        self.blocks = -(-max(len(vectors), 1) // EXAMPLES_PER_BLOCK)
-        order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order], weight[order]
-        cell = term[order] * self.blocks + self.owner // EXAMPLES_PER_BLOCK
+        self.blocks = -(-max(self.count, 1) // EXAMPLES_PER_BLOCK)
+        owner = np.repeat(np.arange(self.count, dtype=np.int32), np.diff(vectors.ends))
+        # Stable: a term's postings stay in order of the examples.
+        order = np.argsort(vectors.terms, kind="stable")
+        self.owner, self.weight = owner[order], vectors.weights[order]
+        del owner
+        cell = vectors.terms[order] * np.int64(self.blocks)
+        del order
+        cell += self.owner // EXAMPLES_PER_BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.start = np.append(first, len(cell))
-        self.block = cell[first] % self.blocks
+        self.start = np.append(first, len(cell)).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
-        self.cells = np.searchsorted(cell[first], np.arange(n_terms + 1) * self.blocks)
+        cell = cell[first]
+        self.block = (cell % self.blocks).astype(np.int32)
+        self.cells = np.searchsorted(cell, np.arange(n_terms + 1) * self.blocks)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, nearest first, ties to the earlier one."""
@@ -182,18 +214,15 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    """Terms, examples and calibration."""
+    """Terms, examples and calibration. Tasks get the index as it is and build none."""
 
     terms: Terms
     ids: np.ndarray
     toxic: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]
+    index: BlockMaxIndex
     coefficients: np.ndarray | None = None
     base: float = 0.0
 
-    def index(self) -> BlockMaxIndex:
-        return BlockMaxIndex(self.vectors, len(self.terms.names))
-
     def votes(self, found: np.ndarray, score: np.ndarray) -> np.ndarray:
         """1 and the roots of the summed similarities of toxic and of clean neighbours."""
         toxic = self.toxic[found] == 1 if len(found) else np.zeros(0, bool)
@@ -219,13 +248,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def _calibrate(model: Model, shares: dict[int, float]) -> None:
-    index = model.index()
+def _calibrate(model: Model, vectors: Vectors, shares: dict[int, float]) -> None:
     votes = np.zeros((len(model.toxic), 3))
     votes[:, 0] = 1
-    for i, (terms, weights) in enumerate(model.vectors):
+    for i in range(len(vectors)):
+        terms, weights = vectors[i]
         if len(terms):
-            found, score = index.nearest(terms, weights, NEIGHBOURS + 1)
+            found, score = model.index.nearest(terms, weights, NEIGHBOURS + 1)
             other = found != i
             votes[i] = model.votes(found[other][:NEIGHBOURS], score[other][:NEIGHBOURS])
     y = model.toxic.astype(float)
@@ -246,7 +275,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     totals = {r["toxic"]: r["n"] for r in single.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n, bad = sum(totals.values()), totals.get(1, 0)
     base = bad / n if n else 0.0
-    model = Model(Terms(pa.array([], pa.string()), np.zeros(0)), np.zeros(0), np.zeros(0), [], base=base)
+    none = BlockMaxIndex(Vectors.of([]), 0)
+    model = Model(Terms(pa.array([], pa.string()), np.zeros(0)), np.zeros(0), np.zeros(0), none, base=base)
     if not bad or bad == n:
         return model
     marked = docs.withColumn("mark", F.xxhash64("text"))
@@ -263,6 +293,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     known, code = names.dictionary, names.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     times = bags["counts"].combine_chunks().flatten().to_numpy().astype(np.int32)
     ids, kinds = bags["doc_id"].to_numpy().copy(), bags["toxic"].to_numpy().copy()
+    ends = ends - ends[0]
     # Only codes are needed from here on; the driver gives back the examples' words.
     del bags, terms, names
     pa.default_memory_pool().release_unused()
@@ -285,35 +316,40 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     factor = (np.log((1 + rows) / (1 + texts)) + 1) * (1 + np.maximum(root - CHANCE, 0))
     model.terms = Terms(known, factor, float(np.sqrt(square or 1.0)))
 
-    weight = (1 + np.log(times)) * factor[code]
-    vectors = []
-    for start, stop in zip(ends[:-1] - ends[0], ends[1:] - ends[0]):
-        own = weight[start:stop]
-        vectors.append((code[start:stop], own / max(np.sqrt((own * own).sum()), 1e-9)))
-    # Blocks hold examples of one strong term for the label, and of one commonest term, which is of one language.
-    strong = [int(t[np.argmax(root[t])]) if len(t) and root[t].max() > CHANCE else -1 for t, _ in vectors]
-    common = [int(t[np.argmax(texts[t])]) if len(t) else -1 for t, _ in vectors]
+    del found, others
+    weight = 1 + np.log(times)
+    weight *= factor[code]
+    strong, common = np.full(len(ids), -1), np.full(len(ids), -1)
+    for i, own in enumerate(map(slice, ends[:-1], ends[1:])):
+        t, w = code[own], weight[own]
+        w /= max(np.sqrt((w * w).sum()), 1e-9)
+        # Blocks hold examples of one strong term for the label, and of one commonest term, which is of one language.
+        if len(t):
+            strong[i] = t[np.argmax(root[t])] if root[t].max() > CHANCE else -1
+            common[i] = t[np.argmax(texts[t])]
     place = np.lexsort((ids, kinds, common, strong))
-    model.ids, model.toxic, model.vectors = ids[place], kinds[place], [vectors[k] for k in place]
-    del found, others, weight, times, vectors
+    sizes = np.diff(ends)[place]
+    at = ranges(ends[:-1][place], sizes)
+    vectors = Vectors(np.concatenate([[0], np.cumsum(sizes)]), code[at], weight[at])
+    del at, weight, times, code
+    model.ids, model.toxic, model.index = ids[place], kinds[place], BlockMaxIndex(vectors, len(known))
     pa.default_memory_pool().release_unused()
     taken = {t: int((model.toxic == t).sum()) for t in (0, 1)}
-    _calibrate(model, {t: totals[t] / max(taken[t], 1) for t in (0, 1)})
+    _calibrate(model, vectors, {t: totals[t] / max(taken[t], 1) for t in (0, 1)})
     return model
 
 
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("toxicity")
-        index = model.index()
         far = model.probability(np.array([1.0, 0.0, 0.0]))
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES // 2):
             ends, terms, weights = model.terms.vectors(part.column("text"))
             score = np.full(part.num_rows, far)
             evidence: list[list] = [[] for _ in range(part.num_rows)]
             for i in np.flatnonzero(np.diff(ends)).tolist():
                 at = slice(ends[i], ends[i + 1])
-                found, near = index.nearest(terms[at], weights[at], NEIGHBOURS)
+                found, near = model.index.nearest(terms[at], weights[at], NEIGHBOURS)
                 score[i] = model.probability(model.votes(found, near))
                 evidence[i] = [
                     {"doc_id": int(model.ids[e]), "toxic": int(model.toxic[e]), "similarity": float(s)}

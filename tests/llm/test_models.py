@@ -2,8 +2,10 @@
 
 import collections
 import math
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -15,7 +17,7 @@ from tenderloom.llm import langid
 from tenderloom.llm.langid import Parser, Samples, identify
 from tenderloom.llm.language_model import discounts, score_held_out
 from tenderloom.llm.queries import QUERIES
-from tenderloom.llm.toxicity import BlockMaxIndex, keep_clean, score_documents
+from tenderloom.llm.toxicity import BlockMaxIndex, _pairs, keep_clean, score_documents
 
 DATA = "/root/testdata/sf0.001"
 
@@ -162,6 +164,23 @@ def test_block_max_search_is_exact():
         assert set(np.flatnonzero(every > score.min() + 1e-9) if len(score) else []) <= set(found.tolist())
 
 
+def test_index_and_terms_take_little_memory():
+    rng = np.random.default_rng(5)
+    parts = [(np.sort(rng.choice(50_000, 200, replace=False)).astype(np.int32), rng.random(200)) for _ in range(2000)]
+    texts = pa.array([" ".join(f"w{t}" for t in terms) for terms, _ in parts])
+    tracemalloc.start()
+    index = BlockMaxIndex(parts, 50_000)
+    kept, most = tracemalloc.get_traced_memory()
+    assert most < 70 * 400_000, "bytes while it is built"
+    tracemalloc.reset_peak()
+    _, text, _, count = _pairs(texts)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(text) == count.sum() == 400_000 and peak - kept < 45 * 400_000
+    assert len(pickle.dumps(index)) < 40 * 400_000
+    assert index.nearest(*parts[7], 1)[0].tolist() == [7]
+
+
 def toxic_tables(spark):
     docs, labels = [], []
     for k in range(400):
