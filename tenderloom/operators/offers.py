@@ -9,9 +9,11 @@ gathers the offers of a product, which may hold a large share of the table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import takewhile
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,25 +51,67 @@ def top_per_source(offers: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return skew.first_rows(offers, [*keys, "source"], [F.col("position")], n)
 
 
-def _price_statistics(priced: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Statistics of groups with at least two prices.
+def _sorted_statistics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Statistics of ordinary groups: one shuffle, each group sorted in a task by price and by merchant."""
+    group = Window.partitionBy(*by)
+    price, merchant, prices = F.col("total_cents"), F.col("_merchant"), F.col("_prices")
+    place, earlier = F.row_number().over(group.orderBy(price)), F.lag(merchant).over(group.orderBy(merchant))
+    marked = rows.withColumn("_prices", F.count(F.lit(1)).over(group)).filter(prices >= 2).withColumn("_place", place)
+    marked = marked.withColumn("_new", merchant.isNotNull() & ~merchant.eqNullSafe(earlier))
+    middle = F.when(F.col("_place").isin(F.floor((prices + 1) / 2), F.floor(prices / 2) + 1), price.cast("double"))
+    # Few rows per group are left for the set of its sources.
+    parts = marked.groupBy(*by, "source").agg(
+        F.min(price).alias("_min"),
+        F.max(price).alias("_max"),
+        F.sum(price).alias("_sum"),
+        F.count(price).alias("_prices"),
+        F.sum(F.col("_new").cast("bigint")).alias("_merchants"),
+        F.sum(middle).alias("_middle"),
+        F.count(middle).alias("_middles"),
+    )
+    return parts.groupBy(*by).agg(
+        F.min("_min").alias("min_price_cents"),
+        F.max("_max").alias("max_price_cents"),
+        F.sum("_sum").alias("_sum"),
+        F.sum("_prices").alias("_prices"),
+        F.sum("_merchants").alias("num_merchants"),
+        F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources_with_results"),
+        (F.sum("_middle") / F.sum("_middles")).alias("_median"),
+    )
+
+
+def _split_statistics(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same of hot groups, of which no task holds a whole one.
 
     The median is a branch of its own: mixed into one aggregation with the distinct count,
     its value maps would be built per merchant.
     """
-    stats = priced.groupBy(*by).agg(
+    stats = rows.groupBy(*by).agg(
         F.min("total_cents").alias("min_price_cents"),
         F.max("total_cents").alias("max_price_cents"),
         F.sum("total_cents").alias("_sum"),
         F.count("total_cents").alias("_prices"),
-        F.countDistinct(F.lower("merchant_name")).alias("num_merchants"),
+        F.countDistinct("_merchant").alias("num_merchants"),
         # Bounded by the domain of sources.
         F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources_with_results"),
     )
-    medians = skew.percentiles(priced, by, "total_cents", {"_median": 0.5})
+    medians = skew.percentiles(rows, by, "total_cents", {"_median": 0.5})
     return stats.filter(F.col("_prices") >= 2).join(medians, list(by))
 
 
+def _price_statistics(
+    priced: DataFrame, by: Sequence[str], sized_by: DataFrame | None = None, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Statistics of groups with at least two prices; rows without a key belong to none.
+
+    ``sized_by`` and ``sizes`` as in ``skew.parted_by_heat``.
+    """
+    rows = priced.select(*by, "total_cents", F.lower("merchant_name").alias("_merchant"), "source")
+    rows = rows.filter(reduce(and_, [F.col(key).isNotNull() for key in by]))
+    ordinary, hot = skew.parted_by_heat(rows, by, sized_by=sized_by, sizes=sizes)
+    return _sorted_statistics(ordinary, by).unionByName(_split_statistics(hot, by))
+
+
 def _insight_columns() -> list[Column]:
     doubled_median = F.round(F.col("_median") * 2).cast("bigint")
     spread = F.col("max_price_cents") - F.col("min_price_cents")
@@ -86,11 +130,14 @@ def _insight_columns() -> list[Column]:
     ]
 
 
-def price_insights(offers: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Price statistics over offer totals per group; groups with fewer than two offers drop out."""
+def price_insights(offers: DataFrame, by: Sequence[str], sizes: DataFrame | None = None) -> DataFrame:
+    """Price statistics over offer totals per group; groups with fewer than two offers drop out.
+
+    ``sizes`` may give the groups' numbers of offers (``_rows``) where they are known.
+    """
     priced = offers.filter(F.col("total_cents").isNotNull())
     return (
-        _price_statistics(priced, by)
+        _price_statistics(priced, by, sizes=sizes)
         .withColumn("num_offers", F.col("_prices"))
         .select(*by, *_insight_columns())
     )
@@ -186,7 +233,7 @@ def supplier_insights(offers: DataFrame, by: Sequence[str]) -> DataFrame:
     """Statistics over the best offer per merchant; ``num_offers`` counts all offers."""
     best = best_offer_per_merchant(offers, by)
     totals = offers.groupBy(*by).agg(F.count("total_cents").alias("num_offers"))
-    return _price_statistics(best, by).join(totals, list(by)).select(*by, *_insight_columns())
+    return _price_statistics(best, by, sizes=totals.withColumnRenamed("num_offers", "_rows")).join(totals, list(by)).select(*by, *_insight_columns())
 
 
 def cheaper_alternatives(references: DataFrame, offers: DataFrame, k: int = 5) -> DataFrame:
@@ -314,11 +361,12 @@ def query_insights(items: DataFrame, offers: DataFrame) -> DataFrame:
     are asked for meet their offers, and each query key is worked out once.
     """
     wanted = items.select(query_key(F.col("query")).alias("query_key")).distinct()
-    products = by_query_key(merge_products(offers), "product_name", "ean").select("query_key", "product_key")
+    products = by_query_key(merge_products(offers), "product_name", "ean").select("query_key", "product_key", "num_offers")
     asked = products.join(wanted, "query_key", "left_semi")
     keyed = offers.withColumn("product_key", dedup_key(F.col("product_name")))
-    found = keyed.select("product_key", "merchant_name", "source", "total_cents").join(asked, "product_key")
-    return price_insights(found, ["query_key"]).select("query_key", *LINE_INSIGHTS)
+    found = keyed.select("product_key", "merchant_name", "source", "total_cents").join(asked.drop("num_offers"), "product_key")
+    sizes = asked.groupBy("query_key").agg(F.sum("num_offers").alias("_rows"))
+    return price_insights(found, ["query_key"], sizes).select("query_key", *LINE_INSIGHTS)
 
 
 def cost_rfq_with_insights(items: DataFrame, offers: DataFrame) -> DataFrame:

@@ -71,17 +71,22 @@ def _solid_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str
     return df.withColumns(added), stand_ins, originals
 
 
-def _parted_by_heat(
-    df: DataFrame, keys: Sequence[str], limit: int | None, sized_by: DataFrame | None = None
+def parted_by_heat(
+    df: DataFrame,
+    keys: Sequence[str],
+    limit: int | None = None,
+    sized_by: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary keys, and rows of keys with more than ``limit`` rows.
 
     The list of hot keys has at most ``rows / limit`` entries, so broadcasting it is safe.
     ``sized_by`` may name a table that is cheaper to count and has at least as many rows
-    per key.
+    per key; ``sizes`` gives the counts themselves, one row a key with its ``_rows``.
     """
     limit = _limit(df, limit, ROWS_IN_TASK)
-    sizes = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if sizes is None:
+        sizes = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = F.broadcast(sizes.filter(F.col("_rows") > limit).select(*keys))
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
@@ -106,7 +111,7 @@ def numbered_rows(
     solid, group, _ = _solid_keys(df, keys)
     if sized_by is not None:
         sized_by = _solid_keys(sized_by, keys)[0]
-    ordinary, hot = _parted_by_heat(solid, group, limit, sized_by)
+    ordinary, hot = parted_by_heat(solid, group, limit, sized_by)
     whole = Window.partitionBy(*group).orderBy(*order_by)
     plain = ordinary.withColumn(name, F.row_number().over(whole).cast("bigint"))
 
