@@ -207,9 +207,14 @@ def rank_suppliers(offers: DataFrame, by: Sequence[str]) -> DataFrame:
 
     Merchants of equal price are ranked by their first offer's arrival.
     """
-    arrival = offers.filter(F.col("total_cents").isNotNull()).withColumn("merchant_key", F.lower("merchant_name"))
-    arrival = arrival.groupBy(*by, "merchant_key").agg(F.min("position").alias("first_position"))
-    best = best_offer_per_merchant(offers, by).join(arrival, [*by, "merchant_key"])
+    named = offers.withColumn("merchant_key", F.lower("merchant_name"))
+    named = named.filter(reduce(and_, [F.col(c).isNotNull() for c in ("total_cents", "merchant_key", *by)]))
+    detail = ["merchant_name", "price_cents", "shipping_cents", "source", "product_url"]
+    # The cheapest offer and the first arrival come from one aggregation, combined before the shuffle.
+    best = named.groupBy(*by, "merchant_key").agg(
+        _cheapest(*detail).alias("_best"), F.min("position").alias("first_position")
+    )
+    best = best.select(*by, "merchant_key", "first_position", "_best.total_cents", *[f"_best.{c}" for c in detail])
     return skew.numbered_rows(
         best,
         keys=by,

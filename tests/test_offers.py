@@ -276,3 +276,10 @@ def test_sorted_and_split_price_statistics_agree(spark):
         assert sorted(map(tuple, O.price_insights(table, ["k"]).collect())) == whole
     finally:
         spark.conf.unset("spark.tenderloom.rowsInTask")
+
+
+def test_ranking_moves_the_offers_of_merchants_once(inputs):
+    plan = O.rank_suppliers(inputs.offers, ["article_ean"])._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "merchant_key" in line]
+    # Once for the ordinary articles, and for the hot ones once for their rows and once for the counts of their pieces.
+    assert len(moved) == 3
