@@ -6,6 +6,7 @@ Arrow's ASCII white-space split uses exactly that set.
 
 from __future__ import annotations
 
+import functools
 import gc
 import os
 import uuid
@@ -52,10 +53,13 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def mounted(self) -> bool:
+        return urlparse(self.root).scheme in ("", "file")
+
     def mount(self, name: str) -> str:
         """A folder for memory-mapped arrays; the shared folder must be mounted on every machine."""
         url = urlparse(self.root)
-        if url.scheme not in ("", "file"):
+        if not self.mounted():
             raise ValueError(f"memory-mapped arrays need a mounted shared folder, not {url.scheme}://")
         path = os.path.join(url.path, name)
         os.makedirs(path, exist_ok=True)
@@ -83,6 +87,18 @@ def begin(owner: str) -> None:
     _LAST[:] = [owner]
 
 
+def frees(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives its freed memory back: it waits beside later stages that need no Python."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return whole
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

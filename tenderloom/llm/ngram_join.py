@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import Workspace, slices, split_words
+from tenderloom.llm.common import Workspace, frees, slices, split_words
 from tenderloom.llm.components import connected_components
 
 WORDS = 4
@@ -116,6 +116,7 @@ def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _facts(n: int) -> Callable[[Batches], Batches]:
     """Size and two hashes of each set; one more row a slice for its frequent hashes."""
 
+    @frees
     def run(batches: Batches) -> Batches:
         for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), n)
@@ -160,6 +161,7 @@ def _leaders(n: int, percent: int, common: np.ndarray) -> Callable[[Batches], Ba
         last = common[place] == hashes
         return np.concatenate([hashes[~last], hashes[last]])[:length]
 
+    @frees
     def run(batches: Batches) -> Batches:
         for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), n)
@@ -174,6 +176,7 @@ def _leaders(n: int, percent: int, common: np.ndarray) -> Callable[[Batches], Ba
 def _may_link(percent: int) -> Callable[[Batches], Batches]:
     """The pairs whose bitmaps permit enough overlap."""
 
+    @frees
     def run(batches: Batches) -> Batches:
         for part in slices(batches, "bits_a", 4 << 20):
             size_a, size_b = (part.column(c).to_numpy() for c in ("na", "nb"))
@@ -190,6 +193,7 @@ def _may_link(percent: int) -> Callable[[Batches], Batches]:
 def _check(n: int, percent: int) -> Callable[[Batches], Batches]:
     """The pairs whose sets pass; rows come in order of ``b``, whose set is kept between them."""
 
+    @frees
     def run(batches: Batches) -> Batches:
         for part in slices(batches, "text_a", SLICE // 2):
             left = shingle_sets(part.column("text_a"), n)
@@ -282,6 +286,7 @@ def _tree(members: pa.StructArray) -> tuple[SignatureTree, np.ndarray]:
 
 
 def _join_blocks(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found_a, found_b = [], []

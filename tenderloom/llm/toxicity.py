@@ -23,16 +23,20 @@ one by one; other columns are kept by ``keep_clean``; an empty table gives an em
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderloom.llm.common import SLICE_BYTES, Workspace, begin, doc_remainder, ranges, slices, split_words
+from tenderloom.llm.common import SLICE_BYTES, Workspace, begin, doc_remainder, frees, ranges, slices, split_words
 
 MAX_EXAMPLES = 4000
 #: A term weighs more by what the root of its chi-square exceeds this.
@@ -73,6 +77,7 @@ def _pairs(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
     return terms, pairs >> 32, pairs & 0xFFFFFFFF, count
 
 
+@frees
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each term: how many texts have it, how many labelled and how many toxic ones."""
     begin("toxicity")
@@ -84,6 +89,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([terms, *map(pa.array, (every, known, bad))], ["term", "texts", "known", "bad"])
 
 
+@frees
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The terms of each example and how often it has them."""
     begin("toxicity")
@@ -212,9 +218,13 @@ class BlockMaxIndex:
         return np.bincount(self.owner[posting], self.weight[posting] * np.repeat(weight, size), self.count)
 
 
+#: The arrays of an index, in the order in which they are written.
+INDEX = ("owner", "weight", "start", "most", "block", "cells")
+
+
 @dataclass
 class Model:
-    """Terms, examples and calibration. Tasks get the index as it is and build none."""
+    """Terms, examples and calibration. Tasks map a file of it and build and copy nothing."""
 
     terms: Terms
     ids: np.ndarray
@@ -233,6 +243,39 @@ class Model:
             return self.base
         return float(1 / (1 + np.exp(-np.clip(votes @ self.coefficients, -50, 50))))
 
+    def write(self, path: str) -> None:
+        """One Arrow file: a row with a list for each array."""
+        numbers = [np.array([self.terms.other, self.base]), self.coefficients, self.terms.factor, self.ids, self.toxic]
+        columns = [self.terms.names, *[None if x is None else pa.array(x) for x in (*numbers, *(getattr(self.index, a) for a in INDEX))]]
+        lists = [pa.nulls(1, pa.list_(pa.float64())) if c is None else pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+        batch = pa.RecordBatch.from_arrays(lists, [f"c{k}" for k in range(len(lists))])
+        with pa.OSFile(path, "wb") as out, pa.ipc.new_file(out, batch.schema) as file:
+            file.write_batch(batch)
+
+    @classmethod
+    def read(cls, path: str) -> Model:
+        """The model of a file, whose arrays stay in it."""
+        batch = pa.ipc.open_file(pa.memory_map(path)).get_batch(0)
+        names, *arrays = (c[0].values for c in batch.columns)
+        numbers, coefficients, factor, ids, toxic, *parts = (None if x is None else x.to_numpy() for x in arrays)
+        index = BlockMaxIndex.__new__(BlockMaxIndex)
+        index.count, index.blocks = len(ids), -(-max(len(ids), 1) // EXAMPLES_PER_BLOCK)
+        for name, part in zip(INDEX, parts):
+            setattr(index, name, part)
+        return cls(Terms(names, factor, float(numbers[0])), ids, toxic, index, coefficients, float(numbers[1]))
+
+    def ship(self, space: Workspace) -> str:
+        """The file in the shared folder, or its name where Spark sends it if that folder is not mounted."""
+        name = f"model-{uuid.uuid4().hex}.arrow"
+        if space.mounted():
+            path = os.path.join(space.mount("model"), name)
+            self.write(path)
+            return path
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="toxicity-")), name)
+        self.write(path)
+        space.spark.sparkContext.addFile(path)
+        return name
+
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Coefficients by Newton steps on the ridge-penalised weighted likelihood."""
@@ -339,9 +382,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(shipped: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("toxicity")
+        # A full path stays as it is.
+        model = Model.read(SparkFiles.get(shipped))
         far = model.probability(np.array([1.0, 0.0, 0.0]))
         for part in slices(batches, "text", SLICE_BYTES // 2):
             ends, terms, weights = model.terms.vectors(part.column("text"))
@@ -370,7 +416,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     model = learn(docs, labels)
     kind = "doc_id BIGINT, score DOUBLE, evidence ARRAY<STRUCT<doc_id: BIGINT, toxic: INT, similarity: DOUBLE>>"
-    scored = docs.mapInArrow(_score(model), kind)
+    scored = docs.mapInArrow(_score(model.ship(Workspace(docs.sparkSession, "toxicity"))), kind)
     held = doc_remainder(F.col("doc_id"), 5) == 0
     predicted = (F.col("score") >= 0.5).cast("int")
     return scored.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"), "evidence")

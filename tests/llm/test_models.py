@@ -17,7 +17,7 @@ from tenderloom.llm import langid
 from tenderloom.llm.langid import Parser, Samples, identify
 from tenderloom.llm.language_model import discounts, score_held_out
 from tenderloom.llm.queries import QUERIES
-from tenderloom.llm.toxicity import BlockMaxIndex, _pairs, keep_clean, score_documents
+from tenderloom.llm.toxicity import INDEX, BlockMaxIndex, Model, Terms, _pairs, keep_clean, score_documents
 
 DATA = "/root/testdata/sf0.001"
 
@@ -181,6 +181,27 @@ def test_index_and_terms_take_little_memory():
     assert index.nearest(*parts[7], 1)[0].tolist() == [7]
 
 
+def test_workers_map_the_model_and_hold_no_copy(tmp_path):
+    rng = np.random.default_rng(6)
+    parts = [(np.sort(rng.choice(900, 50, replace=False)), rng.random(50)) for _ in range(300)]
+    terms = Terms(pa.array([f"t{k}" for k in range(900)]), rng.random(900), 1.5)
+    made = Model(terms, np.arange(300) * 3, np.arange(300) % 2, BlockMaxIndex(parts, 900), np.array([0.1, 2.0, -1.0]), 0.25)
+    made.write(str(tmp_path / "model.arrow"))
+    before = pa.total_allocated_bytes()
+    model = Model.read(str(tmp_path / "model.arrow"))
+    assert pa.total_allocated_bytes() - before < 10_000
+    assert all(not getattr(model.index, name).flags.owndata for name in INDEX) and not model.ids.flags.owndata
+    assert model.terms.names.equals(terms.names) and (model.terms.other, model.base) == (1.5, 0.25)
+    for terms_of, weights in parts[:20]:
+        want, got = made.index.nearest(terms_of, weights, 5), model.index.nearest(terms_of, weights, 5)
+        assert all(np.array_equal(x, y) for x, y in zip(want, got))
+        assert made.probability(made.votes(*want)) == model.probability(model.votes(*got))
+    none = Model(Terms(pa.array([], pa.string()), np.zeros(0)), np.zeros(0), np.zeros(0), BlockMaxIndex([], 0), base=0.5)
+    none.write(str(tmp_path / "none.arrow"))
+    none = Model.read(str(tmp_path / "none.arrow"))
+    assert none.coefficients is None and none.probability(np.zeros(3)) == 0.5 and len(none.terms.names) == 0
+
+
 def toxic_tables(spark):
     docs, labels = [], []
     for k in range(400):
