@@ -75,15 +75,13 @@ def parse_price(text: Column) -> Column:
     ``1,234`` and ``150`` are whole euros. Anything else, such as ``1,234.56``, ``1.234,5`` or a
     negative number, has no agreed reading; ``price_parse`` says so.
     """
-    number = _number(text)
-    digits = F.concat(
-        F.regexp_replace(F.regexp_extract(number, EUROS_AND_CENTS, 1), r"\.", ""),
-        F.regexp_extract(number, EUROS_AND_CENTS, 2),
-    )
-    whole = F.concat(F.regexp_replace(number, "[.,]", ""), F.lit("00"))
-    return (
-        F.when(number.rlike(WHOLE_EUROS), whole).when(number.rlike(EUROS_AND_CENTS), digits).try_cast("bigint")
-    )
+    def cents(number: Column) -> Column:
+        digits = F.translate(number, ".,", "")
+        return F.when(number.rlike(WHOLE_EUROS), F.concat(digits, F.lit("00"))).when(number.rlike(EUROS_AND_CENTS), digits)
+
+    # The number is found once; named several times in a plain expression, it would be searched for at each place.
+    found = F.rtrim(F.regexp_extract(text, NUMBER, 1), F.lit(".,"))
+    return F.element_at(F.transform(F.array(found), cents), 1).try_cast("bigint")
 
 
 def price_parse(text: Column) -> Column:

@@ -32,6 +32,12 @@ def test_price_texts(spark, price, cents):
     assert values(spark, [price], money.parse_price) == [cents]
 
 
+def test_a_price_text_is_searched_for_its_number_once(spark):
+    df = spark.createDataFrame([("ab 7.018,40 EUR",)], "v STRING").select(money.parse_price(F.col("v")).alias("cents"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") + plan.count("regexp_replace") == 1
+
+
 def test_shipping_texts(spark):
     texts = ["Gratis Versand", "kostenlos", "versandkostenfrei", "0,00 EUR", "4,99 EUR", "10,00", "?", None]
     assert values(spark, texts, money.parse_shipping) == [0, 0, 0, 0, 499, 1000, 0, 0]
