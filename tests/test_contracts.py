@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from support import rows
@@ -230,6 +231,17 @@ def test_inactive_contracts_count_unless_told_otherwise(tables):
     assert counted(True) == [(31, 3, 200), (40, 0, None), (9, 1, 15)]
 
 
+def test_pairs_of_article_and_contract_are_counted_in_many_tasks(spark, tables):
+    doubled = C.ContractTables(**{**vars(tables), "lines": tables.lines.union(tables.lines)})
+    for active in (False, True):
+        prices = C.article_prices(doubled, active)
+        assert rows(prices) == rows(C.article_prices(tables, active))
+        assert {r.article_id: r.contract_count for r in prices.collect()} == {31: 3 if active else 4, 9: 1}
+        tasks = C.FAN_OUT * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        plan = prices._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(rf"RepartitionByExpression \[article_id#\d+, contract_id#\d+\], {tasks}\b", plan)
+
+
 def test_search_relevance(spark, tables):
     terms = ["4006381333931", "knipex zange", "KNIPEX", "zange", "isol", "50%", "%", "k", "", "nothing"]
     found = C.search_articles(tables, spark.createDataFrame([(t,) for t in terms], "term STRING"))
