@@ -4,12 +4,12 @@
    representative goes on, so copies never meet pairwise.
 2. Two sets with Jaccard >= t share one of their first ``n - ceil(t n) + 1`` hashes in any fixed
    order (prefix filter), so representatives are grouped by each of those hashes. The order puts
-   hashes that are frequent within slices of the input last, so texts that merely share a common
+   hashes that are frequent within pieces of the input last, so texts that merely share a common
    passage seldom meet; at most ``MAX_COMMON`` are told apart, which bounds what tasks receive and
    decides only how much work there is.
 3. All members of a group are paired with its smallest one; pairs that sizes and bitmaps permit
    are checked on the exact sets. This joins a large family of near copies in linear work.
-4. What is left are groups with several components. Their members form signature trees: a node
+4. What is left are groups with several components of sizes that permit a link. Their members form signature trees: a node
    holds the OR of its members' token bitmaps and the range of their sizes. Trees are traversed
    in pairs from the roots; a pair of nodes is dropped if its sizes cannot match, if the largest
    overlap its bitmaps permit is too small, or if both lie in one component. Large groups are
@@ -26,6 +26,7 @@ columns are kept by ``keep_one_of_each``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,9 +45,11 @@ BITS = 4096
 BLOCK = 500
 #: Bytes of text handled at once.
 SLICE = 8 << 20
-#: A hash is common if slices in which it has this many texts add up to so many.
-SLICE_OFTEN = 3
-OFTEN = 12
+#: Hashes that a task counts at once; a hash is common if the counts of at least ``PIECE_OFTEN`` add up to ``OFTEN``.
+#: The more are counted at once, the rarer the passage that is still told from chance.
+PIECE_HASHES = 4_000_000
+PIECE_OFTEN = 2
+OFTEN = 6
 MAX_COMMON = 200_000
 LEAF = 16
 #: Ids sent to every task to choose rows by; more are joined by shuffle.
@@ -105,44 +108,56 @@ Batches = Iterator[pa.RecordBatch]
 
 
 def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of several sets of a slice, and of how many."""
+    """Hashes of several of the sets, and of how many."""
     flat = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
     at = np.flatnonzero(np.concatenate([flat[:1] == flat[:1], flat[1:] != flat[:-1]]))
     count = np.diff(at, append=len(flat))
-    often = count >= SLICE_OFTEN
+    often = count >= PIECE_OFTEN
     return flat[at[often]], count[often]
 
 
 def _facts(n: int) -> Callable[[Batches], Batches]:
-    """Size and two hashes of each set; one more row a slice for its frequent hashes."""
+    """Size and two hashes of each set; one more row for the frequent hashes of each ``PIECE_HASHES`` of them."""
+
+    def rows(docs: pa.Array, sizes: list[int], h1: np.ndarray, h2: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(docs), pa.list_(pa.int64()))
+        columns = [pa.array(np.ones(len(docs), np.int32)), docs, pa.array(sizes, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), none, none], FACT_COLUMNS)
+
+    def counts(sets: list[np.ndarray]) -> pa.RecordBatch:
+        often, count = _frequent(sets)
+        zero = pa.array([0], pa.int64())
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (often.view(np.int64), count)]
+        return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), zero, zero, zero, *lists], FACT_COLUMNS)
 
     @frees
     def run(batches: Batches) -> Batches:
+        # Equal sets count once: they form a class and do not meet.
+        piece: dict[tuple[int, int], np.ndarray] = {}
+        held = 0
         for part in slices(batches, "text", SLICE):
             sets = shingle_sets(part.column("text"), n)
             h1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
             h2 = np.array([_mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) for s in sets], np.uint64)
-            often, count = _frequent(sets)
-            rows = len(sets)
-            none, last = [None] * rows, pa.array([0], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(np.ones(rows, np.int32)), last]),
-                    pa.concat_arrays([part.column("doc_id"), pa.nulls(1, pa.int64())]),
-                    pa.array([*map(len, sets), 0], pa.int64()),
-                    pa.array(np.append(h1.view(np.int64), 0)),
-                    pa.array(np.append(h2.view(np.int64), 0)),
-                    pa.array([*none, often.view(np.int64)], pa.list_(pa.int64())),
-                    pa.array([*none, count], pa.list_(pa.int64())),
-                ],
-                ["texts", "doc_id", "n", "h1", "h2", "hashes", "counts"],
-            )
+            yield rows(part.column("doc_id"), [len(s) for s in sets], h1, h2)
+            for mark, own in zip(zip(h1.tolist(), h2.tolist()), sets):
+                if mark not in piece:
+                    piece[mark] = own
+                    held += len(own)
+                if held >= PIECE_HASHES:
+                    yield counts(list(piece.values()))
+                    piece, held = {}, 0
+        if piece:
+            yield counts(list(piece.values()))
 
     return run
 
 
+FACT_COLUMNS = ["texts", "doc_id", "n", "h1", "h2", "hashes", "counts"]
+
+
 def common_hashes(facts: DataFrame) -> np.ndarray:
-    """Sorted hashes that the slices name often, the most frequent of them."""
+    """Sorted hashes that the pieces name often, the most frequent of them."""
     pairs = facts.filter("texts = 0").select(F.explode(F.arrays_zip("hashes", "counts")).alias("x"))
     sums = pairs.groupBy(F.col("x.hashes").alias("hash")).agg(F.sum("x.counts").alias("count"))
     top = sums.filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "hash").limit(MAX_COMMON)
@@ -327,11 +342,11 @@ def _with_both(pairs: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame
 def _near_pairs(space: Workspace, leaders: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and bitmaps permit."""
     pairs = space.table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    rows = _of_ids(leaders.select("doc", "n", "bits"), _ids_of(space, pairs), "doc")
-    sized = _with_both(pairs, rows.select("doc", "n"), ["n"])
+    sized = _with_both(pairs, _of_ids(leaders.select("doc", "n"), _ids_of(space, pairs), "doc"), ["n"])
     sized = sized.filter((100 * F.col("n_b") >= percent * F.col("n_a")) & (100 * F.col("n_a") >= percent * F.col("n_b")))
     sized = space.table(sized.distinct(), "sized")
-    full = _with_both(sized.withColumnsRenamed({"n_a": "na", "n_b": "nb"}), rows.select("doc", "bits"), ["bits"])
+    rows = _of_ids(leaders.select("doc", "bits"), _ids_of(space, sized), "doc")
+    full = _with_both(sized.withColumnsRenamed({"n_a": "na", "n_b": "nb"}), rows, ["bits"])
     return full.mapInArrow(_may_link(percent), "a BIGINT, b BIGINT")
 
 
@@ -359,7 +374,7 @@ def _blocks(open_rows: DataFrame, marks: DataFrame) -> DataFrame:
     member = F.struct("doc", "n", "component", "bits")
     return (
         rows.withColumn("block", block)
-        .join(marks, "doc")
+        .join(marks, ["doc", "n"])
         .groupBy("key", "block")
         .agg(
             F.collect_list(member).alias("members"),
@@ -371,8 +386,28 @@ def _blocks(open_rows: DataFrame, marks: DataFrame) -> DataFrame:
     )
 
 
-def _tree_pairs(space: Workspace, open_rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of ``open_rows`` (key, doc, component); ``marks`` has doc, n, bits."""
+def _tree_pairs(space: Workspace, open_rows: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of ``open_rows`` (key, doc, n, component); ``leaders`` has doc, n, bits, each row once.
+
+    Bitmaps outweigh all else here. A group of one block goes straight into its tree, with one
+    shuffle; only the blocks of larger groups are written, because they meet one another.
+    """
+    sizes = open_rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    per_key = sizes.groupBy("key").agg(F.sum("c").alias("c"))
+    large = space.table(per_key.filter(F.col("c") > BLOCK).select("key"), "large")
+    one = open_rows.join(large, "key", "left_anti").join(leaders, ["doc", "n"])
+    one = one.groupBy("key").agg(F.collect_list(F.struct("doc", "n", "component", "bits")).alias("members"))
+    one = one.select("members", F.lit(None).cast(one.schema["members"].dataType).alias("others"))
+    found = one.mapInArrow(_join_blocks(percent), "a BIGINT, b BIGINT")
+    if large.isEmpty():
+        return found
+    rows = space.table(open_rows.join(large, "key", "left_semi"), "large-rows")
+    marks = _of_ids(leaders, space.table(rows.select("doc").distinct(), "ids"), "doc")
+    return found.union(_block_pairs(space, rows, marks, percent))
+
+
+def _block_pairs(space: Workspace, open_rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of groups of several blocks."""
     blocks = space.table(_blocks(open_rows, marks), "blocks")
     inside = blocks.filter("first < last").select("members", F.lit(None).cast(blocks.schema["members"].dataType).alias("others"))
     between = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") < F.col("b.block"))
@@ -388,14 +423,30 @@ def _tree_pairs(space: Workspace, open_rows: DataFrame, marks: DataFrame, percen
     )
 
 
-def _keys(space: Workspace, leaders: DataFrame) -> DataFrame:
-    """Distinct key and doc of the prefixes; only ids of several rows need to be made distinct."""
+def _open(named: DataFrame, percent: int) -> DataFrame:
+    """The rows (key, doc, n, component) whose group has another component of a size that permits a link.
+
+    Sizes that permit one differ by the width of a band at most, so they lie in one band or in neighbouring ones.
+    """
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    band, ends = F.col("band"), [F.min("low").alias("low"), F.max("high").alias("high")]
+    rows = named.withColumn("band", F.floor(F.log("n") / F.lit(width)))
+    cells = rows.withColumns({"low": F.col("component"), "high": F.col("component")}).groupBy("key", "band").agg(*ends)
+    near = cells.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).groupBy("key", "band").agg(*ends)
+    return rows.join(near.filter("low < high").select("key", "band"), ["key", "band"], "left_semi").drop("band")
+
+
+def _several(space: Workspace, leaders: DataFrame) -> DataFrame:
+    """The ids (_again) of several rows."""
     again = leaders.groupBy("doc").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc").alias("_again"))
     again = space.table(again, "again")
-    keys = leaders.select(F.explode("prefix").alias("key"), "doc")
-    wanted = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    return F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+
+
+def _once(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """Distinct rows, of which only those of ids of several rows need to be made distinct."""
     twice = F.col("doc") == F.col("_again")
-    return keys.join(wanted, twice, "left_anti").union(keys.join(wanted, twice, "left_semi").distinct())
+    return rows.join(several, twice, "left_anti").union(rows.join(several, twice, "left_semi").distinct())
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -412,7 +463,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     leaders = _of_ids(texts, space.table(classes.select("doc").distinct(), "ids"))
     kind = "doc BIGINT, n BIGINT, prefix ARRAY<BIGINT>, bits BINARY"
     leaders = space.table(leaders.mapInArrow(_leaders(n, percent, common), kind).filter("n > 0"), "leaders")
-    keys = _keys(space, leaders)
+    several = _several(space, leaders)
+    keys = _once(leaders.select(F.explode("prefix").alias("key"), "doc"), several)
     mark = F.xxhash64("doc")
     shared = keys.groupBy("key").agg(
         F.min("doc").alias("first"),
@@ -433,11 +485,11 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     parts = connected_components(space, links)
 
     named = live.join(parts.withColumnRenamed("node", "doc"), "doc", "left")
-    named = space.table(named.select("key", "doc", F.coalesce("component", "doc").alias("component")), "named")
-    groups = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rest = space.table(named.join(groups.filter("low < high").select("key"), "key").distinct(), "open")
+    named = named.join(_once(leaders.select("doc", "n"), several), "doc")
+    named = space.table(named.select("key", "doc", "n", F.coalesce("component", "doc").alias("component")), "named")
+    rest = space.table(_open(named, percent), "open")
     marks = _of_ids(leaders.select("doc", "n", "bits"), space.table(rest.select("doc").distinct(), "ids"), "doc")
-    found = _tree_pairs(space, rest, marks.dropDuplicates(["doc", "n", "bits"]), percent)
+    found = _tree_pairs(space, rest, _once(marks, several), percent)
     found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     more = space.table(_linked(space, texts, found, n, percent), "links")
 

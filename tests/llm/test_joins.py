@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from llm.helpers import WORDS, documents, prose
 from pyspark.sql import functions as F
@@ -114,6 +115,35 @@ def test_repeated_rows_stay_in_their_groups(spark):
         assert got == sorted((r[0], want[r[0]]) for r in table)
 
 
+def test_passages_rare_in_a_batch_are_common():
+    """A passage that one text of each batch has; equal texts, which do not meet, count once."""
+    passage = prose(99, 40)
+    batches = []
+    for k in range(12):
+        texts = [f"{prose(9000 + k, 50)} {passage}", prose(9500, 50), prose(9500, 50)]
+        batches.append(pa.RecordBatch.from_arrays([pa.array([3 * k, 3 * k + 1, 3 * k + 2]), pa.array(texts)], ["doc_id", "text"]))
+    rows = pa.Table.from_batches(ngram_join._facts(4)(iter(batches)))
+    named = rows.filter(pa.compute.equal(rows["texts"], 0))
+    found = dict(zip(*(pa.compute.list_flatten(named[c]).to_pylist() for c in ("hashes", "counts"))))
+    assert rows.num_rows == 36 + named.num_rows
+    assert {found.get(int(h)) for h in shingle_sets(pa.array([passage]))[0].view(np.int64)} == {12}
+    assert not any(int(h) in found for h in shingle_sets(pa.array([prose(9500, 50)]))[0].view(np.int64))
+
+
+def test_only_sizes_that_permit_a_link_meet_in_trees(spark, monkeypatch):
+    """At 85 % 17 and 20 can link, 16 and 20 cannot; groups of one block are not written with their bitmaps."""
+    rows = [(1, 10, 17, 10), (1, 11, 20, 11), (2, 10, 17, 10), (2, 12, 400, 12), (3, 13, 50, 13), (3, 14, 51, 13)]
+    named = spark.createDataFrame(rows, "key BIGINT, doc BIGINT, n BIGINT, component BIGINT")
+    assert sorted((r.key, r.doc) for r in ngram_join._open(named, 85).collect()) == [(1, 10), (1, 11)]
+    twins = spark.createDataFrame([(1, 1, 30, 1), (1, 2, 30, 2), (1, 3, 31, 3)], named.schema)
+    assert sorted(r.doc for r in ngram_join._open(twins, 100).collect()) == [1, 2]
+    written = []
+    table = Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, df, name: (written.append((name, df.columns)), table(self, df, name))[1])
+    near_duplicates(documents(spark, family_documents())).collect()
+    assert [n for n, columns in written if {"bits", "members"} & set(columns)] == ["leaders"]
+
+
 def brute_force(ids, vectors, query, k):
     score = vectors @ vectors[query]
     order = [i for i in np.lexsort((ids, -score)) if i != query]
