@@ -281,3 +281,10 @@ def test_integrity(tables):
     assert report["unique:contract_articles.line"] == 1
     assert report["orphan:contracts.supplier_id"] == 1
     assert report["range:tiered_pricing.quantity"] == 4
+
+
+def test_tiers_meet_lines_before_the_wide_articles(tables):
+    """The shuffle for the tiers carries no names or barcodes of articles."""
+    joins = [x for x in C.best_tiered_price(tables)._jdf.queryExecution().analyzed().toString().splitlines() if "Join Inner" in x]
+    keys = [x.split("(")[1].split("#")[0] for x in joins]
+    assert keys.index("article_id") < keys.index("contract_article_id")
