@@ -176,9 +176,10 @@ def _choose(keys: np.ndarray, counts: np.ndarray, room: int) -> list[int]:
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules as pairs, lengths, sequence) of a block whose ids are all below ``first``."""
     sequence = ids.astype(np.uint32)
-    rules: list[tuple[int, int]] = []
+    rules: list[np.ndarray] = []
+    n_rules = 0
     lengths = np.ones(SYMBOLS, np.int64)
-    while len(sequence) > 1 and first + len(rules) < SYMBOLS:
+    while len(sequence) > 1 and first + n_rules < SYMBOLS:
         pairs = sequence[:-1] << np.uint32(16) | sequence[1:]
         # Counts of hashes bound the counts of pairs; only pairs that may be frequent are counted.
         mark = (pairs * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS)
@@ -199,17 +200,18 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
                 often = counts >= MIN_PAIRS
                 if not often.any():
                     break
-        chosen = _choose(ordered[at[often]], counts[often], SYMBOLS - first - len(rules))
+        chosen = _choose(ordered[at[often]], counts[often], SYMBOLS - first - n_rules)
         is_left, is_right = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
-        named = np.array(sorted(chosen), np.uint32)
-        symbol = np.empty(len(named), np.uint32)
-        for key in chosen:
-            a, b = key >> 16, key & 0xFFFF
-            new = first + len(rules)
-            rules.append((a, b))
-            lengths[new] = lengths[a] + lengths[b]
-            is_left[a] = is_right[b] = True
-            symbol[np.searchsorted(named, key)] = new
+        # Pairs of a round name symbols of earlier rounds only.
+        order = np.argsort(np.array(chosen, np.uint32))
+        named = np.array(chosen, np.uint32)
+        a, b = named >> np.uint32(16), named & np.uint32(0xFFFF)
+        new = first + n_rules + np.arange(len(named))
+        lengths[new] = lengths[a] + lengths[b]
+        is_left[a] = is_right[b] = True
+        rules.append(np.stack([a, b], axis=1))
+        n_rules += len(named)
+        named, symbol = named[order], new[order].astype(np.uint32)
         hit = np.flatnonzero(is_left[sequence[:-1]] & is_right[sequence[1:]])
         place = np.minimum(np.searchsorted(named, pairs[hit]), len(named) - 1)
         real = named[place] == pairs[hit]
@@ -223,8 +225,8 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
         keep = np.ones(len(sequence), bool)
         keep[hit + 1] = False
         sequence = sequence[keep]
-    pairs = np.array(rules, "<u2").reshape(-1, 2)
-    return pairs, lengths[first : first + len(rules)].astype("<u4"), sequence.astype("<u2")
+    pairs = np.concatenate([np.zeros((0, 2), np.uint32), *rules]).astype("<u2")
+    return pairs, lengths[first : first + n_rules].astype("<u4"), sequence.astype("<u2")
 
 
 class Grammar:
