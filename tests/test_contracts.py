@@ -97,6 +97,15 @@ def test_price_depends_on_quantity(spark, tables):
     assert priced(spark, tables, 31, 25)[0] == ("S1", 6490, "tiered")
 
 
+def test_a_quantity_meets_one_gap_beside_a_tier_that_holds_none(spark, tables):
+    """The fourth tier ends before it begins."""
+    odd = [(1, 1, 10, 24, 6990, 5.0), (2, 1, 30, 20, 1, 10.0), (3, 2, None, 5, 1, 5.0), (4, 2, 10, 5, 1, 5.0)]
+    t = C.ContractTables(**{**vars(tables), "tiers": spark.createDataFrame(odd, tables.tiers.schema)})
+    for qty in (7, 26, 40):
+        assert priced(spark, t, 31, qty) == [("S1", 7990, "contract"), ("S2", 8490, "contract")]
+    assert priced(spark, t, 31, 12)[0] == ("S1", 6990, "tiered")
+
+
 def test_minimum_order_can_leave_no_offer(spark, tables):
     assert priced(spark, tables, 9, 9) == []
     assert priced(spark, tables, 9, 10) == [("S1", 15, "contract")]

@@ -74,3 +74,12 @@ def test_first_rows_limit_before_the_shuffle(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert top.filter("key = 'hot'").count() == 2
+
+
+def test_hot_cells_of_a_cheaper_count(spark):
+    many = spark.range(300).select((F.col("id") % 3).alias("k")).filter("k > 0")
+    few = spark.range(30).select((F.col("id") % 2).alias("k"))
+    counted = many.unionByName(few)
+    cells = skew.hot_cells(many, few, ["k"], 20, None, counted)
+    assert [(r.k, r._across > 1) for r in cells.orderBy("k").collect()] == [(1, True), (2, True)]
+    assert "Union" not in skew.hot_cells(many, few, ["k"], 20, None, few)._jdf.queryExecution().analyzed().toString()
