@@ -7,7 +7,8 @@ boundary is stored. Back-pointers then give the ids. The work is linear in the w
 token length, unlike merging pair by pair.
 
 Texts are cut at ASCII white space, which no token, normalisation or pattern crosses; each
-distinct word of a slice is encoded once and looked up in a bounded two-generation cache.
+distinct word of a slice is cut into pieces once, and pieces, which words share, are looked up in a
+bounded two-generation cache.
 
 Defined results: null and empty texts have no ids and decode to the empty text; repeated rows are
 encoded one by one; columns of ``docs`` other than the text and those to keep are ignored; an empty
@@ -21,6 +22,7 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,8 +148,8 @@ class Encoder:
         self._pairs: dict[int, bool] = {}
         self._spines: dict[int, tuple[list, list]] = {}
         self._build({i: self._marked(name) for name, i in ids.items()})
-        self._words = Generations(cached)
-        self._pieces = Generations(cached)
+        # Words differ in case and punctuation where pieces do not, so pieces have the room of words too.
+        self._pieces = Generations(2 * cached)
 
     def _marked(self, name: str) -> str:
         if name.endswith(self.suffix) and len(name) > len(self.suffix):
@@ -288,10 +290,6 @@ class Encoder:
             at = found.end()
         return out + self._plain(word[at:])
 
-    def word(self, word: str) -> list[int]:
-        """As ``encode_word``, remembered."""
-        return self._words.get(word, self.encode_word)
-
     def decode(self, ids: list[int]) -> str:
         """Token names joined by spaces, as for a tokenizer file that names no decoder."""
         return " ".join([self.names[i] for i in ids])
@@ -311,11 +309,11 @@ class EncodedSlice:
 
     def __init__(self, texts: pa.Array, model: Encoder):
         words, self.codes, self.offsets = split_words(texts)
-        found = [model.word(w) for w in words.to_pylist()]
+        found = [model.encode_word(w) for w in words.to_pylist()]
         self.model = model
         self.sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.table = np.fromiter((i for ids in found for i in ids), np.int32, int(self.sizes.sum()))
+        self.table = np.fromiter(chain.from_iterable(found), np.int32, int(self.sizes.sum()))
 
     def counts(self) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(self.sizes[self.codes])])

@@ -37,6 +37,18 @@ def test_encoding_is_the_librarys(library):
     assert found.counts().tolist() == [len(i) for i in want]
 
 
+def test_pieces_have_the_room_of_words(monkeypatch):
+    model = bpe.Encoder(PATH, 100)
+    encoded = []
+    encode = model.encode_piece
+    monkeypatch.setattr(model, "encode_piece", lambda piece: encoded.append(piece) or encode(piece))
+    letters = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(180)]
+    first = [model.encode_word(w) for w in letters]
+    found = bpe.EncodedSlice(pa.array([" ".join(w.title() for w in letters), " ".join(letters)]), model)
+    assert found.ids().to_pylist() == [[i for ids in first for i in ids]] * 2
+    assert encoded == letters
+
+
 def test_every_word_of_the_vocabulary_and_random_letters(library):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(1, 25))) for _ in range(3000)]
